@@ -114,3 +114,45 @@ def leave_one_out(df: DataFrame, by: Sequence[str], value: str, name: str, alone
 def non_increasing(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.min(value).over(w))
+
+
+def percentiles_any_size(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation, for groups of any size.
+
+    The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here equal
+    values collapse first and positions come from a distributed prefix sum.
+    """
+    per_value = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    cum = running_sum_any_size(per_value, by, [F.col(value).asc()], "_c", "_cum", "_n")
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("_cum") - F.col("_c") <= index) & (index < F.col("_cum")), F.col(value)))
+
+    aggs = []
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.floor(pos), F.ceil(pos)
+        part = F.max(pos - low)
+        aggs.append((at(low) + (at(high) - at(low)) * part).alias(name))
+    return cum.groupBy(*by).agg(*aggs)
+
+
+def weighted_percentiles_any_size(
+    df: DataFrame, by: Sequence[str], value: str, weight: str, probs: dict[str, float]
+) -> DataFrame:
+    """First value whose cumulative weight reaches the target share, for groups of any size."""
+    per_value = df.groupBy(*by, value).agg(F.sum(weight).alias("_c"))
+    cum = running_sum_any_size(per_value, by, [F.col(value).asc()], "_c", "_cum", "_n")
+    # the last value always reaches the target, whatever the summing order left in the last digit
+    reach = {n: F.min(F.when(F.col("_cum") >= F.lit(float(p)) * F.col("_n") * (1 - 1e-12), F.col(value))) for n, p in probs.items()}
+    return cum.groupBy(*by).agg(*[F.coalesce(c, F.max(value)).alias(n) for n, c in reach.items()])
+
+
+def first_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], columns: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each group as an aggregate, so hot groups combine before the shuffle.
+
+    ``order`` is ascending and must end in a unique key.
+    """
+    names = [c for c in (columns or df.columns) if c not in by]
+    picked = df.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row"))
+    return picked.select(*by, "_row.*")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivalgrid.functions.numeric import ratio
 from rivalgrid.functions.scoring import score
 from rivalgrid.operators.allowed import points_by_group
+from rivalgrid.operators import events as ev
 from rivalgrid.operators.grids import dense_points, with_opponent
 
 CATEGORIES = ("QB", "RB", "WR", "TE", "K")
@@ -94,3 +96,79 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
         "season", "week", F.col("grp").alias("manager"), "pf", "opp", "pa",
         (F.col("week") > 10).alias("playoff"), result.alias("result"),
     )
+
+
+# Sources, entities and teams of the auction binding. Entities are ranges of part keys, so their
+# number grows with the tables.
+PARTS_PER_ENTITY, NAMED_SOURCE, LEGACY_LAST, FLAT_COST = 100, 0, 1998, 2.0
+BAD_IDS = ("7", "14")
+
+
+def part_entity() -> Column:
+    return F.floor(F.col("l_partkey") / PARTS_PER_ENTITY).cast("long")
+
+
+def raw_bids(spark: SparkSession, sf: str) -> DataFrame:
+    """Bid rows as landed: one per claim, contingent variants included."""
+    sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("source"))
+    placed = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", *season_week()).join(sources, "o_custkey")
+    items = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+    rows = items.join(placed, items.l_orderkey == placed.o_orderkey).withColumn("entity", part_entity())
+    status = F.when(F.col("l_returnflag") == "R", "EXECUTED").when(F.col("l_returnflag") == "A", "OUTBID").otherwise("INVALID")
+    return rows.select(
+        "source", "season", "week", "entity", F.col("l_suppkey").alias("team"), category_of(F.col("entity")).alias("category"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "FREEAGENT").otherwise("WAIVER").alias("kind"), status.alias("status"),
+        (F.floor(F.col("l_extendedprice") / 250.0) / 4.0).alias("bid"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_orderkey").cast("string")).alias("txn"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("tid"))
+
+
+def bids(spark: SparkSession, sf: str) -> DataFrame:
+    """Collapsed and classified bids."""
+    flat = F.when(F.col("source") == NAMED_SOURCE, FLAT_COST).otherwise(0.0)
+    return ev.classify(ev.collapse_variants(raw_bids(spark, sf)), flat)
+
+
+def provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and current budget of each source."""
+    return table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("source"), (8 + F.col("n_nationkey") % 5).alias("size"),
+        (F.lit(800.0) + F.col("n_nationkey")).alias("current_budget"))
+
+
+def reported_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Budgets reported per source and season; some seasons are missing."""
+    seasons = F.explode(F.sequence(F.lit(1990), F.lit(PARTIAL_SEASON)))
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("source"), seasons.alias("season"))
+    return rows.where((F.col("source") + F.col("season")) % 3 != 0).withColumn(
+        "reported_budget", F.lit(1000.0) + 10 * F.col("source"))
+
+
+def budgets(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    return ev.effective_budgets(
+        rows, reported_budgets(spark, sf), provenance(spark, sf), NAMED_SOURCE, LEGACY_LAST, BAD_IDS)
+
+
+def budgeted_bids(spark: SparkSession, sf: str) -> DataFrame:
+    """Bids with the budget of their source and season, price shares and auction facts."""
+    rows = bids(spark, sf)
+    full = rows.join(budgets(spark, sf, rows), ["source", "season"], "left")
+    return ev.event_stats(full).withColumn("pct", ratio("bid", "budget"))
+
+
+def rostered(rows: DataFrame) -> DataFrame:
+    """Who owns whom: an entity won in a week is owned in the next."""
+    return rows.where(F.col("signal") == "won").select("source", "season", (F.col("week") + 1).alias("week"), "entity").distinct()
+
+
+def part_perf(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly stats of the auctioned entities."""
+    items = order_items(spark, sf, "l_partkey", "l_quantity", "l_returnflag")
+    return items.groupBy("season", "week", part_entity().alias("entity")).agg(
+        F.count(F.lit(1)).cast("double").alias("snaps"),
+        F.sum(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("carries"),
+        F.sum("l_quantity").alias("yards"),
+    ).withColumns({
+        "category": category_of(F.col("entity")), "grp": (F.col("entity") % 4).cast("int"),
+        "pts": 0.25 * F.col("snaps") + 0.0625 * F.col("yards")})

@@ -72,7 +72,7 @@ VIEWS.update({
 })
 
 
-@query("j03_schedule_edges", "season:i week:i grp:i opp:i home:b", "SELECT * FROM v_sched")
+@query("j03_schedule_edges", "season:i week:i grp:i opp:n home:n", "SELECT * FROM v_sched")
 def schedule_edges(spark, sf):
     """Both perspectives of each game, completed with bye rows."""
     sched = b.schedule(spark, sf)
@@ -283,7 +283,7 @@ def detail_units(spark, sf):
     return unit_table(spark, sf).withColumnRenamed("points_allowed", "allowed")
 
 
-@query("j04_remaining_schedule", "season:i week:i grp:i opp:i home:b allowed:d",
+@query("j04_remaining_schedule", "season:i week:i grp:i opp:n home:n allowed:d",
        """SELECT s.season, s.week, s.grp, s.opp, s.home, a.allowed FROM v_sched s LEFT JOIN
           (SELECT season, week, grp, sum(allowed) AS allowed FROM v_allowed GROUP BY season, week, grp) a
           ON s.season = a.season AND s.week = a.week AND s.grp = a.grp""")
@@ -305,13 +305,13 @@ ALLOWED_SQL = """
 
 
 @query("a60_allowed_table",
-       "season:i category:s grp:i games:i total:d per_game:d diff:d opp_avg:d last_n:d last_opp_avg:d last_diff:d rank:i diff_rank:i last_diff_rank:i",
+       "season:i category:s grp:i games:i total:d per_game:d diff:d opp_avg:d last_n:d last_opp_avg:d last_diff:d rank:n diff_rank:n last_diff_rank:n",
        ALLOWED_SQL)
 def allowed_table(spark, sf):
     return al.allowed_table(b.dense(spark, sf))
 
 
-@query("a61_schedule_strength_raw_diff", "win:s category:s grp:i n_games:i avg_raw:d avg_diff:d rank_raw:i rank_diff:i",
+@query("a61_schedule_strength_raw_diff", "win:s category:s grp:i n_games:i avg_raw:d avg_diff:d rank_raw:n rank_diff:n",
        f"""WITH t AS ({ALLOWED_SQL})
            SELECT *, row_number() OVER (PARTITION BY win, category ORDER BY round(avg_raw, 9) DESC NULLS LAST, grp) AS rank_raw,
              CASE WHEN avg_diff IS NOT NULL THEN row_number() OVER (PARTITION BY win, category ORDER BY round(avg_diff, 9) DESC NULLS LAST, grp) END AS rank_diff
@@ -471,7 +471,7 @@ def projection_weeks(spark, sf):
     return cv.project(ent, sched, history_curve(spark, sf), current_index(spark, sf), 6, 12, external=external, bounds=INDEX_BOUNDS)
 
 
-@query("p25_project_entities", "entity:i grp:i category:s week:i opp:i idx:d own_projected:d projected:d sd:d zero_reason:s",
+@query("p25_project_entities", "entity:i grp:i category:s week:i opp:n idx:d own_projected:d projected:d sd:d zero_reason:s",
        "SELECT * FROM v_project")
 def project(spark, sf):
     """Adjusted projection, zeroed by status or return week."""
@@ -573,7 +573,7 @@ def weakest_strongest(spark, sf):
         F.min_by("category", F.struct(-F.col("rank"), F.col("category"))).alias("strongest"))
 
 
-@query("j08_period_for_date", "event_id:i period:i",
+@query("j08_period_for_date", "event_id:i period:n",
        """SELECT event_id, (SELECT max(p) FROM (VALUES (1, DATE '2024-01-08'), (2, DATE '2024-01-15'), (3, DATE '2024-01-22'), (4, DATE '2024-01-29')) s(p, d)
           WHERE d <= CAST(ts AS DATE)) AS period FROM events""")
 def period_for_date(spark, sf):

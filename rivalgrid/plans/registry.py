@@ -1,7 +1,7 @@
 """Registered queries: a Spark callable, an output spec and, where SQL can say it, the same SQL.
 
 The spec ("season:i pts:d ...") fixes the output columns on both sides: i bigint, d double
-(rounded at the edge), s string, b boolean. The rounding nudge keeps exact halves from falling
+(rounded at the edge), n an integer or flag that may be NULL (as double), s string, b boolean. The rounding nudge keeps exact halves from falling
 differently in two engines.
 """
 
@@ -33,6 +33,8 @@ def finish(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "d":
             c = F.round(c.cast("double") + F.lit(_NUDGE), _DIGITS)
+        elif kind == "n":
+            c = c.cast("double")
         elif kind == "s":
             c = c.cast("string")
         elif kind == "b":
@@ -48,6 +50,8 @@ def finish_sql(sql: str, spec: str) -> str:
             return f"CAST({name} AS BIGINT) AS {name}"
         if kind == "d":
             return f"ROUND(CAST({name} AS DOUBLE) + {_NUDGE!r}, {_DIGITS}) AS {name}"
+        if kind == "n":
+            return f"CAST({name} AS DOUBLE) AS {name}"
         if kind == "s":
             return f"CAST({name} AS VARCHAR) AS {name}"
         return f"CAST({name} AS BOOLEAN) AS {name}"
