@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivalgrid.functions.numeric import count_if, shrink_to_one
-from rivalgrid.operators.ranking import percentiles_any_size, row_numbers_any_size, running_sum_any_size
+from rivalgrid.operators.ranking import percentiles_any_size, row_numbers_any_size, running_sum_any_size, top_n_any_size
 
 # Season phases, calibration edges, minimum counts.
 WEEK_BUCKETS = ((1, 3), (4, 6), (7, 9), (10, 12), (13, 18))
@@ -184,16 +184,9 @@ def local_lens(wins: DataFrame, baselines: DataFrame, last: int = 6) -> tuple[Da
 
 
 def latest(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """The n latest rows of each group: newest periods first, in two steps so that a hot group is
-    cut to n rows per slice before it meets in one place."""
+    """The n latest rows of each group, newest periods first."""
     order = [F.col("season").desc(), F.col("week").desc(), F.col("tid").asc()]
-    slice_ = F.pmod(F.xxhash64("tid"), F.lit(64))
-    part = Window.partitionBy(*by, "_slice").orderBy(*order)
-    whole = Window.partitionBy(*by).orderBy(*order)
-    return (
-        rows.withColumn("_slice", slice_).withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= n)
-        .withColumn("pos", F.row_number().over(whole)).where(F.col("pos") <= n).drop("_slice", "_p")
-    )
+    return top_n_any_size(rows, by, order, "tid", n)
 
 
 def cluster_values(rows: DataFrame, by: Sequence[str], value: str, tolerance: float) -> DataFrame:

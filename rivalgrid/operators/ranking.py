@@ -51,26 +51,48 @@ def row_numbers_any_size(df: DataFrame, by: Sequence[str], order: Sequence[Colum
     )
 
 
-def running_sum_any_size(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, name: str, total: str | None = None
+def running_sums_any_size(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str], totals: dict[str, str] | None = None
 ) -> DataFrame:
-    """Inclusive prefix sum (and the group total) for groups of any size."""
+    """Inclusive prefix sums {value: name} and group totals {value: name} for groups of any size."""
     rows = _blocks(df, by, order)
-    per_block = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_s"))
+    totals = totals or {}
+    per_block = rows.groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_s_{v}") for v in sums])
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
         *by, "_block",
-        F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_offset"),
-        F.sum("_s").over(Window.partitionBy(*by)).alias("_total"),
+        *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0.0)).alias(f"_o_{v}") for v in sums],
+        *[F.sum(f"_s_{v}").over(Window.partitionBy(*by)).alias(name) for v, name in totals.items()],
     )
     span = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = (
-        rows.withColumn("_inside", F.sum(value).over(span)).join(offsets, [*by, "_block"])
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-    )
-    if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_offset", "_inside", "_block", "_total")
+    inside = rows.withColumns({f"_i_{v}": F.sum(v).over(span) for v in sums}).join(offsets, [*by, "_block"])
+    out = inside.withColumns({name: F.col(f"_o_{v}") + F.coalesce(f"_i_{v}", F.lit(0.0)) for v, name in sums.items()})
+    return out.drop("_block", *[f"_i_{v}" for v in sums], *[f"_o_{v}" for v in sums])
+
+
+def running_sum_any_size(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, name: str, total: str | None = None
+) -> DataFrame:
+    return running_sums_any_size(df, by, order, {value: name}, {value: total} if total else None)
+
+
+def band_sums(
+    df: DataFrame, by: Sequence[str], key: str, position: str, reach: float, sums: dict[str, str]
+) -> DataFrame:
+    """For every row, sums over the rows of its group whose position lies within ``reach``.
+
+    Two probes per row are sorted in among the rows; a prefix sum at the upper probe minus the one
+    at the lower probe is the band. No pair of rows is ever formed.
+    """
+    data = df.select(*by, F.col(key).alias("_key"), F.col(position).alias("_x"), F.lit(1).alias("_kind"), *sums)
+    def probe(kind: int, shift: float) -> DataFrame:
+        return df.select(*by, F.col(key).alias("_key"), (F.col(position) + shift).alias("_x"), F.lit(kind).alias("_kind"),
+                         *[F.lit(0.0).alias(v) for v in sums])
+    rows = data.unionByName(probe(0, -reach)).unionByName(probe(2, reach))
+    cum = running_sums_any_size(rows, by, [F.col("_x").asc(), F.col("_kind").asc(), F.col("_key").asc()], {v: f"_c_{v}" for v in sums})
+    ends = cum.where(F.col("_kind") != 1)
+    sign = F.when(F.col("_kind") == 2, 1.0).otherwise(-1.0)
+    return ends.groupBy(*by, F.col("_key").alias(key)).agg(*[F.sum(sign * F.col(f"_c_{v}")).alias(n) for v, n in sums.items()])
 
 
 def cumulative_share(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -148,6 +170,16 @@ def weighted_percentiles_any_size(
     return cum.groupBy(*by).agg(*[F.coalesce(c, F.max(value)).alias(n) for n, c in reach.items()])
 
 
+def top_n_any_size(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int, name: str = "pos") -> DataFrame:
+    """The first n rows of each group: each of 64 slices is cut to n rows before slices meet."""
+    part = Window.partitionBy(*by, "_slice").orderBy(*order)
+    whole = Window.partitionBy(*by).orderBy(*order)
+    return (
+        df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("_p", F.row_number().over(part))
+        .where(F.col("_p") <= n).withColumn(name, F.row_number().over(whole)).where(F.col(name) <= n).drop("_slice", "_p")
+    )
+
+
 def first_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], columns: Sequence[str] | None = None) -> DataFrame:
     """The first row of each group as an aggregate, so hot groups combine before the shuffle.
 

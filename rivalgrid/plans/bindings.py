@@ -170,5 +170,5 @@ def part_perf(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("carries"),
         F.sum("l_quantity").alias("yards"),
     ).withColumns({
-        "category": category_of(F.col("entity")), "grp": (F.col("entity") % 4).cast("int"),
+        "category": category_of(F.col("entity")), "grp": (F.col("entity") % 2).cast("int"),
         "pts": 0.25 * F.col("snaps") + 0.0625 * F.col("yards")})

@@ -61,7 +61,7 @@ VIEWS.update({
         QUALIFY row_number() OVER (PARTITION BY source, season, week, entity ORDER BY {PRIORITY}, synthetic, tid) = 1""",
     "v_rostered": "SELECT DISTINCT source, season, week + 1 AS week, entity FROM v_bids WHERE signal = 'won'",
     "v_part_perf": f"""
-        SELECT *, {CAT.format('entity')} AS category, CAST(entity % 4 AS INT) AS grp, 0.25 * snaps + 0.0625 * yards AS pts
+        SELECT *, {CAT.format('entity')} AS category, CAST(entity % 2 AS INT) AS grp, 0.25 * snaps + 0.0625 * yards AS pts
         FROM (SELECT season, week, l_partkey // 100 AS entity, CAST(count(*) AS DOUBLE) AS snaps,
                 CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS carries, sum(l_quantity) AS yards
               FROM v_order_item GROUP BY season, week, entity)""",
@@ -299,7 +299,10 @@ VIEWS["v_no_bid"] = NO_BID
 
 
 def no_bids(spark, sf):
-    rows = b.bids(spark, sf)
+    return free_candidates(spark, sf, b.bids(spark, sf))
+
+
+def free_candidates(spark, sf, rows):
     gated = b.part_perf(spark, sf).withColumn("week", F.col("week") + 1).where(
         ev.relevant(F.col("pts"), F.lit(None).cast("double"), F.lit(None).cast("int"), F.col("category")))
     return ev.no_bid_rows(gated.select("season", "week", "entity", "category"), rows, b.rostered(rows), rows)
