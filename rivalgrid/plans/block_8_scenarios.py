@@ -116,17 +116,17 @@ def must_haves(spark, sf):
 
 
 @query("x08_slip_branches", "grp:i lost_game:i before:d after:d n:i game:n best:s worst_odds:d",
-       f"""WITH held AS (SELECT scenario FROM v_missed WHERE n_missed = 0),
+       f"""WITH held AS (SELECT scenario FROM v_sgame WHERE game = 1 AND home_won),
              branch AS (SELECT r.scenario, r.grp, r.game AS lost_game, h.hit FROM v_sres r JOIN held USING (scenario) JOIN v_hit h ON h.scenario = r.scenario AND h.grp = r.grp
-                        WHERE NOT won AND r.game NOT IN (1, 4)),
+                        WHERE NOT won AND r.game <> 1),
              facts AS (SELECT f.*, before FROM (SELECT grp, lost_game, avg(hit) AS after, count(*) AS n FROM branch GROUP BY grp, lost_game) f
                        JOIN (SELECT grp, avg(hit) AS before FROM v_hit JOIN held USING (scenario) GROUP BY grp) USING (grp) WHERE n >= 100 AND before - after >= 0.05),
-             rows_ AS (SELECT {tier_sql('after')}, game = lost_game OR game IN (1, 4) AS picked FROM (
+             rows_ AS (SELECT {tier_sql('after')}, game = lost_game OR game = 1 AS picked FROM (
                         SELECT s.*, f.after FROM (SELECT b.grp, b.lost_game, g.game, {SPLIT} FROM branch b JOIN v_sgame g USING (scenario) GROUP BY b.grp, b.lost_game, g.game) s JOIN facts f USING (grp, lost_game))),
              needs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, lost_game ORDER BY round(worst_odds, 9), game) AS pos FROM rows_ WHERE tier = 'must' AND NOT picked) WHERE pos <= 4)
            SELECT f.grp, f.lost_game, before, f.after, n, game, best, worst_odds FROM facts f LEFT JOIN (SELECT grp, lost_game, game, best, worst_odds FROM needs) USING (grp, lost_game)""")
 def slips(spark, sf):
-    return sc.slip_branches(seeded(spark, sf), cut_lineage(scenario_games(spark, sf)), PICKS, PLACES)
+    return sc.slip_branches(seeded(spark, sf), cut_lineage(scenario_games(spark, sf)), PICKS[:1], PLACES)
 
 
 @query("x09_wins_ladder", "grp:i wins:d n:i share:d playoff:d bye:d",

@@ -57,7 +57,7 @@ def finish_sql(sql: str, spec: str) -> str:
         return f"CAST({name} AS BOOLEAN) AS {name}"
 
     columns = ", ".join(edge(n, k) for n, k in _spec(spec))
-    return with_views(f"SELECT {columns} FROM (\n{sql.strip()}\n) AS answer")
+    return f"SELECT {columns} FROM (\n{sql.strip()}\n) AS answer"
 
 
 def query(name: str, spec: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -70,3 +70,8 @@ def query(name: str, spec: str, sql: str | None = None) -> Callable[[Query], Que
         return fn
 
     return register
+
+
+def sql_texts() -> dict[str, str]:
+    """Every query's SQL with the views it needs; called once all blocks are loaded."""
+    return {name: with_views(sql) for name, sql in SQL.items()}
