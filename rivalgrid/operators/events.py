@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rivalgrid.functions.numeric import clamp, count_if
 from rivalgrid.operators.ranking import first_row, percentiles_any_size
+from rivalgrid.session import cut_lineage
 
 EVENT = ["source", "season", "week", "entity"]
 POOLED = ["season", "week", "entity"]
@@ -36,11 +37,11 @@ def collapse_variants(bids: DataFrame) -> DataFrame:
     """One row per team and event: the executed one, else the highest bid; the rest are counted."""
     by = [*EVENT, "team"]
     done = F.col("status") == "EXECUTED"
-    order = F.struct((~done).alias("a"), F.when(done, 0.0).otherwise(-F.coalesce("bid", F.lit(0.0))).alias("b"), F.col("tid"))
-    names = [c for c in bids.columns if c not in by]
-    return bids.groupBy(*by).agg(
-        F.min_by(F.struct(*names), order).alias("_row"), (F.count(F.lit(1)) - 1).alias("variants_dropped")
-    ).select(*by, "_row.*", "variants_dropped")
+    rest = [c for c in bids.columns if c not in by and c != "tid"]
+    # order first, then the unique key, then the carried columns: the minimum is the chosen row
+    row = F.struct((~done).alias("_a"), F.when(done, 0.0).otherwise(-F.coalesce("bid", F.lit(0.0))).alias("_b"), "tid", *rest)
+    out = bids.groupBy(*by).agg(F.min(row).alias("_row"), (F.count(F.lit(1)) - 1).alias("variants_dropped"))
+    return out.select(*by, *[F.col(f"_row.{c}").alias(c) for c in (*rest, "tid")], "variants_dropped")
 
 
 def classify(bids: DataFrame, flat_cost: Column | float = 0.0, outbid_statuses: Sequence[str] = ("OUTBID",)) -> DataFrame:
@@ -175,9 +176,9 @@ def target_share(cost: str = "cost", budget: str = "budget", consolidated: str |
 
 def consolidate_prices(won: DataFrame) -> DataFrame:
     """One price per pooled event: the median of the sources' price shares, and who backs it."""
-    rows = won.withColumn("target", target_share())
+    rows = cut_lineage(won.select(*POOLED, "source", "category", target_share().alias("target")))
     facts = rows.groupBy(*POOLED).agg(
-        F.first("category").alias("category"), F.count(F.lit(1)).alias("n_rows"),
+        F.min("category").alias("category"), F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("source").alias("n_sources"), F.avg("target").alias("mean_target"))
     return facts.join(percentiles_any_size(rows, POOLED, "target", {"target": 0.5}), POOLED)
 

@@ -186,5 +186,6 @@ def first_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], columns
     ``order`` is ascending and must end in a unique key.
     """
     names = [c for c in (columns or df.columns) if c not in by]
-    picked = df.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row"))
-    return picked.select(*by, "_row.*")
+    # the order leads the struct, so its minimum is the first row
+    keyed = F.struct(F.struct(*order).alias("_order"), *names)
+    return df.groupBy(*by).agg(F.min(keyed).alias("_row")).select(*by, *[F.col(f"_row.{c}").alias(c) for c in names])

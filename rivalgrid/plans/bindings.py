@@ -10,6 +10,7 @@ from rivalgrid.functions.scoring import score
 from rivalgrid.operators.allowed import points_by_group
 from rivalgrid.operators import events as ev
 from rivalgrid.operators.grids import dense_points, with_opponent
+from rivalgrid.session import cut_lineage
 
 CATEGORIES = ("QB", "RB", "WR", "TE", "K")
 # Binary fractions, so that sums of points are exact in any order.
@@ -125,9 +126,13 @@ def raw_bids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bids(spark: SparkSession, sf: str) -> DataFrame:
-    """Collapsed and classified bids."""
+    """Collapsed and classified bids.
+
+    Everything downstream reads them several times (budgets, auction facts, free candidates), so they
+    are written once instead of joining and collapsing the raw rows for every reader.
+    """
     flat = F.when(F.col("source") == NAMED_SOURCE, FLAT_COST).otherwise(0.0)
-    return ev.classify(ev.collapse_variants(raw_bids(spark, sf)), flat)
+    return cut_lineage(ev.classify(ev.collapse_variants(raw_bids(spark, sf)), flat))
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,11 +155,15 @@ def budgets(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
         rows, reported_budgets(spark, sf), provenance(spark, sf), NAMED_SOURCE, LEGACY_LAST, BAD_IDS)
 
 
-def budgeted_bids(spark: SparkSession, sf: str) -> DataFrame:
-    """Bids with the budget of their source and season, price shares and auction facts."""
+def priced_bids(spark: SparkSession, sf: str) -> DataFrame:
+    """Bids with the budget of their source and season and the bid as a share of it."""
     rows = bids(spark, sf)
-    full = rows.join(budgets(spark, sf, rows), ["source", "season"], "left")
-    return ev.event_stats(full).withColumn("pct", ratio("bid", "budget"))
+    return rows.join(budgets(spark, sf, rows), ["source", "season"], "left").withColumn("pct", ratio("bid", "budget"))
+
+
+def budgeted_bids(spark: SparkSession, sf: str) -> DataFrame:
+    """Priced bids with their auction's facts."""
+    return cut_lineage(ev.event_stats(priced_bids(spark, sf)))
 
 
 def rostered(rows: DataFrame) -> DataFrame:

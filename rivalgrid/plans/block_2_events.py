@@ -98,7 +98,7 @@ def recode(spark, sf):
 
 
 def trainable(spark, sf):
-    return ev.trainable(b.budgeted_bids(spark, sf), b.CATEGORIES, b.BAD_IDS)
+    return ev.trainable(b.priced_bids(spark, sf), b.CATEGORIES, b.BAD_IDS)
 
 
 @query("p03_trainable_rows", f"source:i season:i week:i entity:i signal:s txn:s {TID_SPEC}",

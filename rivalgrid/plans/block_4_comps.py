@@ -162,7 +162,7 @@ def peer_status(spark, sf):
 
 def pool_rows(spark, sf):
     """The interest pool with its features: one row per pooled event."""
-    bids = cut_lineage(b.bids(spark, sf).drop("tid"))
+    bids = b.bids(spark, sf).drop("tid")
     real = ev.trainable(bids, b.CATEGORIES, b.BAD_IDS).select(*ev.EVENT, "category", "signal").distinct()
     free = b2.free_candidates(spark, sf, bids).select(*ev.EVENT, "category", "signal")
     acted = F.col("signal") != "no_bid"

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivalgrid.session import shared_folder
+
 # Common group-name aliases.
 GROUP_ALIASES = {"LA": "LAR", "JAC": "JAX", "WSH": "WAS", "OAK": "LV", "SD": "LAC", "STL": "LAR"}
 
@@ -51,12 +53,8 @@ def normalize_groups(df: DataFrame, columns: Sequence[str], aliases: dict[str, s
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the session's checkpoints, which every executor can reach."""
-    from rivalgrid.session import cut_lineage
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut_lineage(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder beside the session's cut tables, which every executor can reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_tenant_tables(df: DataFrame, path: str, tenant: str) -> None:
