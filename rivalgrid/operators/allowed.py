@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rivalgrid.functions.numeric import clamp
 from rivalgrid.functions.scoring import compile_rules, needed_columns, with_stat_columns
 from rivalgrid.operators.grids import with_opponent
-from rivalgrid.operators.ranking import leave_one_out, rank_by_category, trailing
+from rivalgrid.operators.ranking import leave_one_out, rank_by_category, row_numbers_any_size, trailing
 
 CELL = ["season", "week", "category"]
 UNIT = ["season", "grp", "category"]
@@ -155,16 +155,18 @@ def allowed_table(dense: DataFrame, last: int = 5) -> DataFrame:
 
 
 def allowed_detail(members: DataFrame, games: DataFrame, stats: Sequence[str]) -> DataFrame:
-    """Per defending group, period and category: totals and the scoring members, best first.
-
-    Members of one group, period and category are a roster's worth of rows.
-    """
-    line = F.struct((-F.col("pts")).alias("k"), F.col("entity"), F.col("pts"), *[F.col(s) for s in stats])
+    """Per defending group, period and category: totals, member count and the best member."""
     totals = members.groupBy("season", "week", F.col("grp").alias("opp"), "category").agg(
-        F.sum("pts").alias("allowed"), *[F.sum(s).alias(s) for s in stats],
-        F.sort_array(F.collect_list(line)).alias("members"),
-    )
-    return games.join(totals, ["season", "week", "opp"])
+        F.sum("pts").alias("allowed"), *[F.sum(s).alias(s) for s in stats], F.count(F.lit(1)).alias("n_members"),
+        F.min(F.struct((-F.col("pts")).alias("k"), "entity")).alias("_top"))
+    return games.join(totals, ["season", "week", "opp"]).withColumn("top_entity", F.col("_top.entity")).drop("_top")
+
+
+def allowed_members(members: DataFrame, games: DataFrame, stats: Sequence[str]) -> DataFrame:
+    """The members behind those totals in long form, best first; a group may have any number of them."""
+    cell = ["season", "week", "grp", "category"]
+    ranked = row_numbers_any_size(members.select(*cell, "entity", "pts", *stats), cell, [F.col("pts").desc(), F.col("entity").asc()], "pos")
+    return games.join(ranked.withColumnRenamed("grp", "opp"), ["season", "week", "opp"])
 
 
 def unit_rows(groups: DataFrame, rules: Sequence[tuple[str, float]]) -> DataFrame:

@@ -80,8 +80,8 @@ def competing_bidders(bids: DataFrame) -> DataFrame:
 def spend_shares(bids: DataFrame) -> DataFrame:
     """Spend per team-season, its source's season total and the share."""
     team = bids.groupBy("source", "season", "team").agg(F.sum("cost").alias("team_spend"))
-    total = F.sum("team_spend").over(Window.partitionBy("source", "season"))
-    return team.withColumn("source_spend", total).withColumn(
+    total = bids.groupBy("source", "season").agg(F.sum("cost").alias("source_spend"))
+    return team.join(total, ["source", "season"]).withColumn(
         "share", F.when(F.col("source_spend") > 0, F.col("team_spend") / F.col("source_spend")))
 
 

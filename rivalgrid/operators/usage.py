@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,11 @@ def total_from_top_share(rows: DataFrame, count: str, share: str) -> DataFrame:
 
 
 def shares(rows: DataFrame, measure: str, name: str) -> DataFrame:
-    total = F.sum(measure).over(Window.partitionBy("season", "week", "grp"))
-    return rows.withColumn(name, F.when(total > 0, F.col(measure) / total))
+    """Member share of its group's total; totals are aggregated first, so a group may be of any size."""
+    keys = ["season", "week", "grp"]
+    totals = rows.groupBy(*keys).agg(F.sum(measure).alias("_total"))
+    out = rows.join(totals, keys)
+    return out.withColumn(name, F.when(F.col("_total") > 0, F.col(measure) / F.col("_total"))).drop("_total")
 
 
 def last_write(rows: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
@@ -48,12 +51,15 @@ def lookback(
 def peers_out(rows: DataFrame, flagged: Column, new: Column) -> DataFrame:
     """Does any other member of the same group, period and category carry the flag (or a new one)?
 
-    Counted per group minus the row itself, so no member meets another member.
+    Counted per group minus the row itself: no member meets another member, and the counts are
+    aggregated before they come back, so a group may be of any size.
     """
-    by = Window.partitionBy("season", "week", "grp", "category")
-    f, n = flagged.cast("int"), (flagged & new).cast("int")
-    return rows.withColumns({
-        "peer_out": (F.sum(f).over(by) - f) > 0, "peer_out_new": (F.sum(n).over(by) - n) > 0})
+    keys = ["season", "week", "grp", "category"]
+    marked = rows.withColumns({"_f": flagged.cast("int"), "_n": (flagged & new).cast("int")})
+    counts = marked.groupBy(*keys).agg(F.sum("_f").alias("_fs"), F.sum("_n").alias("_ns"))
+    out = marked.join(counts, keys)
+    return out.withColumns({
+        "peer_out": (F.col("_fs") - F.col("_f")) > 0, "peer_out_new": (F.col("_ns") - F.col("_n")) > 0}).drop("_f", "_n", "_fs", "_ns")
 
 
 def fill_gaps(reports: DataFrame, reserves: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -61,7 +61,7 @@ def ranking_docs(spark, sf):
     ev = b.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     player = F.struct(F.col("event_id").alias("id"), F.concat(F.lit("P "), F.col("user_id").cast("string")).alias("name"), F.lit("T1").alias("team"),
                       F.col("value").alias("ecr"), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("value").cast("string")).alias("avg"))
-    pages = ev.groupBy(F.col("event_type").alias("page"), F.to_date("ts").alias("taken"), (F.col("event_id") % 16).alias("part")).agg(F.collect_list(player).alias("players"))
+    pages = ev.groupBy(F.col("event_type").alias("page"), F.to_date("ts").alias("taken"), F.floor(F.col("event_id") / 256).alias("part")).agg(F.collect_list(player).alias("players"))
     body = F.to_json(F.struct(F.when(F.dayofmonth("taken") == 3, "STD").otherwise("HALF").alias("scoring"), "page", F.col("taken").cast("string").alias("taken"), "players"))
     return pages.select(F.when(F.dayofmonth("taken") == 4, F.substring(body, 1, 25)).otherwise(body).alias("body"))
 

@@ -262,17 +262,21 @@ def strength(spark, sf):
 
 
 @query("a12_allowed_detail",
-       "season:i week:i grp:i opp:i category:s allowed:d receiving_yards:d carries:d n_members:i top_entity:i members:s",
+       "season:i week:i grp:i opp:i category:s allowed:d receiving_yards:d carries:d n_members:i top_entity:i",
        """SELECT f.season, f.week, f.grp, f.opp, t.* EXCLUDE (season, week, grp) FROM (SELECT * FROM v_final WHERE final) f JOIN (
             SELECT season, week, grp, category, sum(pts) AS allowed, sum(receiving_yards) AS receiving_yards, sum(carries) AS carries,
-              count(*) AS n_members, first(entity ORDER BY pts DESC, entity) AS top_entity,
-              string_agg(CAST(entity AS VARCHAR), ',' ORDER BY pts DESC, entity) AS members
+              count(*) AS n_members, first(entity ORDER BY pts DESC, entity) AS top_entity
             FROM v_perf GROUP BY season, week, grp, category) t ON t.season = f.season AND t.week = f.week AND t.grp = f.opp""")
 def detail(spark, sf):
-    d = al.allowed_detail(b.perf(spark, sf), b.played(spark, sf), ["receiving_yards", "carries"])
-    ids = F.transform("members", lambda m: m["entity"].cast("string"))
-    return d.withColumns({
-        "n_members": F.size("members"), "top_entity": F.col("members")[0]["entity"], "members": F.array_join(ids, ",")})
+    return al.allowed_detail(b.perf(spark, sf), b.played(spark, sf), ["receiving_yards", "carries"])
+
+
+@query("a12_allowed_members", "season:i week:i grp:i opp:i category:s pos:i entity:i pts:d carries:d",
+       """SELECT f.season, f.week, f.grp, f.opp, p.category, p.pos, p.entity, p.pts, p.carries FROM v_final f JOIN (
+            SELECT *, row_number() OVER (PARTITION BY season, week, grp, category ORDER BY pts DESC, entity) AS pos FROM v_perf) p
+          ON p.season = f.season AND p.week = f.week AND p.grp = f.opp WHERE f.final""")
+def members(spark, sf):
+    return al.allowed_members(b.perf(spark, sf), b.played(spark, sf), ["carries"])
 
 
 @query("a13_allowed_detail_units", "season:i week:i grp:i opp:i home:b allowed:d",
