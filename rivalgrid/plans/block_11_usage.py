@@ -113,12 +113,12 @@ def two_points(spark, sf):
     return rows.withColumn("two", fs.two_point_conversions()).groupBy("season", "entity").agg(F.sum("two").alias("two"))
 
 
-@query("p32_next_period", "source:i week:i faab_week:i",
-       "SELECT source, week, CASE WHEN source % 2 = 0 THEN week + 1 ELSE week END AS faab_week FROM (SELECT source, max(week) AS week FROM v_raw_bid WHERE season = 2001 GROUP BY source)")
+@query("p32_next_period", "source:i week:i market_week:i",
+       "SELECT source, week, CASE WHEN source % 2 = 0 THEN week + 1 ELSE week END AS market_week FROM (SELECT source, max(week) AS week FROM v_raw_bid WHERE season = 2001 GROUP BY source)")
 def next_period(spark, sf):
     now = b.raw_bids(spark, sf).where(F.col("season") == b.PARTIAL_SEASON).groupBy("source").agg(F.max("week").alias("week"))
     started = F.when(F.col("source") % 2 == 0, F.col("week")).otherwise(F.col("week") - 1)
-    return now.withColumn("faab_week", fs.next_period(F.col("week"), started))
+    return now.withColumn("market_week", fs.next_period(F.col("week"), started))
 
 
 @query("p34_sticky_value", "entity:i value:d",
