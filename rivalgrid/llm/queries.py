@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalgrid.llm import exact_dedup, mixture, quality, token_counts
+from rivalgrid.llm import bpe, chat, exact_dedup, mixture, ngram_join, pii, quality, secret_scan, token_counts, topk_search
 from rivalgrid.llm.common import read_table, without_blanks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: number of tokens, digests of its ids and of its bytes."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded, codec = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.col("token_ids")
+    return encoded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(ids), 256).alias("decoded_sha256"))
+
+
 @query("op2_mixture", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -56,6 +78,38 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the secrets in it."""
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    order = F.concat("base", "random")
+    return found.select(
+        "doc_id", *[_count("base", k).alias(f"n_{k}") for k in secret_scan.KINDS], F.size("random").cast("long").alias("n_random"),
+        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.array_sort(order, secret_scan.by_start)).alias("spans"))
+
+
+@query("op4_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh
+  FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+r AS (SELECT doc_id, doc_id AS reach FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) AS m USING (doc_id)""")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies."""
+    return ngram_join.components(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
@@ -81,7 +135,59 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_topk", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every vector whose id is divisible by 20."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+@query("op8_chat", r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+h AS (
+  SELECT t.conv_id, p.perspective, pos // 256 AS part, pos, t.role = p.perspective AS own, text,
+         '<|im_start|>' || CASE WHEN t.role = p.perspective THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS piece,
+         coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
+  FROM h)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns, string_agg(piece, '' ORDER BY pos) AS rendered,
+       coalesce(string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begins + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE own), '') AS mask
+FROM o GROUP BY conv_id, perspective, part""")
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered for each of its participants."""
+    return chat.rotate(read_table(spark, sf_dir, "conversations"))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score."""
     return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the personal data in it."""
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_count("base", k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.size("added").cast("long").alias("n_added"),
+        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)

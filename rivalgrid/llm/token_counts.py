@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 CHUNK_CHARS = 1_000_000
 MEMO_WORDS = 300_000
 _NONE = np.iinfo(np.int64).max
-_SPACES = r"\t-\r \x85\xa0  -     　"
+_SPACES = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the split pattern of the vocabulary (matches are kept, the rest is dropped).
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 
