@@ -70,7 +70,7 @@ def _compare(k: int, skip_self: bool):
 
 
 def nearest(
-    queries: DataFrame, pool: DataFrame, k: int, *, skip_self: bool = False, pivots: int | None = None, block: int = 2048
+    queries: DataFrame, pool: DataFrame, k: int, *, skip_self: bool = False, pivots: int = 64, block: int = 2048
 ) -> DataFrame:
     """The k nearest pool rows of the same category per query: (category, qid, id, dist, pos).
 
@@ -78,10 +78,6 @@ def nearest(
     ties go to the smaller id. ``skip_self`` leaves out the pool row with the query's own id.
     """
     pool = cut_lineage(pool.select("category", "id", "vec"))
-    if pivots is None:
-        # more rows, more cells: the work per query grows with the cells it cannot rule out
-        top = pool.groupBy("category").count().agg(F.max("count")).first()[0] or 1
-        pivots = int(min(512, max(8, top ** 0.5 / 2)))
     need = k + (1 if skip_self else 0)
     chosen = top_n_any_size(pool.withColumn("_h", F.xxhash64("id")), ["category"], [F.col("_h").asc(), F.col("id").asc()], "id", pivots)
     per_category = cut_lineage(chosen.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("pivots")))

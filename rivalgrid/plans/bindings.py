@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivalgrid.functions.numeric import ratio
 from rivalgrid.functions.scoring import score
 from rivalgrid.operators.allowed import points_by_group
 from rivalgrid.operators import events as ev
 from rivalgrid.operators.grids import dense_points, with_opponent
-from rivalgrid.session import cut_lineage
+from rivalgrid.session import drops, written
 
 CATEGORIES = ("QB", "RB", "WR", "TE", "K")
 # Binary fractions, so that sums of points are exact in any order.
@@ -18,6 +22,24 @@ RULES = [("RECS", 0.5), ("REY", 0.0625), ("RY10", 1.0), ("RA", 0.25)]
 PARTIAL_SEASON, PARTIAL_WEEK, WEEKS, GROUPS = 2001, 6, 12, 25
 
 
+_WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
+
+
+def written_once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Write what ``build`` returns once per application and input folder; later queries read that table."""
+
+    @wraps(build)
+    def rows(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, drops(spark), sf, f"{build.__module__}.{build.__name__}")
+        if key not in _WRITTEN:
+            df = build(spark, sf)
+            _WRITTEN[key] = written(df), df.schema
+        path, schema = _WRITTEN[key]
+        return spark.read.schema(schema).parquet(path)
+
+    return rows
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -125,6 +147,7 @@ def raw_bids(spark: SparkSession, sf: str) -> DataFrame:
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("tid"))
 
 
+@written_once
 def bids(spark: SparkSession, sf: str) -> DataFrame:
     """Collapsed and classified bids.
 
@@ -132,7 +155,7 @@ def bids(spark: SparkSession, sf: str) -> DataFrame:
     are written once instead of joining and collapsing the raw rows for every reader.
     """
     flat = F.when(F.col("source") == NAMED_SOURCE, FLAT_COST).otherwise(0.0)
-    return cut_lineage(ev.classify(ev.collapse_variants(raw_bids(spark, sf)), flat))
+    return ev.classify(ev.collapse_variants(raw_bids(spark, sf)), flat)
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,9 +184,10 @@ def priced_bids(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(budgets(spark, sf, rows), ["source", "season"], "left").withColumn("pct", ratio("bid", "budget"))
 
 
+@written_once
 def budgeted_bids(spark: SparkSession, sf: str) -> DataFrame:
     """Priced bids with their auction's facts."""
-    return cut_lineage(ev.event_stats(priced_bids(spark, sf)))
+    return ev.event_stats(priced_bids(spark, sf))
 
 
 def rostered(rows: DataFrame) -> DataFrame:

@@ -144,6 +144,26 @@ def settings_documents(spark, sf):
     return dc.settings_rows(docs.select(body.alias("body")), SLOT_NAMES).withColumn("categories", F.array_join("categories", ","))
 
 
+@query("s29_scoring_items", "source:i item:s points:d",
+       "SELECT c_nationkey AS source, c_mktsegment AS item, count(*) / 8.0 AS points FROM customer GROUP BY 1, 2")
+def scoring_items(spark, sf):
+    seg = b.table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg((F.count(F.lit(1)) / 8.0).alias("points"))
+    items = F.collect_list(F.struct(F.col("c_mktsegment").alias("item"), "points"))
+    docs = seg.groupBy("c_nationkey").agg(items.alias("scoring"))
+    body = F.to_json(F.struct(F.col("c_nationkey").alias("source"), F.lit(16).alias("roster_size"), F.create_map(F.lit("GHOST"), F.lit(0)).alias("slots"), "scoring"))
+    bad = docs.select(F.concat(F.lit("not a document "), F.col("c_nationkey").cast("string")).alias("body"))
+    return dc.scoring_rows(docs.select(body.alias("body")).unionByName(bad))
+
+
+@query("s30_ownership_changes", "entity:i change:d",
+       "SELECT l_orderkey AS entity, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE count(*) / 4.0 END AS change FROM lineitem GROUP BY l_orderkey")
+def ownership_documents(spark, sf):
+    """Change in ownership; a document without one counts as unchanged."""
+    rows = b.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("entity")).agg((F.count(F.lit(1)) / 4.0).alias("change"))
+    change = F.when(F.col("entity") % 3 != 0, F.col("change")).alias("change")
+    return dc.ownership_changes(rows.select(F.to_json(F.struct("entity", F.lit("FREEAGENT").alias("status"), change)).alias("body")))
+
+
 @query("s30_waiver_documents", "entity:i clears:s label:s",
        """SELECT l_orderkey AS entity, strftime(max(l_shipdate), '%Y-%m-%d %H:%M') AS clears,
             'On Waivers (' || strftime(timezone('America/New_York', timezone('UTC', max(l_shipdate))), '%a') || ')' AS label FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
@@ -201,15 +221,16 @@ def past_lineups(spark, sf):
 
 
 @query("s32_match_documents", "period:i home:i away:i home_score:d away_score:d",
-       "SELECT s.week AS period, s.grp AS home, s.opp AS away, CASE WHEN s.week < 5 THEN s.pf END AS home_score, CASE WHEN s.week < 5 THEN a.pf END AS away_score FROM v_score s JOIN v_score a ON a.season = s.season AND a.week = s.week AND a.grp = s.opp WHERE s.home AND s.season = 2000")
+       "SELECT s.season * 100 + s.week AS period, s.grp AS home, s.opp AS away, CASE WHEN s.season * 100 + s.week < 200005 THEN s.pf END AS home_score, CASE WHEN s.season * 100 + s.week < 200005 THEN a.pf END AS away_score FROM v_score s JOIN v_score a ON a.season = s.season AND a.week = s.week AND a.grp = s.opp WHERE s.home")
 def match_documents(spark, sf):
-    s = b.scores(spark, sf).where(F.col("season") == 2000)
-    away = s.select("week", F.col("grp").alias("opp"), F.col("pf").alias("away_score"))
-    m = s.where("home").join(away, ["week", "opp"])
+    """Every season's periods, numbered season * 100 + week; the fifth week of 2000 is the current one."""
+    s = b.scores(spark, sf)
+    away = s.select("season", "week", F.col("grp").alias("opp"), F.col("pf").alias("away_score"))
+    m = s.where("home").join(away, ["season", "week", "opp"])
     bye = F.array(F.struct(F.lit(0).cast("long").alias("home"), F.lit(None).cast("long").alias("away"), F.lit(1.0).alias("home_score"), F.lit(None).cast("double").alias("away_score")))
     entry = F.struct(F.col("grp").cast("long").alias("home"), F.col("opp").cast("long").alias("away"), F.col("pf").alias("home_score"), "away_score")
-    docs = m.groupBy(F.col("week").alias("period")).agg(F.concat(F.collect_list(entry), F.first(bye)).alias("matches"))
-    return dc.match_rows(docs.select(F.to_json(F.struct("period", "matches")).alias("body")), 5)
+    docs = m.groupBy((F.col("season") * 100 + F.col("week")).alias("period")).agg(F.concat(F.collect_list(entry), F.first(bye)).alias("matches"))
+    return dc.match_rows(docs.select(F.to_json(F.struct("period", "matches")).alias("body")), 200005)
 
 
 # ---- settings ---------------------------------------------------------------------------------
@@ -229,7 +250,10 @@ def setting_rows(spark, sf):
     rows = b.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("row_no"), F.concat(F.lit(" n"), F.col("c_nationkey").cast("string"), F.lit(" ")).alias("league_slug"),
         F.element_at(F.array(*[F.lit(x) for x in keys]), (k + 1).cast("int")).alias("key"), F.concat(value, F.lit("  ")).alias("value"))
-    return st.latest_settings(rows, "row_no")
+    sheet = tb.scratch(spark, "settings")
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(sheet)
+    landed = st.read_settings(spark, sheet)
+    return st.latest_settings(landed.withColumn("row_no", F.col("row_no").cast("long")), "row_no")
 
 
 @query("s11_settings_sheet", "league_slug:s key:s value:s", "SELECT * FROM v_setting")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivalgrid.functions import stats as fs
@@ -122,21 +123,21 @@ def next_period(spark, sf):
 
 
 @query("p34_sticky_value", "entity:i value:d",
-       """SELECT entity, coalesce(n.v, p.v) AS value FROM (SELECT DISTINCT entity FROM v_perf) e LEFT JOIN (SELECT entity, max(pts) AS v FROM v_perf WHERE season = 2001 AND week = 5 GROUP BY entity) n USING (entity)
-          LEFT JOIN (SELECT entity, max(pts) AS v FROM v_perf WHERE season = 2001 AND week = 4 GROUP BY entity) p USING (entity)""")
+       """WITH run AS (SELECT season, week, row_number() OVER (ORDER BY season DESC, week DESC) AS back FROM (SELECT DISTINCT season, week FROM v_perf))
+          SELECT entity, coalesce(max(pts) FILTER (WHERE back = 1), max(pts) FILTER (WHERE back = 2)) AS value FROM v_perf JOIN run USING (season, week) GROUP BY entity""")
 def sticky(spark, sf):
-    """Last known value across runs."""
+    """The value of the last run, or else of the run before it."""
     rows = b.perf(spark, sf)
-    out = rows.groupBy("entity").agg(
-        F.max(F.when((F.col("season") == 2001) & (F.col("week") == 5), F.col("pts"))).alias("now"),
-        F.max(F.when((F.col("season") == 2001) & (F.col("week") == 4), F.col("pts"))).alias("before"))
-    return out.withColumn("value", F.coalesce("now", "before"))
+    runs = rows.select("season", "week").distinct().orderBy(F.col("season").desc(), F.col("week").desc()).limit(2)
+    back = runs.withColumn("back", F.row_number().over(Window.orderBy(F.col("season").desc(), F.col("week").desc())))
+    return rows.join(back, ["season", "week"], "left").groupBy("entity").agg(F.coalesce(
+        F.max(F.when(F.col("back") == 1, F.col("pts"))), F.max(F.when(F.col("back") == 2, F.col("pts")))).alias("value"))
 
 
 @query("p40_score_or_projection", "season:i week:i grp:i score:d",
-       """SELECT season, week, grp, CASE WHEN week < 6 THEN pf WHEN week = 6 THEN coalesce(CASE WHEN grp % 2 = 0 THEN pf / 2 END, 100.0) ELSE 100.0 END AS score FROM v_score WHERE season = 2000""")
+       """SELECT season, week, grp, CASE WHEN week < 6 THEN pf WHEN week = 6 THEN coalesce(CASE WHEN grp % 2 = 0 THEN pf / 2 END, 100.0) ELSE 100.0 END AS score FROM v_score""")
 def score_or_projection(spark, sf):
-    s = b.scores(spark, sf).where(F.col("season") == 2000)
+    s = b.scores(spark, sf)
     live = F.when(F.col("grp") % 2 == 0, F.col("pf") / 2)
     return s.withColumn("score", fs.score_of(F.col("week"), F.lit(6), F.col("pf"), live, F.lit(100.0)))
 

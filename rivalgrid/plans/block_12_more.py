@@ -167,10 +167,10 @@ def rank_keeps_null(spark, sf):
     return rank_by_category(cells, ["season", "week", "category"], "opp_usual", ["grp"])
 
 
-@query("w07_cumulative_spend", "source:i season:i team:i week:i spent_before:d", f"SELECT source, season, team, week, spent_before FROM ({b2.LEFT_SQL}) WHERE week > 6")
+@query("w07_cumulative_spend", "source:i season:i team:i week:i spent_before:d", f"SELECT source, season, team, week, spent_before FROM ({b2.LEFT_SQL})")
 def cumulative_spend(spark, sf):
     rows = b.bids(spark, sf)
-    return ev.budget_remaining(rows, b.budgets(spark, sf, rows), b.WEEKS).where(F.col("week") > 6)
+    return ev.budget_remaining(rows, b.budgets(spark, sf, rows), b.WEEKS)
 
 
 @query("u01_real_and_synthetic", "source:i season:i synthetic:b n:i cost:d", "SELECT source, season, synthetic, count(*) AS n, sum(cost) AS cost FROM v_promoted GROUP BY source, season, synthetic")
@@ -276,10 +276,11 @@ def alias_both(spark, sf):
 
 
 @query("d02_month_day_year", "event_id:i day:s",
-       "SELECT event_id, CAST(make_date(CASE WHEN 1 + event_id % 12 >= 8 THEN 2023 ELSE 2024 END, 1 + event_id % 12, day(ts)) AS VARCHAR) AS day FROM events WHERE day(ts) <= 28")
+       "SELECT event_id, CAST(TRY_CAST(printf('%d-%02d-%02d', CASE WHEN 1 + event_id % 12 >= 8 THEN 2023 ELSE 2024 END, 1 + event_id % 12, day(ts)) AS DATE) AS VARCHAR) AS day FROM events")
 def month_day(spark, sf):
     month = F.element_at(F.array(*[F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")]), (1 + F.col("event_id") % 12).cast("int"))
-    rows = b.table(spark, sf, "events").where(F.dayofmonth("ts") <= 28)
+    """All days of the month; one that the month has not is NULL."""
+    rows = b.table(spark, sf, "events")
     return rows.select("event_id", tx.month_day_in_season(F.concat_ws(" ", month, F.dayofmonth("ts").cast("string")), F.lit(2023)).alias("day"))
 
 

@@ -166,6 +166,7 @@ def phases(spark, sf):
     return rows.groupBy("season", "week").agg(F.count(F.lit(1)).alias("n")).withColumns(ev.season_phase())
 
 
+@b.written_once
 def promoted(spark, sf):
     return ev.promote_best_failed(trainable(spark, sf))
 

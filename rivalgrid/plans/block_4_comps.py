@@ -19,6 +19,22 @@ K = 5
 CUTOFFS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
 DIST = "round(sqrt({}), 9)"
 
+# The distance features and how SQL says each.
+FEATURE_SQL = {
+    "f_week": "f_week",
+    "prior_points": "prior_points",
+    "had_prior_row": "had_prior_row",
+    "to_date_avg": "coalesce(to_date_avg, 0)",
+    "had_to_date_avg": "CAST(to_date_avg IS NOT NULL AS DOUBLE)",
+    "weekly_rank": "coalesce(weekly_rank, 150)",
+    "had_weekly_rank": "CAST(weekly_rank IS NOT NULL AS DOUBLE)",
+    "ros_rank": "coalesce(ros_rank, 150)",
+    "had_ros_rank": "CAST(ros_rank IS NOT NULL AS DOUBLE)",
+    "own_status_flag": "own_status_flag",
+    "peer_out": "peer_out",
+    "peer_out_new": "peer_out_new",
+}
+
 VIEWS.update({
     "v_rank": "SELECT event_type AS page, user_id // 5 AS id, CAST(ts AS DATE) AS day, value AS ecr, event_id FROM events",
     "v_cutoff": "SELECT i AS cutoff, CAST(d AS DATE) AS d FROM (VALUES (1, '2024-01-08'), (2, '2024-01-15'), (3, '2024-01-22'), (4, '2024-01-29')) t(i, d)",
@@ -51,18 +67,10 @@ VIEWS.update({
                   WHERE m.season = a.season AND m.week = a.week AND m.grp = a.grp AND m.category = a.category AND m.entity <> a.entity AND m.carries = 0
                     AND coalesce(o.carries, 1) <> 0) AS peer_out_new
         FROM v_part_perf a""",
-    "v_vec": """
-        SELECT f.*, [(f_week - m1) / s1, (prior_points - m2) / s2, (had_prior_row - m3) / s3, (coalesce(to_date_avg, 0) - m4) / s4, (coalesce(weekly_rank, 150) - m5) / s5,
-                     (coalesce(ros_rank, 150) - m6) / s6, (CAST(ros_rank IS NOT NULL AS DOUBLE) - m7) / s7, (own_status_flag - m8) / s8, (peer_out - m9) / s9] AS vec
-        FROM v_feat f CROSS JOIN (
-          SELECT avg(f_week) AS m1, avg(prior_points) AS m2, avg(had_prior_row) AS m3, avg(coalesce(to_date_avg, 0)) AS m4, avg(coalesce(weekly_rank, 150)) AS m5,
-                 avg(coalesce(ros_rank, 150)) AS m6, avg(CAST(ros_rank IS NOT NULL AS DOUBLE)) AS m7, avg(own_status_flag) AS m8, avg(peer_out) AS m9,
-                 CASE WHEN stddev_pop(f_week) > 1e-9 THEN stddev_pop(f_week) ELSE 1 END AS s1, CASE WHEN stddev_pop(prior_points) > 1e-9 THEN stddev_pop(prior_points) ELSE 1 END AS s2,
-                 CASE WHEN stddev_pop(had_prior_row) > 1e-9 THEN stddev_pop(had_prior_row) ELSE 1 END AS s3, CASE WHEN stddev_pop(coalesce(to_date_avg, 0)) > 1e-9 THEN stddev_pop(coalesce(to_date_avg, 0)) ELSE 1 END AS s4,
-                 CASE WHEN stddev_pop(coalesce(weekly_rank, 150)) > 1e-9 THEN stddev_pop(coalesce(weekly_rank, 150)) ELSE 1 END AS s5, CASE WHEN stddev_pop(coalesce(ros_rank, 150)) > 1e-9 THEN stddev_pop(coalesce(ros_rank, 150)) ELSE 1 END AS s6,
-                 CASE WHEN stddev_pop(CAST(ros_rank IS NOT NULL AS DOUBLE)) > 1e-9 THEN stddev_pop(CAST(ros_rank IS NOT NULL AS DOUBLE)) ELSE 1 END AS s7,
-                 CASE WHEN stddev_pop(own_status_flag) > 1e-9 THEN stddev_pop(own_status_flag) ELSE 1 END AS s8, CASE WHEN stddev_pop(peer_out) > 1e-9 THEN stddev_pop(peer_out) ELSE 1 END AS s9 FROM v_feat)""",
-    "v_emb": "SELECT vec_id AS id, label AS category, [CAST(x AS DOUBLE) FOR x IN embedding[1:8]] AS vec FROM embeddings",
+    "v_vec": f"""
+        SELECT f.*, [{', '.join(f'({x} - m_{n}) / s_{n}' for n, x in FEATURE_SQL.items())}] AS vec
+        FROM v_feat f CROSS JOIN (SELECT {', '.join(f'avg({x}) AS m_{n}, CASE WHEN stddev_pop({x}) > 1e-9 THEN stddev_pop({x}) ELSE 1 END AS s_{n}' for n, x in FEATURE_SQL.items())} FROM v_feat)""",
+    "v_emb": "SELECT vec_id AS id, label AS category, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings",
     "v_emb_near": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS pos FROM (
           SELECT q.category, q.id AS qid, p.id, round(list_distance(q.vec, p.vec), 9) AS dist FROM v_emb q JOIN v_emb p ON q.category = p.category AND q.id <> p.id)) WHERE pos <= 5""",
@@ -94,7 +102,7 @@ VIEWS.update({
                     SELECT season, week, entity, cost / budget AS value, count(*) OVER (PARTITION BY season, week, entity) AS wins
                     FROM v_promoted WHERE signal = 'won' AND budget > 0) v USING (season, week, entity) GROUP BY c.qid, v.value)) GROUP BY qid) f USING (qid)""",
 })
-FEATS = ["f_week", "prior_points", "had_prior_row", "to_date_avg", "weekly_rank", "ros_rank", "had_ros_rank", "own_status_flag", "peer_out"]
+FEATS = list(FEATURE_SQL)
 
 
 def snapshots(spark, sf):
@@ -160,6 +168,7 @@ def peer_status(spark, sf):
     return peers(spark, sf)
 
 
+@b.written_once
 def pool_rows(spark, sf):
     """The interest pool with its features: one row per pooled event."""
     bids = b.bids(spark, sf).drop("tid")
@@ -210,8 +219,9 @@ def feature_vector(spark, sf):
     return features(pool_rows(spark, sf))
 
 
+@b.written_once
 def vectors(spark, sf):
-    rows = cut_lineage(features(pool_rows(spark, sf)))
+    rows = features(pool_rows(spark, sf))
     return rows.withColumn("vec", standardized(feature_stats(rows, FEATS)))
 
 
@@ -225,7 +235,7 @@ def stats(spark, sf):
 
 def embedding_rows(spark, sf):
     return b.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("label").alias("category"), F.slice("embedding", 1, 8).cast("array<double>").alias("vec"))
+        F.col("vec_id").alias("id"), F.col("label").alias("category"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 @query("m02_nearest_neighbours", "category:i qid:i id:i dist:d pos:i", "SELECT * FROM v_emb_near")

@@ -19,7 +19,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 _DIGITS = 6
-_NUDGE = 3.1e-8
+_NUDGE = 3.137e-8  # off the grid of values rounded to nine digits, so those never become halves
 
 
 def _spec(text: str) -> list[tuple[str, str]]:

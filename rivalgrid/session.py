@@ -27,27 +27,56 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, local_folder: str | None = None) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``. Only a local master without that
-    setting gets a scratch folder of its own."""
+    setting takes ``local_folder``, or else a scratch folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            folder = local_folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+_cuts: dict[str, list[str]] = {}
+_drops: dict[str, int] = {}
+
+
+def written(df: DataFrame) -> str:
+    """Write ``df`` as a table of its own in the shared folder and say where."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _cuts.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_cuts(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this application wrote, but for the first ``since``; how many went.
+
+    For callers that are done with every DataFrame built from them: those can no longer be read.
+    """
+    cuts = _cuts.get(spark.sparkContext.applicationId, [])
+    gone = cuts[since:]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del cuts[since:]
+    _drops[spark.sparkContext.applicationId] = drops(spark) + 1
+    return len(gone)
+
+
+def drops(spark: SparkSession) -> int:
+    """How often this application has deleted its tables."""
+    return _drops.get(spark.sparkContext.applicationId, 0)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read that instead.
 
     A lost executor can no longer change it, readers scan only the columns they use, and the table's
     size is known to the planner when it picks a join.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
