@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from rivalgrid.session import cut_lineage
 
 CLASS_STARTS = (1, 128, 512, 2048)
-PIVOTS = 16
+PIVOTS = 64
 #: Rows up to which a table of (id, node) is sent to all executors (about 10 MB); beyond, it is shuffled.
 SMALL_TABLE = 200_000
 _TOP = 1 << 63
@@ -120,18 +120,23 @@ def _slices(docs: DataFrame, plan: Plan) -> DataFrame:
     return cut_lineage(cut_up.withColumn("row", F.monotonically_increasing_id()))
 
 
+def spare(n: Column, plan: Plan) -> Column:
+    """``Plan.spare`` as a column."""
+    return n - F.ceil(n * plan.top / F.lit(plan.bottom))
+
+
 def _prefixes(sliced: DataFrame, plan: Plan) -> DataFrame:
-    """node, c, n and the prefixes p1, p2, p3 under the three orders, for nodes whose prefix holds a
-    token of another document. One node stands for all rows of a print."""
+    """node, c, n, the size of its slice, its tokens that other documents have too (met) and the prefixes
+    p1, p2, p3 under the three orders, for nodes whose prefix holds a token of another document. One
+    node stands for all rows of a print."""
     each = sliced.select("row", "n", F.explode("slices").alias("s")).select("row", "n", F.col("s.c").alias("c"), F.col("s.tokens").alias("tokens"))
     postings = each.select("row", "c", F.explode("tokens").alias("token"))
     shared = cut_lineage(postings.groupBy("token", "c").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     met = postings.join(shared, ["token", "c"]).groupBy("row", "c").agg(F.collect_list(F.struct("df", "token")).alias("met"))
     sizes = sliced.select("row", "print", "n", F.explode("slices").alias("s")).select(
         "row", "print", "n", F.col("s.c").alias("c"), F.size("s.tokens").alias("taken"))
-    spare = F.col("n") - F.ceil(F.col("n") * plan.top / F.lit(plan.bottom)) + 1
     # tokens of this document alone come first in every order and fill the prefix
-    ranked = met.join(sizes, ["row", "c"]).withColumn("room", (spare - (F.col("taken") - F.size("met"))).cast("int")).where("room > 0")
+    ranked = met.join(sizes, ["row", "c"]).withColumn("room", (spare(F.col("n"), plan) + 1 - (F.col("taken") - F.size("met"))).cast("int")).where("room > 0")
     one = ranked.groupBy("print", "c").agg(F.min("row").alias("row"))
     ranked = ranked.join(one.select("row", "c"), ["row", "c"], "left_semi")
 
@@ -144,7 +149,7 @@ def _prefixes(sliced: DataFrame, plan: Plan) -> DataFrame:
     by_count = lambda s: s["df"]
     power = lambda s: F.floor(F.log2(s["df"].cast("double"))).cast("long")
     return cut_lineage(ranked.select(
-        F.col("row").alias("node"), "print", "c", "n",
+        F.col("row").alias("node"), "print", "c", "n", "taken", F.transform("met", lambda s: s["token"]).alias("met"),
         first(keyed(by_count, lambda s: s["token"])).alias("p1"),
         first(keyed(by_count, lambda s: -s["token"])).alias("p2"),
         first(keyed(power, lambda s: F.xxhash64(s["token"]))).alias("p3")))
@@ -172,14 +177,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b, c) that share prefixes under the other two orders and are similar enough."""
-    left = nodes.select(F.col("node").alias("a"), "c", F.col("n").alias("na"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    right = nodes.select(F.col("node").alias("b"), "c", F.col("n").alias("nb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
+    """The pairs (a, b, c) that share prefixes under the other two orders and are similar enough.
+
+    Before the sets are read, their slices must agree: what one slice has and the other lacks counts
+    against the tokens that its document may have alone.
+    """
+    def side(x: str) -> DataFrame:
+        return nodes.select(
+            F.col("node").alias(x), "c", F.col("n").alias(f"n{x}"), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"),
+            F.col("met").alias(f"met{x}"), (F.col("taken") - spare(F.col("n"), plan)).alias(f"least{x}"))
+
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    in_slice = F.size(F.array_intersect("meta", "metb"))
     candidates = (
-        pairs.join(left, ["a", "c"]).join(right, ["b", "c"])
+        pairs.join(side("a"), ["a", "c"]).join(side("b"), ["b", "c"])
         .where((small * plan.bottom >= large * plan.top) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-        .select("a", "b").distinct())
+        .where(in_slice >= F.greatest("leasta", "leastb")).select("a", "b").distinct())
     both = (
         candidates.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
@@ -192,18 +205,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, plan: Plan) -
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, comp) after joining the components that ``links`` (a, b) connect: every
     component hooks to its smallest neighbour until no link leaves a component."""
-    while True:
+    while not links.isEmpty():
         of_a = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         of_b = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         open_links = links.join(of_a, "a").join(of_b, "b").where("ca <> cb").select("ca", "cb")
         both = open_links.unionByName(open_links.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
         hooks = cut_lineage(both.groupBy(F.col("ca").alias("comp")).agg(F.min("cb").alias("up")).where("up < comp"))
         if hooks.isEmpty():
-            return labels
+            break
         # one step further up where the neighbour hooks too
         above = hooks.select(F.col("comp").alias("up"), F.col("up").alias("upper"))
         ups = hooks.join(above, "up", "left").select("comp", F.coalesce("upper", "up").alias("up"))
         labels = cut_lineage(labels.join(ups, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+    return labels
 
 
 def _linked(nodes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -218,26 +232,28 @@ def _linked(nodes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     pairs = cut_lineage(best.select(F.col("node").alias("a"), (-F.col("m.p")).alias("b"), F.col("m.c").alias("c")))
     labels = joined_components(labels, _verified(pairs, nodes, sets, plan))
     tested = pairs.select("a", "b")
-    done = None
+    members = members.withColumn("played", F.lit(False))
     while True:
+        # what is settled stays settled, so each round keeps the nodes of open tokens alone
         now = members.join(labels, "node")
-        waiting = now if done is None else now.join(done, [*keys, "node"], "left_anti")
-        unsettled = waiting.groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("high")
-        order = Window.partitionBy(*keys).orderBy(F.col("comp").desc(), "node")
+        unsettled = now.where("not played").groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("high")
+        now = cut_lineage(now.join(unsettled, keys))
+        if now.isEmpty():
+            return labels
         # the nodes of the smallest component number wait longest: they are often the group of copies
+        order = Window.partitionBy(*keys).orderBy(F.col("comp").desc(), "node")
         turn = cut_lineage(
-            waiting.join(unsettled, keys).where("comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= PIVOTS)
+            now.where("not played and comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= PIVOTS)
             .select(*keys, F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")))
-        if turn.isEmpty():
-            return labels
         met = now.join(turn, keys).where("comp <> pivot_comp").select(
             F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "c").distinct()
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
         labels = joined_components(labels, _verified(pairs, nodes, sets, plan))
         tested = tested.unionByName(pairs.select("a", "b"))
-        played = turn.select(*keys, F.col("pivot").alias("node"))
-        done = cut_lineage(played if done is None else done.unionByName(played))
+        now_played = turn.select(*keys, F.col("pivot").alias("node"), F.lit(True).alias("now_played"))
+        members = now.join(now_played, [*keys, "node"], "left").select(
+            *keys, "node", (F.col("played") | F.coalesce("now_played", F.lit(False))).alias("played"))
 
 
 def components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
