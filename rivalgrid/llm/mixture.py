@@ -66,15 +66,19 @@ def mix(
     column called like a result gives way to it. Without ``keep_text`` the text is left out.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    part, name, here, start = fresh(docs, "part", "name", "here", "start")
+    part, name, here, start, before = fresh(docs, "part", "name", "here", "start", "before")
     keyed = docs.withColumns({
         "size": size_of(F.col(text)), name: F.concat(F.lit("="), F.col(source)),
         part: F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))), 1, 2)})
     keyed = keyed.withColumn(name, F.coalesce(F.col(name), F.lit(">")))  # ">" sorts after "=...": NULL last, and NULLs join
     counts = keyed.groupBy(name, "size", part).agg(F.count(F.lit(1)).alias("n"))
     to = targets(counts.select(name, (F.col("size") * F.col("n")).alias("words")), name, "words")
-    earlier = Window.partitionBy(name).orderBy("size", part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(name, "size", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start)).join(to, name)
+    # where each slice begins: the rows of smaller sizes of its source, then the slices before it
+    smaller = Window.partitionBy(name).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = counts.groupBy(name, "size").agg(F.sum("n").alias("n")).select(name, "size", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias(before))
+    earlier = Window.partitionBy(name, "size").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.select(name, "size", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
+    starts = slices.join(by_size, [name, "size"]).withColumn(start, F.col(start) + F.col(before)).drop(before).join(to, name)
     rows = keyed if keep_text else keyed.drop(text)
     inside = Window.partitionBy(name, "size", part).orderBy(F.col(doc_id).asc_nulls_last())
     placed = rows.withColumn(here, F.row_number().over(inside)).join(starts, [name, "size", part])
