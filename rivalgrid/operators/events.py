@@ -128,11 +128,6 @@ def event_stats(bids: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(counts, F.col(c)) for c in ("n_bids", "win_bid", "runner_up")})
 
 
-def one_per_event(bids: DataFrame, by: Sequence[str] = EVENT) -> DataFrame:
-    """The most informative row of each event; ties by row key."""
-    return first_row(bids, by, [signal_priority().alias("p"), F.col("tid")])
-
-
 def promote_best_failed(bids: DataFrame) -> DataFrame:
     """Add a synthetic win where a source's event has only failed bids: its highest bid."""
     real = F.col("signal").isin("won", "outbid")
@@ -264,9 +259,6 @@ NUMERIC_FEATURES = {
 HAD_FLAGS = ("snap_share", "trailing_avg", "to_date_avg", "weekly_rank", "ros_rank", "carry_share", "target_share")
 FLAG_FEATURES = ("had_prior_row", "own_status_flag", "peer_out", "peer_out_new")
 FEATURES = ["week", *NUMERIC_FEATURES, *[f"had_{f}" for f in HAD_FLAGS], *FLAG_FEATURES]
-# Features left out of the distance.
-NOT_IN_DISTANCE = {f for s in ("snap_share", "carry_share", "target_share", "trailing_avg") for f in (s, f"had_{s}")}
-DISTANCE_FEATURES = [f for f in FEATURES if f not in NOT_IN_DISTANCE]
 
 
 def feature_columns() -> list[Column]:

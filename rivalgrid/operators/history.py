@@ -184,5 +184,3 @@ def with_and_without_playoffs(games: DataFrame) -> DataFrame:
     return games.withColumn("pool", F.explode(pools))
 
 
-def ranked_values(rows: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
-    return row_numbers_any_size(rows, by, [F.col(value).desc(), F.col(key).asc()])

@@ -121,10 +121,6 @@ def trailing(df: DataFrame, by: Sequence[str], period: str, n: int) -> DataFrame
     return row_numbers(df, by, [F.col(period).desc()], "_back").where(F.col("_back") <= n).drop("_back")
 
 
-def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    return row_numbers(df, by, order, "_pos").where(F.col("_pos") <= n).drop("_pos")
-
-
 def leave_one_out(df: DataFrame, by: Sequence[str], value: str, name: str, alone: float | None = None) -> DataFrame:
     """Average of the other rows of the group; ``alone`` when there is no other row."""
     w = Window.partitionBy(*by)
@@ -134,8 +130,14 @@ def leave_one_out(df: DataFrame, by: Sequence[str], value: str, name: str, alone
 
 
 def non_increasing(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.min(value).over(w))
+    """Smallest value so far, for groups of any size: inside blocks, and over the blocks before."""
+    rows = _blocks(df, by, [F.col(order).asc()])
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = rows.groupBy(*by, "_block").agg(F.min(value).alias("_low")).select(*by, "_block", F.min("_low").over(before).alias("_before"))
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # least() passes over NULL: the first block has nothing before it
+    return rows.withColumn("_inside", F.min(value).over(inside)).join(lowest, [*by, "_block"]).withColumn(
+        name, F.least("_inside", "_before")).drop("_inside", "_before", "_block")
 
 
 def percentiles_any_size(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -171,21 +173,23 @@ def weighted_percentiles_any_size(
 
 
 def top_n_any_size(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int, name: str = "pos") -> DataFrame:
-    """The first n rows of each group: each of 64 slices is cut to n rows before slices meet."""
+    """The first n rows of each group: a group is cut to n rows in each slice before slices meet, with as
+    many slices as there are shuffle partitions."""
+    slices = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = Window.partitionBy(*by, "_slice").orderBy(*order)
     whole = Window.partitionBy(*by).orderBy(*order)
     return (
-        df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("_p", F.row_number().over(part))
+        df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices))).withColumn("_p", F.row_number().over(part))
         .where(F.col("_p") <= n).withColumn(name, F.row_number().over(whole)).where(F.col(name) <= n).drop("_slice", "_p")
     )
 
 
 def first_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], columns: Sequence[str] | None = None) -> DataFrame:
-    """The first row of each group as an aggregate, so hot groups combine before the shuffle.
+    """The first row of each group. Spark's group limit keeps one row per group and task before the
+    shuffle, so hot groups stay small and only those rows are sorted again.
 
     ``order`` is ascending and must end in a unique key.
     """
     names = [c for c in (columns or df.columns) if c not in by]
-    # the order leads the struct, so its minimum is the first row
-    keyed = F.struct(F.struct(*order).alias("_order"), *names)
-    return df.groupBy(*by).agg(F.min(keyed).alias("_row")).select(*by, *[F.col(f"_row.{c}").alias(c) for c in names])
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= 1).select(*by, *names)

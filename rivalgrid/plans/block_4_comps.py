@@ -52,12 +52,15 @@ VIEWS.update({
     "v_feat": """
         SELECT k.season, k.week, k.entity, k.category, k.eligible, k.acting, CAST(k.season AS BIGINT) * 10000000 + k.week * 100000 + k.entity AS id,
                CAST(k.week AS DOUBLE) AS f_week, coalesce(p.pts, 0.0) AS prior_points, CAST(p.pts IS NOT NULL AS DOUBLE) AS had_prior_row,
+               p.snaps / nullif(g.snaps, 0) AS snap_share, p.carries / nullif(g.carries, 0) AS carry_share, p.yards / nullif(g.yards, 0) AS target_share,
                (SELECT avg(x.pts) FROM v_part_perf x WHERE x.season = k.season AND x.entity = k.entity AND x.week < k.week) AS to_date_avg,
                (SELECT avg(x.pts) FROM v_part_perf x WHERE x.season = k.season AND x.entity = k.entity AND x.week IN (k.week - 2, k.week - 3)) AS trailing_avg,
                (SELECT arg_max(x.ecr, x.week) FROM v_entity_rank x WHERE x.season = k.season AND x.entity = k.entity AND x.week < k.week AND x.week % 3 <> 0) AS weekly_rank,
                r.ros_rank, coalesce(CAST(n.carries = 0 AS DOUBLE), 0.0) AS own_status_flag,
                coalesce(CAST(peer_out AS DOUBLE), 0.0) AS peer_out, coalesce(CAST(peer_out_new AS DOUBLE), 0.0) AS peer_out_new
         FROM v_pool_keys k LEFT JOIN v_part_perf p ON p.season = k.season AND p.week = k.week - 1 AND p.entity = k.entity
+        LEFT JOIN (SELECT season, week, grp, sum(snaps) AS snaps, sum(carries) AS carries, sum(yards) AS yards FROM v_part_perf GROUP BY season, week, grp) g
+          ON g.season = p.season AND g.week = p.week AND g.grp = p.grp
         LEFT JOIN v_ros r ON r.season = k.season AND r.entity = k.entity
         LEFT JOIN v_peer n ON n.season = k.season AND n.week = k.week AND n.entity = k.entity""",
     "v_peer": """
@@ -180,7 +183,10 @@ def pool_rows(spark, sf):
         F.count_distinct(F.when(acted, F.col("source"))).alias("acting"))
     perf = cut_lineage(b.part_perf(spark, sf))
     by = ["season", "entity"]
-    prior = perf.select(*by, (F.col("week") + 1).alias("week"), F.col("pts").alias("prior_points"))
+    share = {"snap_share": "snaps", "carry_share": "carries", "target_share": "yards"}
+    of_group = perf.groupBy("season", "week", "grp").agg(*[F.sum(c).alias(f"_{c}") for c in share.values()])
+    prior = perf.join(of_group, ["season", "week", "grp"]).select(
+        *by, (F.col("week") + 1).alias("week"), F.col("pts").alias("prior_points"), *[(F.col(c) / F.nullif(F.col(f"_{c}"), F.lit(0.0))).alias(n) for n, c in share.items()])
     ranked = row_numbers_any_size(perf, ["season", "week", "category"], [F.col("pts").desc(), F.col("entity").asc()], "ecr")
     seen = ranked.where(F.col("week") % 3 != 0).select(*by, (F.col("week") + 1).alias("week"), F.col("ecr").alias("weekly_rank"))
     weekly = asof.carry_forward(seen, by, "week", "weekly_rank", b.WEEKS + 1)
@@ -209,14 +215,19 @@ def features(rows):
             "own_status_flag": c("own_status_flag", F.lit(0.0)), "peer_out": c("peer_out", F.lit(0.0)), "peer_out_new": c("peer_out_new", F.lit(0.0))})
 
 
-@query("p05_feature_vector",
-       "season:i week:i entity:i acting:i eligible:i prior_points:d had_prior_row:d to_date_avg:d had_to_date_avg:d trailing_avg:d weekly_rank:d had_weekly_rank:d ros_rank:d had_ros_rank:d own_status_flag:d peer_out:d peer_out_new:d",
-       """SELECT season, week, entity, acting, eligible, prior_points, had_prior_row, coalesce(to_date_avg, 0) AS to_date_avg, CAST(to_date_avg IS NOT NULL AS DOUBLE) AS had_to_date_avg, trailing_avg,
-            coalesce(weekly_rank, 150) AS weekly_rank, CAST(weekly_rank IS NOT NULL AS DOUBLE) AS had_weekly_rank, coalesce(ros_rank, 150) AS ros_rank, CAST(ros_rank IS NOT NULL AS DOUBLE) AS had_ros_rank,
-            own_status_flag, peer_out, peer_out_new FROM v_feat""")
+SHARES = ("snap_share", "carry_share", "target_share")
+HAD = ("snap_share", "trailing_avg", "to_date_avg", "weekly_rank", "ros_rank", "carry_share", "target_share")
+FEATURE_SPEC = " ".join(f"{f}:d" for f in ev.FEATURES if f != "week")
+
+
+@query("p05_feature_vector", f"season:i week:i entity:i acting:i eligible:i {FEATURE_SPEC}",
+       f"""SELECT season, week, entity, acting, eligible, prior_points, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*SHARES, 'trailing_avg', 'to_date_avg'))},
+             coalesce(weekly_rank, 150) AS weekly_rank, coalesce(ros_rank, 150) AS ros_rank, {', '.join(f'CAST({c} IS NOT NULL AS DOUBLE) AS had_{c}' for c in HAD)},
+             had_prior_row, own_status_flag, peer_out, peer_out_new FROM v_feat""")
 def feature_vector(spark, sf):
-    """Bids joined to identity, windows, ranks and peer status."""
-    return features(pool_rows(spark, sf))
+    """The 20 features of bids joined to identity, windows, shares, ranks and peer status."""
+    rows = pool_rows(spark, sf).withColumn("had_prior_row", F.col("prior_points").isNotNull())
+    return rows.select("season", "entity", "acting", "eligible", *ev.feature_columns())
 
 
 @b.written_once

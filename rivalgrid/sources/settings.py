@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
+FALSE_WORDS = ("false", "0", "no", "n", "f")
 
 
 def read_settings(spark, path: str) -> DataFrame:
@@ -31,7 +32,7 @@ def apply_settings(settings: DataFrame, defaults: DataFrame) -> tuple[DataFrame,
     """
     known = settings.join(defaults.select("key", "kind", F.col("value").alias("_default")), "key", "left")
     number = F.expr("try_cast(value AS double)")
-    flag = F.lower("value").isin("true", "false", "1", "0", "yes", "no")
+    flag = F.lower("value").isin(*TRUE_WORDS, *FALSE_WORDS)
     ok = F.when(F.col("kind") == "number", number.isNotNull()).when(F.col("kind") == "flag", flag).otherwise(F.lit(True))
     applied = known.where(F.col("kind").isNotNull() & ok).select("league_slug", "key", "kind", "value")
     tenants = settings.select("league_slug").distinct()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,12 @@ def read_seasons(
     return normalize_groups(rows, group_columns, aliases) if group_columns else rows
 
 
+def in_years(date: str, years: Sequence[int]) -> Column:
+    """Date ranges of the years, which reach the scan as filters where ``year(date)`` would not."""
+    spans = [(F.col(date) >= F.lit(f"{y}-01-01").cast("date")) & (F.col(date) < F.lit(f"{y + 1}-01-01").cast("date")) for y in years]
+    return reduce(or_, spans, F.lit(False))
+
+
 def normalize_groups(df: DataFrame, columns: Sequence[str], aliases: dict[str, str] | None = None) -> DataFrame:
     """Replace group-name aliases in the listed columns; unknown names stay."""
     return df.replace(aliases or GROUP_ALIASES, subset=list(columns))
@@ -58,8 +66,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_tenant_tables(df: DataFrame, path: str, tenant: str) -> None:
-    """Overwrite only the tenants present in ``df``; the others keep their last output."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
+    """Overwrite only the tenants present in ``df``; the others keep their last output. Rows of a tenant
+    are spread over a few files instead of one per task and tenant."""
+    spread = df.repartition(tenant, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
