@@ -7,13 +7,14 @@ rest: by (documents, number), by (documents, number downwards) and by (power of
 mixed number). A pair is a candidate only if it shares a prefix token under every one of them; the
 sets themselves are compared last.
 
-Small tokens first, and only a slice. Any global order will do, so the orders begin with the tokens
-whose number lies in the lowest part of the number range, large enough to hold all prefixes; only
-those tokens are counted and joined, and a document whose slice is too short adds its next tokens.
-Longer documents need a smaller part, so documents are dealt to classes by size, each with its own
-part; a document near the upper end of its class joins the next one too, so every pair within the
-threshold meets in the class of its smaller set. A token that one document has makes no candidate,
-and fills that document's prefix: most documents leave the join there.
+A first pass takes only a slice. Any global order will do, so it begins with the tokens whose number
+lies in the lowest part of the number range, large enough to hold all prefixes; only those tokens are
+counted and joined, and a document whose slice is too short adds its next tokens. Longer documents
+need a smaller part, so documents are dealt to classes by size, each with its own part; a document
+near the upper end of its class joins the next one too, so every pair within the threshold meets in
+the class of its smaller set. A token that one document has makes no candidate, and fills that
+document's prefix: most documents leave the join there. The second pass counts all tokens of those
+that are left and takes their prefixes under the three orders.
 
 No all-pairs. Equal sets are one node. In each round every prefix token names pivots among its
 nodes; nodes are compared with pivots outside their component, links join components, and a token
@@ -25,7 +26,7 @@ are kept as tables; the driver sees counts alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from rivalgrid.session import cut_lineage
 
 CLASS_STARTS = (1, 128, 512, 2048)
-PIVOTS = 64
+PIVOTS = 16
 #: Rows up to which a table of (id, node) is sent to all executors (about 10 MB); beyond, it is shuffled.
 SMALL_TABLE = 200_000
 _TOP = 1 << 63
@@ -125,34 +126,47 @@ def spare(n: Column, plan: Plan) -> Column:
     return n - F.ceil(n * plan.top / F.lit(plan.bottom))
 
 
-def _prefixes(sliced: DataFrame, plan: Plan) -> DataFrame:
-    """node, c, n, the size of its slice, its tokens that other documents have too (met) and the prefixes
-    p1, p2, p3 under the three orders, for nodes whose prefix holds a token of another document. One
+def _first(met: str, room: str, order: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """The first ``room`` tokens of ``met`` (df, token) in an order."""
+    keyed = F.transform(met, lambda s: F.struct(*[k.alias(n) for k, n in zip(order(s), ("major", "minor"), strict=True)], s["token"].alias("token")))
+    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col(room)), lambda s: s["token"])
+
+
+def _alive(sliced: DataFrame, plan: Plan) -> DataFrame:
+    """node and print of the sets whose prefix within their slice holds a token of another document; one
     node stands for all rows of a print."""
-    each = sliced.select("row", "n", F.explode("slices").alias("s")).select("row", "n", F.col("s.c").alias("c"), F.col("s.tokens").alias("tokens"))
+    each = sliced.select("row", F.explode("slices").alias("s")).select("row", F.col("s.c").alias("c"), F.col("s.tokens").alias("tokens"))
     postings = each.select("row", "c", F.explode("tokens").alias("token"))
-    shared = cut_lineage(postings.groupBy("token", "c").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    met = postings.join(shared, ["token", "c"]).groupBy("row", "c").agg(F.collect_list(F.struct("df", "token")).alias("met"))
+    shared = cut_lineage(postings.groupBy("token", "c").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "c"))
+    met = postings.join(shared, ["token", "c"]).groupBy("row", "c").agg(F.count(F.lit(1)).alias("met"))
     sizes = sliced.select("row", "print", "n", F.explode("slices").alias("s")).select(
         "row", "print", "n", F.col("s.c").alias("c"), F.size("s.tokens").alias("taken"))
     # tokens of this document alone come first in every order and fill the prefix
-    ranked = met.join(sizes, ["row", "c"]).withColumn("room", (spare(F.col("n"), plan) + 1 - (F.col("taken") - F.size("met"))).cast("int")).where("room > 0")
-    one = ranked.groupBy("print", "c").agg(F.min("row").alias("row"))
-    ranked = ranked.join(one.select("row", "c"), ["row", "c"], "left_semi")
+    rows = met.join(sizes, ["row", "c"]).where(spare(F.col("n"), plan) + 1 > F.col("taken") - F.col("met"))
+    return cut_lineage(rows.groupBy("print").agg(F.min("row").alias("node")))
 
-    def first(key: Column) -> Column:
-        return F.transform(F.slice(F.array_sort(key), F.lit(1), F.col("room")), lambda s: s["token"])
 
-    def keyed(major, minor) -> Column:
-        return F.transform("met", lambda s: F.struct(major(s).alias("major"), minor(s).alias("minor"), s["token"].alias("token")))
+def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
+    """node, n, over, met (tokens that other nodes have too) and the prefixes p1, p2, p3 under the three
+    orders, for nodes whose prefix over the whole set holds a token of another node.
 
-    by_count = lambda s: s["df"]
-    power = lambda s: F.floor(F.log2(s["df"].cast("double"))).cast("long")
+    ``over`` says by how much the tokens that a node has alone exceed its share of what two linked
+    sets may differ in: linked sets have D (bottom + top) <= (n + n') (bottom - top) for a difference
+    of D, so the sum of their ``over`` is at most 0.
+    """
+    postings = sets.select("node", F.explode("tokens").alias("token"))
+    shared = cut_lineage(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    met = postings.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("met"))
+    ranked = (
+        met.join(sets.select("node", F.size("tokens").cast("long").alias("n")), "node").withColumn("alone", F.col("n") - F.size("met"))
+        .withColumn("room", (spare(F.col("n"), plan) + 1 - F.col("alone")).cast("int")).where("room > 0"))
+    power = lambda s: F.floor(F.log2(s["df"].cast("double")))
     return cut_lineage(ranked.select(
-        F.col("row").alias("node"), "print", "c", "n", "taken", F.transform("met", lambda s: s["token"]).alias("met"),
-        first(keyed(by_count, lambda s: s["token"])).alias("p1"),
-        first(keyed(by_count, lambda s: -s["token"])).alias("p2"),
-        first(keyed(power, lambda s: F.xxhash64(s["token"]))).alias("p3")))
+        "node", "n", (F.col("alone") * (plan.bottom + plan.top) - F.col("n") * (plan.bottom - plan.top)).alias("over"),
+        F.transform("met", lambda s: s["token"]).alias("met"),
+        _first("met", "room", lambda s: (s["df"], s["token"])).alias("p1"),
+        _first("met", "room", lambda s: (s["df"], -s["token"])).alias("p2"),
+        _first("met", "room", lambda s: (power(s), F.xxhash64(s["token"]))).alias("p3")))
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -170,36 +184,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
             marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["print", "tokens"])
 
-    nodes = wanted.select("print", "node").distinct()
-    found = texts.mapInArrow(whole, "print binary, tokens array<bigint>")
-    once = found.join(nodes, "print").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    return cut_lineage(once)
+    nodes = wanted.select("print", "node")
+    found = texts.mapInArrow(whole, "print binary, tokens array<bigint>").join(_small(nodes, nodes.count()), "print")
+    return cut_lineage(found.groupBy("node").agg(F.first("tokens").alias("tokens")))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b, c) that share prefixes under the other two orders and are similar enough.
+def _verified(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that share prefixes under the other two orders and are similar enough. What two
+    nodes have in common is among the tokens that other nodes have too, so those are compared."""
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    known = nodes.join(_small(asked, asked.count()), "node", "left_semi")
 
-    Before the sets are read, their slices must agree: what one slice has and the other lacks counts
-    against the tokens that its document may have alone.
-    """
     def side(x: str) -> DataFrame:
-        return nodes.select(
-            F.col("node").alias(x), "c", F.col("n").alias(f"n{x}"), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"),
-            F.col("met").alias(f"met{x}"), (F.col("taken") - spare(F.col("n"), plan)).alias(f"least{x}"))
-
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    in_slice = F.size(F.array_intersect("meta", "metb"))
-    candidates = (
-        pairs.join(side("a"), ["a", "c"]).join(side("b"), ["b", "c"])
-        .where((small * plan.bottom >= large * plan.top) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-        .where(in_slice >= F.greatest("leasta", "leastb")).select("a", "b").distinct())
-    both = (
-        candidates.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
-    common = F.size(F.array_intersect("ta", "tb"))
+        return known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"), F.col("met").alias(f"met{x}"))
+
+    common = F.size(F.array_intersect("meta", "metb"))
     return cut_lineage(
-        both.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb") - common).alias("union"))
-        .where(F.col("common") * plan.bottom >= F.col("union") * plan.top).select("a", "b"))
+        pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        .where(common * (plan.bottom + plan.top) >= (F.col("na") + F.col("nb")) * plan.top).select("a", "b"))
 
 
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,40 +222,48 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def _linked(nodes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Components (node, comp) of the graph of all links between nodes."""
-    members = cut_lineage(nodes.select("node", "c", F.explode("p1").alias("token")))
-    keys = ["c", "token"]
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")).distinct())
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
+    listed = nodes.select("n", "over", "node", F.explode("p1").alias("token"))
+    # under a token, a node that differs too much from even the best of the others has no partner
+    least = listed.groupBy("token").agg(F.min("over").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    members = cut_lineage(listed.join(least, "token").where("over + least <= 0").drop("least"))
+
+    def near(n: str, over: str) -> Column:
+        small, large = F.least("n", n), F.greatest("n", n)
+        return (small * plan.bottom >= large * plan.top) & (F.col("over") + F.col(over) <= 0)
+
     # round one: every node meets the one pivot with which it shares most prefix tokens
-    pivots = members.groupBy(*keys).agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    met = members.join(pivots, keys).where("node <> pivot").groupBy("node", "pivot", "c").agg(F.count(F.lit(1)).alias("common"))
-    best = met.groupBy("node").agg(F.max(F.struct("common", (-F.col("pivot")).alias("p"), "c")).alias("m"))
-    pairs = cut_lineage(best.select(F.col("node").alias("a"), (-F.col("m.p")).alias("b"), F.col("m.c").alias("c")))
-    labels = joined_components(labels, _verified(pairs, nodes, sets, plan))
-    tested = pairs.select("a", "b")
+    first = members.groupBy("token").agg(F.min("node").alias("pivot"))
+    about = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("over").alias("pover"))
+    met = members.join(first, "token").where("node <> pivot").groupBy("node", "pivot", "n", "over").agg(F.count(F.lit(1)).alias("common"))
+    met = met.join(about, "pivot").where(near("pn", "pover"))
+    best = met.groupBy("node").agg(F.max(F.struct("common", (-F.col("pivot")).alias("p"))).alias("m"))
+    pairs = cut_lineage(best.select(F.col("node").alias("a"), (-F.col("m.p")).alias("b")))
+    labels = joined_components(labels, _verified(pairs, nodes, plan))
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = members.withColumn("played", F.lit(False))
     while True:
         # what is settled stays settled, so each round keeps the nodes of open tokens alone
         now = members.join(labels, "node")
-        unsettled = now.where("not played").groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("high")
-        now = cut_lineage(now.join(unsettled, keys))
+        unsettled = now.where("not played").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("high")
+        now = cut_lineage(now.join(unsettled, "token"))
         if now.isEmpty():
             return labels
         # the nodes of the smallest component number wait longest: they are often the group of copies
-        order = Window.partitionBy(*keys).orderBy(F.col("comp").desc(), "node")
+        order = Window.partitionBy("token").orderBy(F.col("comp").desc(), "node")
         turn = cut_lineage(
             now.where("not played and comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= PIVOTS)
-            .select(*keys, F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")))
-        met = now.join(turn, keys).where("comp <> pivot_comp").select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "c").distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut_lineage(met.join(known, ["a", "b"], "left_anti"))
-        labels = joined_components(labels, _verified(pairs, nodes, sets, plan))
-        tested = tested.unionByName(pairs.select("a", "b"))
-        now_played = turn.select(*keys, F.col("pivot").alias("node"), F.lit(True).alias("now_played"))
-        members = now.join(now_played, [*keys, "node"], "left").select(
-            *keys, "node", (F.col("played") | F.coalesce("now_played", F.lit(False))).alias("played"))
+            .select("token", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("over").alias("pover")))
+        met = now.join(turn, "token").where((F.col("comp") != F.col("pcomp")) & near("pn", "pover")).select(
+            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = cut_lineage(met.join(tested, ["a", "b"], "left_anti"))
+        labels = joined_components(labels, _verified(pairs, nodes, plan))
+        tested = cut_lineage(tested.unionByName(pairs))
+        played = turn.select("token", F.col("pivot").alias("node"), F.lit(True).alias("now_played"))
+        members = now.join(played, ["token", "node"], "left").select(
+            "token", "node", "n", "over", (F.col("played") | F.coalesce("now_played", F.lit(False))).alias("played"))
 
 
 def components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,11 +279,10 @@ def components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     plan = Plan.of(words, percent)
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sliced = _slices(docs, plan)
-    nodes = _prefixes(sliced, plan)
+    owner = _alive(sliced, plan)
     rows = sliced.select("id", "n", "print", "row")
-    owner = nodes.select("node", "print").distinct()
     wanted = cut_lineage(owner.join(rows.select(F.col("row").alias("node"), "id"), "node"))
-    labels = _linked(nodes, _sets(docs, wanted, plan), plan)
+    labels = _linked(_prefixes(_sets(docs, wanted, plan), plan), plan)
 
     filled = rows.where("n > 0")
     groups = cut_lineage(filled.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many")))
