@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from rivalgrid.session import cut_lineage
 
-KNOWN_WORDS, SLOTS = 65_536, 16_384
+KNOWN_WORDS, SLOTS = 262_144, 65_536
 # Fixed value: characters that count as white space, as the vocabulary's pattern sees them.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern with its white space classes spelled out, which Java reads as ASCII only."""
+    """The pattern with its white space classes spelled out, which Java reads as ASCII only, and the
+    endings after an apostrophe behind one test for the apostrophe."""
+    pattern = pattern.replace("'s|'t|'re|'ve|'m|'ll|'d", "'(?:[stmd]|re|ve|ll)")
     return pattern.replace(r"[^\s", rf"[^{_SPACE}").replace(r"(?!\S)", rf"(?![^{_SPACE}])").replace(r"\s", rf"[{_SPACE}]")
 
 
@@ -68,7 +70,8 @@ class LiteralMap:
         self.literal = F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{kind}>>")
 
     def get(self, key: Column) -> Column:
-        return let(key, lambda k: F.element_at(F.element_at(self.literal, _slot(k) + 1), k))
+        """The value, or NULL; ``key`` is computed twice, so it should be at hand."""
+        return F.element_at(F.element_at(self.literal, _slot(key) + 1), key)
 
 
 class Codec:
@@ -87,34 +90,42 @@ class Codec:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def _merge(self, state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        shift = 1 << 24
-        ranked = F.transform(
-            F.slice(parts, F.lit(1), F.size(parts) - 1),
-            lambda x, i: self.ranks.get(F.concat(x, F.get(parts, i + 1))).cast("long") * shift + i)
-
-        def merged(best: Column) -> Column:
-            at = (best % shift).cast("int")
-            new = F.concat(
-                F.slice(parts, F.lit(1), at), F.array(F.concat(F.get(parts, at), F.get(parts, at + 1))),
-                F.slice(parts, at + 3, F.greatest(F.size(parts) - at - 2, F.lit(0))))
-            return F.when(best.isNull(), F.struct(parts.alias("parts"), F.lit(False).alias("open"))).otherwise(
-                F.struct(new.alias("parts"), (F.size(parts) > 2).alias("open")))
-
-        return F.when(state["open"], let(F.array_min(ranked), merged)).otherwise(state)
-
-    def fold(self, word: Column) -> Column:
-        """Ids of a word that is no token: the merges over its bytes."""
-        bytes_of = F.filter(F.split(byte_string(word), ""), lambda c: c != "")
+        """One merge: of the leftmost pair of the lowest rank. Only its two new pairs are looked up."""
+        parts, ranks = state["parts"], state["ranks"]
+        none = F.array().cast("array<int>")
+
+        def merged(at: Column) -> Column:
+            """``at`` counts from one: parts at and at + 1 become one."""
+            rest = F.greatest(F.size(parts) - at - 1, F.lit(0))
+
+            def joined(new: Column) -> Column:
+                left = F.when(at > 1, F.array(self.ranks.get(F.concat(F.get(parts, at - 2), new)))).otherwise(none)
+                right = F.when(rest > 0, F.array(self.ranks.get(F.concat(new, F.get(parts, at + 1))))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"))
+
+            return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
+
+        lowest = F.array_position(ranks, F.array_min(ranks)).cast("int")
+        return let(lowest, lambda at: F.when(at > 0, merged(at)).otherwise(state))
+
+    def fold(self, key: Column) -> Column:
+        """Ids of a word that is no token, given as a byte string: the merges over its bytes."""
+        bytes_of = F.filter(F.split(key, ""), lambda c: c != "")
 
         def merge_all(chars: Column) -> Column:
-            start = F.struct(chars.alias("parts"), (F.size(chars) > 1).alias("open"))
+            pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda x, y: F.concat(x, y))
+            start = F.struct(chars.alias("parts"), F.transform(pairs, self.ranks.get).alias("ranks"))
             return F.aggregate(chars, start, self._merge, lambda s: F.transform(s["parts"], self.ranks.get))
 
         return let(bytes_of, merge_all)
 
     def encode_word(self, word: Column) -> Column:
-        return let(self.ranks.get(byte_string(word)), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(self.fold(word)))
+        def one_or_fold(key: Column) -> Column:
+            return let(self.ranks.get(key), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(self.fold(key)))
+
+        return let(byte_string(word), one_or_fold)
 
     def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> LiteralMap:
         """The most frequent words of all texts, at most ``most``, with their ids."""
@@ -134,7 +145,7 @@ class Codec:
 
     def encode(self, text: Column, known: LiteralMap) -> Column:
         """Ids of a text; NULL is an empty text, which has none."""
-        return F.flatten(F.transform(self.words(text), lambda w: let(known.get(w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(self.encode_word(w)))))
+        return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(known.get(w), self.encode_word(w))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
