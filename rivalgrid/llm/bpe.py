@@ -48,6 +48,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _chain(*arrays: Column) -> Column:
+    """Arrays one after the other; inside a fold, flatten is much cheaper than concat."""
+    return F.flatten(F.array(*arrays))
+
+
 def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
@@ -102,13 +107,14 @@ class Codec:
                 left = F.when(at > 1, F.array(self.ranks.get(F.concat(F.get(parts, at - 2), new)))).otherwise(none)
                 right = F.when(rest > 0, F.array(self.ranks.get(F.concat(new, F.get(parts, at + 1))))).otherwise(none)
                 return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"))
+                    _chain(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
+                    _chain(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"))
 
             return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
 
-        lowest = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        return let(lowest, lambda at: F.when(at > 0, merged(at)).otherwise(state))
+        # rank and place in one number; array_position would find the place, but leaves its loop by an exception
+        lowest = F.array_min(F.transform(ranks, lambda rank, i: rank.cast("long") * (1 << 32) + i))
+        return let((lowest % (1 << 32)).cast("int") + 1, lambda at: F.when(at.isNotNull(), merged(at)).otherwise(state))
 
     def fold(self, key: Column) -> Column:
         """Ids of a word that is no token, given as a byte string: the merges over its bytes."""
