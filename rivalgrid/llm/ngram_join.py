@@ -244,6 +244,7 @@ def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
     labels = joined_components(labels, _verified(pairs, nodes, plan))
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = members.withColumn("played", F.lit(False))
+    most = PIVOTS
     while True:
         # what is settled stays settled, so each round keeps the nodes of open tokens alone
         now = members.join(labels, "node")
@@ -254,12 +255,14 @@ def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
         # the nodes of the smallest component number wait longest: they are often the group of copies
         order = Window.partitionBy("token").orderBy(F.col("comp").desc(), "node")
         turn = cut_lineage(
-            now.where("not played and comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= PIVOTS)
+            now.where("not played and comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
             .select("token", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("over").alias("pover")))
         met = now.join(turn, "token").where((F.col("comp") != F.col("pcomp")) & near("pn", "pover")).select(
             F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = cut_lineage(met.join(tested, ["a", "b"], "left_anti"))
         labels = joined_components(labels, _verified(pairs, nodes, plan))
+        # what is still open has few links: more pivots at once make the same comparisons in fewer rounds
+        most *= 2
         tested = cut_lineage(tested.unionByName(pairs))
         played = turn.select("token", F.col("pivot").alias("node"), F.lit(True).alias("now_played"))
         members = now.join(played, ["token", "node"], "left").select(
