@@ -225,6 +225,7 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Components (node, comp) of the graph of all links between nodes."""
     labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
+    prefixes = nodes.select("node", "p1", "p2", "p3")
     listed = nodes.select("n", "over", "node", F.explode("p1").alias("token"))
     # under a token, a node that differs too much from even the best of the others has no partner
     least = listed.groupBy("token").agg(F.min("over").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
@@ -252,12 +253,18 @@ def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
         now = cut_lineage(now.join(unsettled, "token"))
         if now.isEmpty():
             return labels
+        full = now.join(prefixes, "node")
         # the nodes of the smallest component number wait longest: they are often the group of copies
         order = Window.partitionBy("token").orderBy(F.col("comp").desc(), "node")
         turn = cut_lineage(
             now.where("not played and comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
             .select("token", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("over").alias("pover")))
-        met = now.join(turn, "token").where((F.col("comp") != F.col("pcomp")) & near("pn", "pover")).select(
+        asked = turn.join(prefixes.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in ("p1", "p2", "p3")]), "pivot")
+        # all orders at once, and a pair comes from the first token it shares, not from each
+        shares = (
+            F.arrays_overlap("p2", "pp2") & F.arrays_overlap("p3", "pp3")
+            & (F.array_min(F.array_intersect("p1", "pp1")) == F.col("token")))
+        met = full.join(asked, "token").where((F.col("comp") != F.col("pcomp")) & near("pn", "pover") & shares).select(
             F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = cut_lineage(met.join(tested, ["a", "b"], "left_anti"))
         labels = joined_components(labels, _verified(pairs, nodes, plan))
