@@ -12,15 +12,18 @@ Each gives a p-value, which is large for a random string; the three are combined
 which holds under dependence. Words, names and counters fail the tests. Which candidates fail is
 settled for the whole corpus by Benjamini-Hochberg within classes of length: short strings give
 small evidence, long ones large, and within each class at most the share ``RATE`` of the strings
-called structured is random. Candidates not called structured, and long enough for the tests to have
-power over their alphabet (``LEAST_BITS``), are reported.
+called structured is random, as far as the p-values of short strings hold. Candidates not called
+structured, and long enough for the tests to have power over their alphabet (``LEAST_BITS``), are
+reported.
 
-The thresholds come from counts of p-value bins per length class over all documents, a table of
-fixed size.
+The thresholds come from counts of p-value bins per length class over the distinct candidates of all
+documents, so copies of one string weigh as one. Bins are even in log p, so however small the share
+of structured strings is, some bin lies below what it asks for. The counts are a table of fixed size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -40,7 +43,10 @@ KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-LEAST_BITS, RATE, BINS = 80, 0.01, 400
+LEAST_BITS, RATE = 80, 0.01
+# p-value bins: so many per power of ten, from 10 ** -DECADES up; smaller values are in the first.
+PER_DECADE, DECADES = 20, 15
+BINS = PER_DECADE * DECADES
 # Length classes: up to each bound, then everything longer.
 CLASSES = (24, 32, 48, 64, 128)
 
@@ -107,9 +113,10 @@ def serial_p(values: np.ndarray) -> float:
 
 
 def combined_p(ps: list[float]) -> float:
-    """Cauchy combination."""
-    t = sum(math.tan((0.5 - min(max(p, 1e-15), 1 - 1e-15)) * math.pi) for p in ps) / len(ps)
-    return 0.5 - math.atan(t) / math.pi
+    """Cauchy combination. A p-value near 1 counts as 0.99: runs take few values, a p-value of 1 is one
+    of them, and would outweigh any evidence of the others."""
+    t = sum(1 / math.tan(min(max(p, 1e-15), 0.99) * math.pi) for p in ps) / len(ps)
+    return math.atan2(1, t) / math.pi
 
 
 def randomness(s: str) -> tuple[str, float] | None:
@@ -135,6 +142,10 @@ def length_class(n: int) -> int:
     return sum(n > bound for bound in CLASSES)
 
 
+def p_bin(p: float) -> int:
+    return min(max(int((math.log10(max(p, 1e-300)) + DECADES) * PER_DECADE), 0), BINS - 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), sorted by start, then kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
@@ -144,7 +155,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Candidates that overlap no base span, with length class and p-value bin."""
+    """Candidates that overlap no base span, with length class, p-value bin and a number for the string."""
     out, covered, i = [], sorted((a, b) for a, _, b in base), 0
     reach = 0
     for m in CANDIDATE.finditer(text):
@@ -154,9 +165,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             continue
         tested = randomness(m[0])
         if tested:
-            p = tested[1]
-            out.append({"start": m.start(), "end": m.end(), "encoding": tested[0], "p": p,
-                        "class": length_class(len(m[0].rstrip("="))), "bin": min(int(p * BINS), BINS - 1)})
+            number = int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "big", signed=True)
+            out.append({"start": m.start(), "end": m.end(), "encoding": tested[0], "p": tested[1],
+                        "class": length_class(len(m[0].rstrip("="))), "bin": p_bin(tested[1]), "string": number})
     return out
 
 
@@ -166,17 +177,16 @@ def thresholds(counts: list[tuple[int, int, int]]) -> dict[int, int]:
     table = np.zeros((len(CLASSES) + 1, BINS))
     for c, b, n in counts:
         table[c, b] += n
-    edges = np.arange(1, BINS + 1) / BINS
+    edges = 10.0 ** (np.arange(1, BINS + 1) / PER_DECADE - DECADES)
     out = {}
     for c, row in enumerate(table):
         share = np.cumsum(row) / max(row.sum(), 1)
         ok = np.flatnonzero(edges <= RATE * share)
-        # p-values below the first edge fail on their own where the class is too small for the bins
         out[c] = int(ok[-1]) + 1 if len(ok) else 0
     return out
 
 
-_CANDIDATES = "array<struct<start:bigint,end:bigint,encoding:string,p:double,class:int,bin:int>>"
+_CANDIDATES = "array<struct<start:bigint,end:bigint,encoding:string,p:double,class:int,bin:int,string:bigint>>"
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -194,7 +204,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("p", pa.float64()),
-                                    ("class", pa.int32()), ("bin", pa.int32())]))
+                                    ("class", pa.int32()), ("bin", pa.int32()), ("string", pa.int64())]))
         for batch in batches:
             base, more = [], []
             for t in batch.column(1).to_pylist():
@@ -207,7 +217,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     scanned = cut_lineage(rows.mapInArrow(find, f"id {kind}, base {_SPANS}, candidates {_CANDIDATES}"))
     counted = (
         scanned.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c"))
-        .groupBy("c.class", "c.bin").count().collect())  # at most classes times bins rows
+        .select("c.class", "c.bin", "c.string").distinct()
+        .groupBy("class", "bin").count().collect())  # at most classes times bins rows
     cut = thresholds([(r["class"], r["bin"], r["count"]) for r in counted])
     limit = F.create_map(*[F.lit(v) for kv in cut.items() for v in kv])
     random = F.transform(

@@ -155,6 +155,36 @@ def test_secret_battery_tells_keys_from_names(spark):
     assert docs[one.doc_id][1][one.random[0].start:one.random[0].end] in keys
 
 
+def identifiers(n: int, r: random.Random) -> list[str]:
+    words = ["order", "total", "value", "index", "customer", "final"]
+    return [f"{'_'.join(r.choice(words) for _ in range(6))}_{i:04d}" for i in range(n)]
+
+
+def test_secret_control_holds_where_few_candidates_are_structured(spark):
+    r = random.Random(12)
+    keys, names = [key(secret_scan.ALPHABETS[-1][1], 40, r) + "7a" for _ in range(1900)], [x[:42] for x in identifiers(100, r)]
+    docs = [(i, f"see {w} there") for i, w in enumerate(keys + names)]
+    hits = {x.doc_id: len(x.random) for x in secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(hits[i] for i in range(1900)) >= 1890 and sum(hits[i] for i in range(1900, 2000)) <= 20
+
+
+def test_secret_copies_weigh_as_one(spark):
+    r = random.Random(13)
+    hot, names = key(secret_scan.ALPHABETS[-1][1], 40, r) + "7a", [x[:42] for x in identifiers(50, r)]
+    few = [(i, f"see {w} there") for i, w in enumerate([hot, *names])]
+    found = []
+    for docs in (few, few + [(100 + i, f"see {hot} there, copy {i}") for i in range(3000)]):
+        rows = {x.doc_id: len(x.random) for x in secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert all(rows[i] == 1 for i in rows if i == 0 or i >= 100)
+        found.append([rows[i] for i in range(51)])
+    assert found[0] == found[1] and sum(found[0][1:]) <= 2
+
+
+def test_secret_evidence_of_one_test_is_not_outweighed():
+    assert secret_scan.combined_p([1e-12, 1.0, 1.0]) < 1e-11 and secret_scan.p_bin(1e-15) == 0 == secret_scan.p_bin(0.0)
+    assert secret_scan.thresholds([(0, 10, 1), (0, 299, 10_000)])[0] >= 11  # one p-value of about 3e-15 among 10,001
+
+
 def test_secrets_bear_all_rows(spark):
     assert secret_scan.scan(cases.documents(spark)).count() == len(cases.TEXTS)
     assert secret_scan.scan(cases.empty(spark)).count() == 0
