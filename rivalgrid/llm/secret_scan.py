@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings no pattern names.
 
 Base spans come from three patterns (assignments, access keys, hexadecimal runs). Besides them, every
-maximal run of key characters with letters and digits is a candidate. Its encoding is inferred from
-its characters, and three tests ask whether it looks drawn at random from that alphabet:
+maximal run of key characters that lies outside the base spans is a candidate. A run that no alphabet
+holds, since it has '/' or '+' beside '-' or '_', is split both at the former and at the latter, and
+every part long enough is a candidate, so parts of the two splits may overlap. The encoding is
+inferred from the characters, and three tests ask whether they look drawn at random from its alphabet:
 
 * chi-squared: are the symbols of the alphabet used evenly?
 * runs: do values above and below the middle of the alphabet alternate as coin flips do?
@@ -43,6 +45,8 @@ KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Parts of a candidate that no alphabet holds.
+PARTS = (re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"))
 LEAST_BITS, RATE = 80, 0.01
 # p-value bins: so many per power of ten, from 10 ** -DECADES up; smaller values are in the first.
 PER_DECADE, DECADES = 20, 15
@@ -66,10 +70,8 @@ _SETS = [(name, frozenset(chars), {c: i for i, c in enumerate(chars)}) for name,
 
 def infer_encoding(s: str) -> tuple[str, np.ndarray, int] | None:
     """Name of the encoding, the values of the characters and the size of the alphabet. None where no
-    alphabet holds all characters, or where letters or digits are missing."""
+    alphabet holds all characters."""
     body = s.rstrip("=")
-    if not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
-        return None
     used = set(body)
     for name, chars, value in _SETS:
         if used <= chars:
@@ -154,20 +156,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Candidates that overlap no base span, with length class, p-value bin and a number for the string."""
-    out, covered, i = [], sorted((a, b) for a, _, b in base), 0
-    reach = 0
+def stretches(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What base spans leave of each run of key characters."""
+    covered, i, reach = sorted((a, b) for a, _, b in base), 0, 0
     for m in CANDIDATE.finditer(text):
+        at = max(m.start(), reach)
         while i < len(covered) and covered[i][0] < m.end():
+            if covered[i][0] > at:
+                yield at, covered[i][0]
             reach, i = max(reach, covered[i][1]), i + 1
-        if reach > m.start():
-            continue
-        tested = randomness(m[0])
+            at = max(at, reach)
+        if at < m.end():
+            yield at, m.end()
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Candidates, which overlap no base span, with length class, p-value bin and a number for the string."""
+    places = []
+    for a, b in stretches(text, base):
+        for m in CANDIDATE.finditer(text, a, b):
+            if infer_encoding(m[0]):
+                places.append(m.span())
+            else:
+                places += sorted(part.span() for pattern in PARTS for part in pattern.finditer(text, a, b))
+    out = []
+    for a, b in places:
+        tested = randomness(text[a:b])
         if tested:
-            number = int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "big", signed=True)
-            out.append({"start": m.start(), "end": m.end(), "encoding": tested[0], "p": tested[1],
-                        "class": length_class(len(m[0].rstrip("="))), "bin": p_bin(tested[1]), "string": number})
+            number = int.from_bytes(hashlib.blake2b(text[a:b].encode(), digest_size=8).digest(), "big", signed=True)
+            out.append({"start": a, "end": b, "encoding": tested[0], "p": tested[1],
+                        "class": length_class(len(text[a:b].rstrip("="))), "bin": p_bin(tested[1]), "string": number})
     return out
 
 
