@@ -5,8 +5,8 @@ merges the neighbours of lowest rank, leftmost first, until no pair has a rank;
 literal map. A word that is itself in the vocabulary is one token.
 
 Words repeat, so the most frequent distinct words of the corpus are folded once, and what they became
-goes into the encoding of texts as another literal map, of at most ``KNOWN_WORDS`` words. It saves
-work only: a word outside it is folded where it stands. Nothing is shuffled but counts of words.
+goes into the encoding of texts as another literal map, of at most ``KNOWN_WORDS`` words of at most
+``KNOWN_BYTES`` bytes each, so its size is bounded whatever the texts are. It saves work only: a word outside it is folded where it stands. Nothing is shuffled but counts of words.
 
 Bytes travel as strings of the characters U+0000 to U+00FF, one per byte; ``binary`` turns such a
 string into bytes. Decoding looks up the piece of each id and joins the pieces.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rivalgrid.session import cut_lineage
 
-KNOWN_WORDS, SLOTS = 65_536, 16_384
+KNOWN_WORDS, KNOWN_BYTES, SLOTS = 65_536, 64, 16_384
 # Fixed value: characters that count as white space, as the vocabulary's pattern sees them.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -134,8 +134,9 @@ class Codec:
         return let(byte_string(word), one_or_fold)
 
     def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> LiteralMap:
-        """The most frequent words of all texts, at most ``most``, with their ids."""
-        counts = df.select(F.explode(self.words(F.col(text))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        """The most frequent words of all texts of at most KNOWN_BYTES bytes, at most ``most``, with their ids."""
+        short = df.select(F.explode(self.words(F.col(text))).alias("key")).where(F.octet_length("key") <= KNOWN_BYTES)
+        counts = short.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         counts = cut_lineage(counts.where("n > 1"))
         power = F.floor(F.log2(F.col("n").cast("double")) * 4)
         held, least = 0, None

@@ -34,6 +34,19 @@ def test_bpe_is_the_librarys_and_goes_back(spark, known):
         assert bytes(r.back) == (r.text or "").encode()
 
 
+def test_bpe_knows_no_long_words(spark):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    ends, over, wide = "qzx" * 21 + "q", "qzx" * 21 + "qz", "é" * 33
+    texts = [w for w in (ends, over, wide) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    codec = bpe.Codec(spark, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    known = codec.known_words(docs, "text", 300)
+    row = spark.range(1).select(*[known.get(F.lit(w)).alias(n) for n, w in (("ends", ends), ("over", over), ("wide", wide))]).first()
+    assert row.ends == library.encode_ordinary(ends) and row.over is None and row.wide is None
+    encoded, _ = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, known_words=300)
+    assert all(list(x.token_ids) == library.encode_ordinary(x.text) for x in encoded.collect())
+
+
 def test_bpe_of_nothing(spark):
     encoded, _ = bpe.encode_texts(cases.empty(spark), RANKS, public_tokenizers.PATTERN)
     assert encoded.count() == 0
