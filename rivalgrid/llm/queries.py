@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalgrid.llm import bpe, chat, exact_dedup, mixture, ngram_join, pii, quality, secret_scan, token_counts, topk_search
+from rivalgrid.llm import alignment, bpe, chat, decontaminate, exact_dedup, mixture, ngram_join, pii, quality, secret_scan, token_counts, topk_search, whitening
 from rivalgrid.llm.common import read_table, without_blanks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,46 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"))
 
 
+@query("op11_decontaminate", r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(ws[pos:pos + 9], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS pos FROM i WHERE len(ws) > 0)),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+p AS (
+  SELECT r, size, pos, array_to_string(ws[pos:pos + size - 1], ' ') AS phrase
+  FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS pos FROM d CROSS JOIN (SELECT DISTINCT size FROM w))),
+h AS (SELECT p.r, p.pos, p.size, w.item_id FROM p JOIN w USING (size, phrase)),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(pos, pos + size)) AS x FROM h) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)""")
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words and items of the benchmark in it."""
+    judged = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 largest components, scaled to unit variance."""
+    out = whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the links between its tokens under two vocabularies."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(read_table(spark, sf_dir, "documents"), *paths)[0]
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
