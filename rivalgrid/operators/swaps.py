@@ -1,18 +1,13 @@
-"""Pick-ups and trades as scenarios: change rosters, value every scenario, compare.
-
-Pools are cut to the best n per group before groups meet (n is the feature's own limit), so the
-number of scenarios is groups x groups x n x n whatever the size of the rosters.
-"""
+"""Choosing among scored trades, roster repair and odds scores; ``trades`` works the scores out."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivalgrid.operators.lineup import Slot, value_above_free, value_totals
-from rivalgrid.operators.ranking import top_n_any_size
+from rivalgrid.operators.ranking import first_row, top_n_any_size
 
 
 def rest_totals(rows: DataFrame) -> DataFrame:
@@ -25,74 +20,15 @@ def top_pool(totals: DataFrame, n: int, excluded: Sequence[str] = ()) -> DataFra
     return top_n_any_size(rows, ["grp"], [F.col("rest_total").desc(), F.col("entity").asc()], "entity", n)
 
 
-def candidate_swaps(pool: DataFrame) -> DataFrame:
-    """Unordered pairs of groups with one entity each way, keyed by the pool's tenant.
-
-    The pools hold n rows per group, so the join grows with groups, not with entities.
-    """
-    a = pool.select("tenant", F.col("grp").alias("grp_a"), F.col("entity").alias("give_a"), F.col("category").alias("cat_a"))
-    b = pool.select("tenant", F.col("grp").alias("grp_b"), F.col("entity").alias("give_b"), F.col("category").alias("cat_b"))
-    return a.join(b, "tenant").where(F.col("grp_a") < F.col("grp_b"))
-
-
-def _changed(rows: DataFrame, scenarios: DataFrame, leaves: str, joins: Column, everyone: DataFrame) -> DataFrame:
-    """Rosters after the change: the group without ``leaves``, plus the joining entity's rows."""
-    stay = rows.join(scenarios.select("scenario", "grp", leaves), "grp").where(~F.col("entity").eqNullSafe(F.col(leaves))).drop(leaves)
-    come = everyone.drop("grp").join(scenarios.select("scenario", "grp", joins.alias("entity")), "entity")
-    columns = ["scenario", "grp", "week", "entity", "category", "value"]
-    return stay.select(*columns).unionByName(come.select(*columns))
-
-
-def gains(rows: DataFrame, free: DataFrame, scenarios: DataFrame, leaves: str, joins: str, slots: Sequence[Slot], depth_weight: float = 0.5) -> DataFrame:
-    """Value after minus before per (scenario, grp), with the same free pool on both sides."""
-    before = value_totals(value_above_free(rows, free, ["grp", "week"], slots), ["grp"], depth_weight)
-    everyone = rows.unionByName(free.select(*rows.columns)) if "grp" in free.columns else rows
-    changed = _changed(rows, scenarios, leaves, F.col(joins), everyone)
-    after = value_totals(value_above_free(changed, free, ["scenario", "grp", "week"], slots), ["scenario", "grp"], depth_weight)
-    b = before.select("grp", F.col("total_value").alias("before"))
-    return scenarios.join(after.select("scenario", "grp", F.col("total_value").alias("after")), ["scenario", "grp"], "left").join(b, "grp", "left").withColumn(
-        "gain", F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
-
-
-def weakest_droppable(totals: DataFrame, kept: Column | None = None) -> DataFrame:
-    """The entity a group gives up for a pick-up: its lowest total among those not kept."""
-    rows = totals.where(~kept) if kept is not None else totals
-    return rows.groupBy("grp").agg(F.min_by("entity", F.struct("rest_total", "entity")).alias("drop"))
-
-
-def pickup_gains(
-    rows: DataFrame, free: DataFrame, slots: Sequence[Slot], per_category: int, depth_weight: float = 0.5
-) -> DataFrame:
-    """Gain of every group from each of the best free entities per category against its weakest one."""
-    drop = weakest_droppable(rest_totals(rows)).withColumn("_t", F.lit(0))
-    ft = free.groupBy("entity", "category").agg(F.sum("value").alias("rest_total"))
-    best = top_n_any_size(ft, ["category"], [F.col("rest_total").desc(), F.col("entity").asc()], "entity", per_category)
-    adds = best.select(F.lit(0).alias("_t"), F.col("entity").alias("add"), F.col("category").alias("add_category"))
-    scenarios = drop.join(adds, "_t").drop("_t").withColumn("scenario", F.concat_ws("-", F.col("grp").cast("string"), F.col("add").cast("string")))
-    return gains(rows, free, scenarios, "drop", "add", slots, depth_weight)
-
-
 def mutual_score() -> Column:
     """Product of the gains; the smaller one when both lose, so two losses never look good."""
     a, b = F.col("gain_a"), F.col("gain_b")
     return F.when((a < 0) & (b < 0), F.least(a, b)).otherwise(a * b)
 
 
-def trade_gains(rows: DataFrame, free: DataFrame, swaps: DataFrame, slots: Sequence[Slot], depth_weight: float = 0.5) -> DataFrame:
-    """Both sides' gains and the mutual score of one-for-one swaps."""
-    named = swaps.withColumn("scenario", F.concat_ws("-", *[F.col(c).cast("string") for c in ("grp_a", "give_a", "grp_b", "give_b")]))
-    sides = named.select("scenario", F.explode(F.array(
-        F.struct(F.lit("a").alias("side"), F.col("grp_a").alias("grp"), F.col("give_a").alias("gives"), F.col("give_b").alias("gets")),
-        F.struct(F.lit("b").alias("side"), F.col("grp_b").alias("grp"), F.col("give_b").alias("gives"), F.col("give_a").alias("gets")))).alias("s")).select("scenario", "s.*")
-    g = gains(rows, free, sides, "gives", "gets", slots, depth_weight)
-    both = g.groupBy("scenario").agg(
-        F.max(F.when(F.col("side") == "a", F.col("gain"))).alias("gain_a"), F.max(F.when(F.col("side") == "b", F.col("gain"))).alias("gain_b"))
-    return named.join(both, "scenario").withColumn("score", mutual_score())
-
-
 def diverse_top(scored: DataFrame, by: Sequence[str], item: str, cap: int, n: int, score: str = "score", key: str = "scenario") -> DataFrame:
     """Best n per ``by`` in which no incoming item appears more than ``cap`` times."""
-    order = [F.round(score, 9).desc(), F.col(key).asc()]
+    order = [F.round(score, 6).desc(), F.col(key).asc()]
     capped = top_n_any_size(scored, [*by, item], order, key, cap, "_per_item").drop("_per_item")
     return top_n_any_size(capped, by, order, key, n)
 
@@ -100,18 +36,11 @@ def diverse_top(scored: DataFrame, by: Sequence[str], item: str, cap: int, n: in
 def plus_missing_partners(chosen: DataFrame, scored: DataFrame, by: Sequence[str], partner: str, score: str = "score", key: str = "scenario") -> DataFrame:
     """Add the best row of every partner the choice does not represent."""
     keys = [*by, partner]
-    best = scored.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in scored.columns if c not in keys]), F.struct(
-        F.round(score, 9), (-F.xxhash64(key)).alias("h"))).alias("_r")).select(*keys, "_r.*")
+    best = first_row(scored, keys, [F.round(score, 6).desc(), F.col(key).asc()])
     missing = best.join(chosen.select(*keys).distinct(), keys, "left_anti")
     return chosen.unionByName(missing, allowMissingColumns=True)
 
 
-def budgeted(scored: DataFrame, by: Sequence[str], rough: str, budget: int, locked: Column, key: str = "scenario") -> DataFrame:
-    """Rows worth the exact stage: the best by the rough score, and the asked-for ones always."""
-    best = top_n_any_size(scored, by, [F.round(rough, 9).desc(), F.col(key).asc()], key, budget, "_b").drop("_b")
-    return best.unionByName(scored.where(locked).join(best.select(*by, key), [*by, key], "left_anti"))
-
-
 def repair(rows: DataFrame, free: DataFrame, categories: Sequence[str], cap: int) -> DataFrame:
     """One repair pass over rosters (grp, entity, category, rest_total): fill empty categories from the
     free pool, then cut the lowest totals over the cap without emptying a category."""

@@ -322,9 +322,9 @@ def basis(spark, sf):
     return mean_ratio_index(b.dense(spark, sf), last=3).withColumn("basis", F.lit("last3"))
 
 
-@query("z05_candidate_predicate", "grp_a:i give_a:i grp_b:i give_b:i", "SELECT grp_a, give_a, grp_b, give_b FROM v_swap_cand WHERE cat_a <> cat_b AND give_b % 2 = 1")
+@query("z05_candidate_predicate", "grp_a:i give_a:s grp_b:i give_b:s kind:s",
+       "SELECT * REPLACE (array_to_string(give_a, '+') AS give_a, array_to_string(give_b, '+') AS give_b) FROM v_swap_cand WHERE len(list_filter(give_b, lambda e: e % 2 = 1)) = len(give_b) AND len(give_a) <= len(give_b)")
 def predicate(spark, sf):
     """A candidate filter is a Column, so it runs inside the plan."""
-    wanted = (F.col("cat_a") != F.col("cat_b")) & (F.col("give_b") % 2 == 1)
-    return b7.candidates(b7.sides(spark, sf)[0]).where(wanted)
-
+    wanted = F.forall("give_b", lambda e: e % 2 == 1) & (F.size("give_a") <= F.size("give_b"))
+    return b7.shown(b7.candidates(b7.sides(spark, sf)[0]).where(wanted))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from rivalgrid.operators import lineup as ln
 from rivalgrid.operators import swaps as sw
+from rivalgrid.operators import trades as tr
 from rivalgrid.operators.lineup import Slot
+from rivalgrid.operators.ranking import top_n_any_size
 from rivalgrid.plans import bindings as b
 from rivalgrid.plans.registry import query
 from rivalgrid.plans.sql_views import VIEWS
@@ -15,6 +17,9 @@ from rivalgrid.session import cut_lineage
 SLOTS = [Slot("QB", 1, ("QB",)), Slot("RB", 1, ("RB",)), Slot("WR", 1, ("WR",)), Slot("TE", 1, ("TE",)), Slot("K", 1, ("K",)),
          Slot("FLEX", 2, ("RB", "WR", "TE"))]
 FREE_GROUP, OWNERS = 20, 20
+MARKET = tr.Market(tuple(SLOTS), b.CATEGORIES)
+# How far down a group's list the search goes, for one for one and for two for one; trades verified per group.
+POOL, TWO_FOR_ONE, VERIFIED = 10, 6, 300
 
 
 def claim_sql(source: str, keys: str, order: str) -> str:
@@ -26,7 +31,7 @@ def claim_sql(source: str, keys: str, order: str) -> str:
     return sql
 
 
-def value_sql(source: str, keys: str, seasonal: str) -> str:
+def value_sql(source: str, keys: str, seasonal: str, bars: str = "v_free_best f ON f.week = c.week") -> str:
     """Starting and depth value per row of a roster table."""
     marked = f"""SELECT * FROM (SELECT *, max(value) OVER (PARTITION BY {seasonal}, entity) <= 0 AS dead FROM ({source})) WHERE value > 0 OR dead"""
     claimed = claim_sql(marked, keys, "value > 0 DESC, CASE WHEN value > 0 THEN value END DESC NULLS LAST, entity")
@@ -35,7 +40,7 @@ def value_sql(source: str, keys: str, seasonal: str) -> str:
     own = "coalesce(CASE category " + " ".join(f"WHEN '{c}' THEN f.{c}" for c in b.CATEGORIES) + " END, 0)"
     return f"""SELECT c.*, CASE WHEN slot IS NOT NULL THEN greatest(value, 0) - {best} ELSE 0 END AS starting_value,
                  CASE WHEN slot IS NULL AND value > 0 THEN greatest(0, value - {own}) ELSE 0 END AS depth_value
-               FROM ({claimed}) c LEFT JOIN v_free_best f ON f.week = c.week"""
+               FROM ({claimed}) c LEFT JOIN {bars}"""
 
 
 VIEWS.update({
@@ -169,123 +174,186 @@ def paired(spark, sf):
     return ln.changes(owned.where((F.col("entity") + F.col("week")) % 3 != 0), ln.starters(owned, KEYS, SLOTS), KEYS)
 
 
-@query("t03_top_pool", "grp:i entity:i category:s rest_total:d pos:i",
-       "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rest_total DESC, entity) AS pos FROM v_rest WHERE category <> 'K') WHERE pos <= 2")
+@query("t03_top_pool", "grp:i entity:i category:s rest_total:d pos:i", "SELECT * FROM v_pool")
 def top_pool(spark, sf):
-    return sw.top_pool(sw.rest_totals(sides(spark, sf)[0]), 2, ["K"])
+    return pool(sides(spark, sf)[0])
 
 
+def pool(owned):
+    return sw.top_pool(sw.rest_totals(owned), POOL, ["K"])
+
+
+def side_sql(trades: str) -> str:
+    """Two rows per trade: what each side gives and gets."""
+    return f"SELECT scenario, 'a' AS side, grp_a AS grp, give_a AS gives, give_b AS gets FROM {trades} UNION ALL SELECT scenario, 'b', grp_b, give_b, give_a FROM {trades}"
+
+
+def changed_sql(side: str) -> str:
+    """Rosters after the trades, row by row."""
+    return f"""SELECT s.scenario, s.grp, r.week, r.entity, r.category, r.value FROM {side} s JOIN v_roster r ON r.grp = s.grp AND NOT list_contains(s.gives, r.entity)
+        UNION ALL SELECT s.scenario, s.grp, r.week, r.entity, r.category, r.value FROM (SELECT *, unnest(gets) AS got FROM {side}) s JOIN v_roster r ON r.entity = s.got"""
+
+
+def scored_sql(trades: str, side: str, valued: str) -> str:
+    """Gains and scores of trades from the value of every changed roster."""
+    return f"""SELECT c.*, ga AS gain_a, gb AS gain_b, na AS need_a, nb AS need_b, CASE WHEN ga < 0 AND gb < 0 THEN least(ga, gb) ELSE ga * gb END AS score FROM {trades} c JOIN (
+        SELECT scenario, max(gain) FILTER (WHERE side = 'a') AS ga, max(gain) FILTER (WHERE side = 'b') AS gb, max(need) FILTER (WHERE side = 'a') AS na, max(need) FILTER (WHERE side = 'b') AS nb FROM (
+          SELECT s.scenario, s.side, round(coalesce(v.t, 0) - coalesce(g.t, 0), 9) AS gain, round(coalesce(v.n, 0) - coalesce(g.n, 0), 9) AS need FROM {side} s
+          LEFT JOIN (SELECT scenario, grp, sum(starting_value + 0.5 * depth_value) AS t, sum(starting_value + 0.5 * depth_value) FILTER (WHERE category IN {NEEDS}) AS n FROM {valued} GROUP BY scenario, grp) v USING (scenario, grp)
+          LEFT JOIN (SELECT grp, sum(starting_value + 0.5 * depth_value) AS t, sum(starting_value + 0.5 * depth_value) FILTER (WHERE category IN {NEEDS}) AS n FROM v_value GROUP BY grp) g USING (grp))
+        GROUP BY scenario) USING (scenario)"""
+
+
+NEEDS = ("RB", "TE")
+NAMED = "grp_a || '-' || array_to_string(give_a, '+') || '-' || grp_b || '-' || array_to_string(give_b, '+')"
+PAIR = "a.grp AS grp_a, a.ids AS give_a, b.grp AS grp_b, b.ids AS give_b, len(a.ids) || '-' || len(b.ids) AS kind"
 VIEWS.update({
-    "v_pool": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rest_total DESC, entity) AS pos FROM v_rest WHERE category <> 'K') WHERE pos <= 2",
-    "v_swap_cand": """SELECT a.grp AS grp_a, a.entity AS give_a, a.category AS cat_a, b.grp AS grp_b, b.entity AS give_b, b.category AS cat_b,
-        a.grp || '-' || a.entity || '-' || b.grp || '-' || b.entity AS scenario FROM v_pool a JOIN v_pool b ON a.grp < b.grp""",
-    "v_side": """SELECT scenario, 'a' AS side, grp_a AS grp, give_a AS gives, give_b AS gets FROM v_swap_cand UNION ALL SELECT scenario, 'b', grp_b, give_b, give_a FROM v_swap_cand""",
-    "v_side_value": value_sql("""SELECT s.scenario, s.grp, r.week, r.entity, r.category, r.value FROM v_side s JOIN v_roster r ON r.grp = s.grp AND r.entity <> s.gives
-        UNION ALL SELECT s.scenario, s.grp, r.week, r.entity, r.category, r.value FROM v_side s JOIN v_roster r ON r.entity = s.gets""", "scenario, grp, week", "scenario, grp"),
-    "v_trade": """SELECT c.*, ga AS gain_a, gb AS gain_b, CASE WHEN ga < 0 AND gb < 0 THEN least(ga, gb) ELSE ga * gb END AS score FROM v_swap_cand c JOIN (
-        SELECT scenario, max(gain) FILTER (WHERE side = 'a') AS ga, max(gain) FILTER (WHERE side = 'b') AS gb FROM (
-          SELECT s.scenario, s.side, coalesce(v.t, 0) - coalesce(g.total_value, 0) AS gain FROM v_side s
-          LEFT JOIN (SELECT scenario, grp, sum(starting_value) + 0.5 * sum(depth_value) AS t FROM v_side_value GROUP BY scenario, grp) v USING (scenario, grp)
-          LEFT JOIN v_group_value g USING (grp)) GROUP BY scenario) USING (scenario)""",
+    "v_pool": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rest_total DESC, entity) AS pos FROM v_rest WHERE category <> 'K') WHERE pos <= {POOL}",
+    "v_offer": "SELECT grp, [entity] AS ids, pos AS far FROM v_pool UNION ALL SELECT a.grp, [a.entity, b.entity], greatest(a.pos, b.pos) FROM v_pool a JOIN v_pool b ON a.grp = b.grp AND a.entity < b.entity",
+    "v_swap_cand": f"""SELECT *, {NAMED} AS scenario FROM (SELECT {PAIR} FROM v_offer a JOIN v_offer b ON a.grp < b.grp
+        AND (len(a.ids) + len(b.ids) = 2 OR (len(a.ids) + len(b.ids) = 3 AND greatest(a.far, b.far) <= {TWO_FOR_ONE})))""",
+    "v_side": side_sql("v_swap_cand"),
+    "v_side_value": value_sql(changed_sql("v_side"), "scenario, grp, week", "scenario, grp"),
+    "v_trade": scored_sql("v_swap_cand", "v_side", "v_side_value"),
+    "v_directed": """SELECT scenario, grp_a AS grp, grp_b AS partner, give_a AS gives, give_b[1] AS get, gain_a AS gain, gain_b AS partner_gain, need_a AS need_gain, score FROM v_trade WHERE len(give_b) = 1
+        UNION ALL SELECT scenario, grp_b, grp_a, give_b, give_a[1], gain_b, gain_a, need_b, score FROM v_trade WHERE len(give_a) = 1""",
+    "v_chosen": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 6) DESC, scenario) AS pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY grp, get ORDER BY round(score, 6) DESC, scenario) AS k FROM v_directed) WHERE k <= 2) WHERE pos <= 5""",
+    "v_worth": "SELECT grp, entity, sum(starting_value + 0.5 * depth_value) AS worth FROM v_value GROUP BY grp, entity",
+    "v_rough_offer": "SELECT o.grp, o.ids, sum(coalesce(w.worth, 0)) AS worth FROM (SELECT *, unnest(ids) AS entity FROM v_offer) o LEFT JOIN v_worth w USING (grp, entity) GROUP BY o.grp, o.ids",
+    "v_rough": f"SELECT *, {NAMED} AS scenario FROM (SELECT {PAIR}, -abs(a.worth - b.worth) AS rough FROM v_rough_offer a JOIN v_rough_offer b ON a.grp < b.grp)",
+    "v_verify": f"""SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY grp_a ORDER BY round(rough, 9) DESC, scenario) AS r FROM v_rough)
+        WHERE r <= {VERIFIED} OR (kind = '1-1' AND give_b[1] % 10 = 3)""",
+    "v_verify_side": side_sql("v_verify"),
+    "v_verify_value": value_sql(changed_sql("v_verify_side"), "scenario, grp, week", "scenario, grp"),
 })
 
 
+def ids(name):
+    return F.array_join(F.col(name).cast("array<string>"), "+").alias(name)
+
+
+def shown(df):
+    return df.select(*[ids(c) if c in ("give_a", "give_b", "gives") else F.col(c) for c in df.columns])
+
+
+SHOW = "SELECT * REPLACE (array_to_string(give_a, '+') AS give_a, array_to_string(give_b, '+') AS give_b) FROM"
+
+
 def candidates(owned):
-    pool = sw.top_pool(sw.rest_totals(owned), 2, ["K"])
-    return sw.candidate_swaps(pool.withColumn("tenant", F.lit(0)))
+    # one league: its groups meet, and each puts up a bounded pool
+    return tr.candidate_trades(pool(owned).withColumn("tenant", F.lit(0)), TWO_FOR_ONE)
 
 
-@query("j25_candidate_swaps", "grp_a:i give_a:i cat_a:s grp_b:i give_b:i cat_b:s", "SELECT grp_a, give_a, cat_a, grp_b, give_b, cat_b FROM v_swap_cand")
+@query("j25_candidate_swaps", "grp_a:i give_a:s grp_b:i give_b:s kind:s", f"{SHOW} v_swap_cand")
 def candidate_swaps(spark, sf):
-    return candidates(sides(spark, sf)[0])
+    return shown(candidates(sides(spark, sf)[0]))
 
 
-def trades(spark, sf):
+def trades(spark, sf, needs=None):
     owned, free = sides(spark, sf)
-    cols = ["grp", "week", "entity", "category", "value"]
-    return cut_lineage(sw.trade_gains(owned.select(*cols), free.select(*cols), candidates(owned), SLOTS))
+    return cut_lineage(tr.trade_gains(owned, free, cut_lineage(candidates(owned)), MARKET, needs))
 
 
-TRADE_SPEC = "grp_a:i give_a:i grp_b:i give_b:i gain_a:d gain_b:d score:d"
+TRADE_SPEC = "grp_a:i give_a:s grp_b:i give_b:s kind:s gain_a:d gain_b:d score:d"
 
 
-@query("m20_trade_scores", TRADE_SPEC, "SELECT * FROM v_trade")
+@query("m20_trade_scores", TRADE_SPEC, f"{SHOW} v_trade")
 def trade_scores(spark, sf):
-    return trades(spark, sf)
+    """One for one and two for one, either way round, with both gains and the mutual score."""
+    return shown(trades(spark, sf))
+
+
+def chosen(scored):
+    return sw.diverse_top(tr.directed(scored), ["grp"], "get", 2, 5)
 
 
-@query("t01_diverse_top_trades", f"pos:i {TRADE_SPEC}",
-       """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp_a ORDER BY round(score, 9) DESC, scenario) AS pos FROM (
-            SELECT *, row_number() OVER (PARTITION BY grp_a, give_b ORDER BY round(score, 9) DESC, scenario) AS k FROM v_trade) WHERE k <= 2) WHERE pos <= 5""")
+DIRECTED_SPEC = "grp:i partner:i gives:s get:i gain:d partner_gain:d score:d"
+
+
+@query("t01_diverse_top_trades", f"pos:i {DIRECTED_SPEC}", "SELECT * REPLACE (array_to_string(gives, '+') AS gives) FROM v_chosen")
 def diverse(spark, sf):
-    return sw.diverse_top(trades(spark, sf), ["grp_a"], "give_b", 2, 5)
+    return shown(chosen(trades(spark, sf)))
 
 
-@query("t02_missing_partners", "grp_a:i grp_b:i n:i best:d",
-       """WITH chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp_a ORDER BY round(score, 9) DESC, scenario) AS pos FROM (
-            SELECT *, row_number() OVER (PARTITION BY grp_a, give_b ORDER BY round(score, 9) DESC, scenario) AS k FROM v_trade) WHERE k <= 2) WHERE pos <= 5)
-          SELECT grp_a, grp_b, count(*) AS n, max(score) AS best FROM chosen GROUP BY grp_a, grp_b
-          UNION ALL SELECT grp_a, grp_b, 1, max(score) FROM v_trade t WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.grp_a = t.grp_a AND c.grp_b = t.grp_b) GROUP BY grp_a, grp_b""")
+@query("t02_missing_partners", DIRECTED_SPEC,
+       """SELECT * REPLACE (array_to_string(gives, '+') AS gives) FROM (SELECT grp, partner, gives, get, gain, partner_gain, score FROM v_chosen UNION ALL
+          SELECT grp, partner, gives, get, gain, partner_gain, score FROM (SELECT *, row_number() OVER (PARTITION BY grp, partner ORDER BY round(score, 6) DESC, scenario) AS k FROM v_directed) t
+          WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM v_chosen c WHERE c.grp = t.grp AND c.partner = t.partner))""")
 def missing_partners(spark, sf):
+    """The best trades of each group, and the best one with every partner not among them."""
     scored = trades(spark, sf)
-    rows = sw.plus_missing_partners(sw.diverse_top(scored, ["grp_a"], "give_b", 2, 5), scored, ["grp_a"], "grp_b")
-    return rows.groupBy("grp_a", "grp_b").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return shown(sw.plus_missing_partners(chosen(scored), tr.directed(scored), ["grp"], "partner"))
 
 
-@query("t08_budget_then_exact", f"{TRADE_SPEC}",
-       """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp_a ORDER BY round(gain_a, 9) DESC, scenario) AS r FROM v_trade) WHERE r <= 6 OR give_b % 10 = 3""")
+@query("t08_budget_then_exact", f"{TRADE_SPEC} rough:d", f"{SHOW} ({scored_sql('v_verify', 'v_verify_side', 'v_verify_value')})")
 def budget(spark, sf):
-    """Rough ranking first, a budget per group, locked rows always kept."""
-    return sw.budgeted(trades(spark, sf), ["grp_a"], "gain_a", 6, F.col("give_b") % 10 == 3)
+    """Up to two a side: a cheap rank, a budget per group, locked trades always kept; only those are valued."""
+    owned, free = sides(spark, sf)
+    locked = (F.col("kind") == "1-1") & (F.get("give_b", F.lit(0)) % 10 == 3)
+    rough = tr.rough_trades(pool(owned).withColumn("tenant", F.lit(0)), tr.entity_worth(owned, free, MARKET), ["grp_a"], VERIFIED, locked)
+    return shown(tr.trade_gains(owned, free, cut_lineage(rough), MARKET))
 
 
-@query("m22_block_list_offers", f"{TRADE_SPEC} boosted:d",
-       """SELECT *, gain_a + CASE WHEN cat_b = 'RB' THEN 5 ELSE 0 END AS boosted FROM v_trade WHERE give_b IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000) AND gain_b > -50""")
+@query("m22_block_list_offers", f"pos:i {DIRECTED_SPEC} need_gain:d brings:b",
+       f"""SELECT * REPLACE (array_to_string(gives, '+') AS gives) FROM (
+            SELECT *, row_number() OVER (PARTITION BY grp ORDER BY brings AND round(need_gain, 6) > 0 DESC, round(score, 6) DESC, scenario) AS pos FROM (
+              SELECT d.*, (SELECT any_value(category) FROM v_rest r WHERE r.entity = d.get) IN {NEEDS} AS brings FROM v_directed d
+              WHERE NOT EXISTS (SELECT 1 FROM (SELECT scenario, grp, unnest(gives) AS given FROM v_directed) o
+                WHERE o.scenario = d.scenario AND o.grp = d.grp AND o.given NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000)))) WHERE pos <= 10""")
 def block_offers(spark, sf):
-    """Offers for entities on a block list, those that raise a needed category boosted."""
-    listed = b.table(spark, sf, "supplier").where(F.col("s_acctbal") > 3000).select(F.col("s_suppkey").alias("give_b"))
-    rows = trades(spark, sf).join(listed, "give_b", "left_semi").where(F.col("gain_b") > -50)
-    return rows.withColumn("boosted", F.col("gain_a") + F.when(F.col("cat_b") == "RB", 5).otherwise(0))
-
-
-PICKUP_SRC = """SELECT p.scenario, p.grp, r.week, r.entity, r.category, r.value FROM v_pickup p JOIN v_roster r ON r.grp = p.grp AND r.entity <> p.drop
-    UNION ALL SELECT p.scenario, p.grp, r.week, r.entity, r.category, r.value FROM v_pickup p JOIN v_free r ON r.entity = p.add"""
+    """Offers of entities on a block list, first those that bring a needed category and raise its value."""
+    owned = sides(spark, sf)[0]
+    listed = b.table(spark, sf, "supplier").where(F.col("s_acctbal") > 3000).select(F.col("s_suppkey").cast("bigint").alias("given"))
+    seen = tr.directed(trades(spark, sf, NEEDS))
+    off = seen.select("scenario", "grp", F.explode("gives").alias("given")).join(listed, "given", "left_anti").select("scenario", "grp").distinct()
+    brought = owned.select(F.col("entity").cast("bigint").alias("get"), F.col("category").isin(*NEEDS).alias("brings")).distinct()
+    rows = seen.join(off, ["scenario", "grp"], "left_anti").join(brought, "get")
+    first = F.col("brings") & (F.round("need_gain", 6) > 0)
+    return shown(top_n_any_size(rows, ["grp"], [first.desc(), F.round("score", 6).desc(), F.col("scenario").asc()], "scenario", 10))
+
+
+# Nothing of the bounded summaries here: each pick-up's roster and free pool are laid out row by row.
+PICKUP_SRC = """SELECT p.scenario, p.grp, r.week, r.entity, r.category, r.value, 0 AS after FROM v_pickup p JOIN v_roster r ON r.grp = p.grp
+    UNION ALL SELECT p.scenario, p.grp, r.week, r.entity, r.category, r.value, 1 FROM v_pickup p JOIN v_roster r ON r.grp = p.grp AND r.entity <> p.drop
+    UNION ALL SELECT p.scenario, p.grp, r.week, r.entity, r.category, r.value, 1 FROM v_pickup p JOIN v_free r ON r.entity = p.add"""
 VIEWS.update({
-    "v_pickup": """SELECT d.grp, d.drop, f.entity AS add, d.grp || '-' || f.entity AS scenario FROM (SELECT grp, arg_min(entity, (rest_total, entity)) AS drop FROM v_rest GROUP BY grp) d
-        CROSS JOIN (SELECT * FROM (SELECT entity, category, row_number() OVER (PARTITION BY category ORDER BY sum(value) DESC, entity) AS k FROM v_free GROUP BY entity, category) WHERE k <= 2) f""",
-    "v_pickup_value": value_sql(PICKUP_SRC, "scenario, grp, week", "scenario, grp"),
+    "v_droppable": "SELECT r.grp, r.entity, r.category, round(coalesce(w.worth, 0), 9) AS worth FROM v_rest r LEFT JOIN v_worth w USING (grp, entity)",
+    "v_pickup": """SELECT g.grp, f.entity AS add, g.grp || '-' || f.entity AS scenario, coalesce(o.drop, g.drop) AS drop
+        FROM (SELECT entity, category FROM v_free GROUP BY entity, category HAVING sum(value) > 0) f
+        CROSS JOIN (SELECT grp, arg_min(entity, (worth, entity)) AS drop FROM v_droppable GROUP BY grp) g
+        LEFT JOIN (SELECT grp, category, arg_min(entity, (worth, entity)) AS drop FROM v_droppable GROUP BY grp, category) o ON o.grp = g.grp AND o.category = f.category""",
+    "v_pickup_bar": "SELECT scenario, week, " + ", ".join(f"greatest(0, coalesce(max(value) FILTER (WHERE category = '{c}'), 0)) AS {c}" for c in b.CATEGORIES) + """ FROM (
+        SELECT p.scenario, f.week, f.category, f.value FROM v_pickup p JOIN v_free f ON f.entity <> p.add
+        UNION ALL SELECT p.scenario, r.week, r.category, r.value FROM v_pickup p JOIN v_roster r ON r.entity = p.drop) GROUP BY scenario, week""",
+    "v_pickup_value": value_sql(PICKUP_SRC, "scenario, after, week", "scenario, after", "v_pickup_bar f ON f.week = c.week AND f.scenario = c.scenario"),
 })
 
 
 @query("m19_pickup_gains", "grp:i drop:i add:i gain:d",
-       """SELECT p.grp, p.drop, p.add, coalesce(t, 0) - coalesce(total_value, 0) AS gain FROM v_pickup p
-          LEFT JOIN (SELECT scenario, sum(starting_value) + 0.5 * sum(depth_value) AS t FROM v_pickup_value GROUP BY scenario) v USING (scenario)
-          LEFT JOIN v_group_value g ON g.grp = p.grp""")
+       """SELECT * FROM (SELECT p.grp, p.drop, p.add, sum((CASE WHEN after = 1 THEN 1 ELSE -1 END) * (starting_value + 0.5 * depth_value)) AS gain
+          FROM v_pickup p JOIN v_pickup_value v USING (scenario) GROUP BY p.grp, p.drop, p.add) WHERE round(gain, 6) > 0""")
 def pickups(spark, sf):
-    owned, free = sides(spark, sf)
-    cols = ["grp", "week", "entity", "category", "value"]
-    return sw.pickup_gains(owned.select(*cols), free.select(*cols), SLOTS, 2)
-
-
-@query("m21_trade_by_week", "scenario:s grp:i week:i before:d after:d gain:d",
-       f"""WITH changed AS (SELECT s.scenario, s.grp, r.week, r.entity, r.category, r.value FROM v_side s JOIN v_roster r ON r.grp = s.grp AND r.entity <> s.gives
-             UNION ALL SELECT s.scenario, s.grp, r.week, r.entity, r.category, r.value FROM v_side s JOIN v_roster r ON r.entity = s.gets)
-           SELECT a.scenario, a.grp, a.week, coalesce(t.before, 0) AS before, a.after, a.after - coalesce(t.before, 0) AS gain FROM
-             (SELECT scenario, grp, week, sum(value) AS after FROM ({claim_sql('SELECT * FROM changed', 'scenario, grp, week', 'value DESC, entity')}) WHERE slot IS NOT NULL GROUP BY scenario, grp, week) a
-           LEFT JOIN (SELECT grp, week, sum(value) AS before FROM v_start WHERE slot IS NOT NULL GROUP BY grp, week) t USING (grp, week)""")
+    """Every free entity with points to come, for the weakest of its category, where the group gains."""
+    return tr.pickups(*sides(spark, sf), MARKET)
+
+
+@query("m21_trade_by_week", "scenario:s side:i grp:i week:i before:d after:d gain:d favors:s",
+       f"""WITH sides AS (SELECT DISTINCT s.* FROM v_side s JOIN v_chosen USING (scenario)),
+            changed AS ({changed_sql('sides')}),
+            weeks AS (SELECT DISTINCT week FROM v_weekly_value),
+            a AS (SELECT scenario, grp, week, sum(value) AS after FROM ({claim_sql('SELECT * FROM changed', 'scenario, grp, week', 'value DESC, entity')}) WHERE slot IS NOT NULL GROUP BY scenario, grp, week),
+            t AS (SELECT grp, week, sum(value) AS before FROM v_start WHERE slot IS NOT NULL GROUP BY grp, week),
+            r AS (SELECT s.scenario, CASE side WHEN 'a' THEN 0 ELSE 1 END AS side, s.grp, w.week, coalesce(t.before, 0) AS before, coalesce(a.after, 0) AS after, coalesce(a.after, 0) - coalesce(t.before, 0) AS gain
+                  FROM sides s CROSS JOIN weeks w LEFT JOIN a USING (scenario, grp, week) LEFT JOIN t USING (grp, week)),
+            f AS (SELECT scenario, round(sum(CASE side WHEN 0 THEN gain ELSE -gain END), 9) AS lead, count(DISTINCT week) AS n FROM r GROUP BY scenario)
+          SELECT r.*, CASE WHEN abs(lead) < n THEN 'even' WHEN lead > 0 THEN 'a' ELSE 'b' END AS favors FROM r JOIN f USING (scenario)""")
 def trade_by_week(spark, sf):
-    """Line-up totals of both sides before and after each swap."""
+    """The trades picked for any group: line-up totals of both sides week by week, and whom it favours."""
     owned, free = sides(spark, sf)
-    cols = ["grp", "week", "entity", "category", "value"]
-    owned = owned.select(*cols)
-    named = candidates(owned).withColumn("scenario", F.concat_ws("-", *[F.col(c).cast("string") for c in ("grp_a", "give_a", "grp_b", "give_b")]))
-    parts = named.select("scenario", F.explode(F.array(
-        F.struct(F.col("grp_a").alias("grp"), F.col("give_a").alias("gives"), F.col("give_b").alias("gets")),
-        F.struct(F.col("grp_b").alias("grp"), F.col("give_b").alias("gives"), F.col("give_a").alias("gets")))).alias("s")).select("scenario", "s.*")
-    after = ln.totals(sw._changed(owned, parts, "gives", F.col("gets"), owned), ["scenario", "grp", "week"], SLOTS).withColumnRenamed("total", "after")
-    before = ln.totals(owned, KEYS, SLOTS).withColumnRenamed("total", "before")
-    rows = after.join(before, KEYS, "left").withColumn("before", F.coalesce("before", F.lit(0.0)))
-    return rows.withColumn("gain", F.col("after") - F.col("before"))
+    scored = trades(spark, sf)
+    picked = scored.join(chosen(scored).select("scenario").distinct(), "scenario", "left_semi")
+    return tr.lineup_weeks(owned, free, cut_lineage(picked), MARKET)
 
 
 @query("m23_roster_repair", "grp:i entity:i category:s rest_total:d action:s",
