@@ -1,10 +1,13 @@
 """Exact nearest neighbours within a category.
 
-Rows are assigned to the nearest of a few pivots of their category. Distances to pivots bound the
-distance to every member of a cell, so a query visits only cells that can hold one of its k
-nearest. Cells and their visitors are cut into blocks of a fixed size; one task compares one block
-of rows with one block of queries and returns k candidates per query, so neither a big category,
-nor a big cell, nor a run of equal vectors lands in one task, and pairs are never written out.
+Rows are assigned to the nearest of a few pivots of their category. A query looks into the cell of its
+nearest pivot first; the k-th distance found there bounds all others, and it visits only cells that can
+hold something closer. Cells and their visitors are cut into blocks of a fixed size; one task compares
+one block of rows with one block of queries and returns k candidates per query, so neither a big
+category, nor a big cell, nor a run of equal vectors lands in one task, and pairs are never written out.
+
+Inside a block most pairs are never measured: along the principal axes, in growing groups, a lower bound
+of the distance rules them out (``close_pairs``). The result is exact.
 """
 
 from __future__ import annotations
@@ -37,31 +40,90 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _compare(k: int, skip_self: bool):
+def principal_axes(pool: DataFrame, dims: int) -> np.ndarray:
+    """Orthonormal axes of the vectors' scatter, the widest first: sums of dims x dims numbers per task."""
+    def sums(parts):
+        total = np.zeros((dims + 1, dims + 1))
+        for part in parts:
+            rows = np.c_[np.array(part["vec"].tolist()).reshape(-1, dims), np.ones(len(part))]
+            total += rows.T @ rows
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    rows = pool.select("vec").mapInPandas(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros((dims + 1) ** 2)
+    for r in rows:
+        total[r["at"]] = r["v"]
+    total = total.reshape(dims + 1, dims + 1)
+    n, mean = total[-1, -1], total[-1, :-1] / max(total[-1, -1], 1.0)
+    scatter = total[:-1, :-1] / max(n, 1.0) - np.outer(mean, mean)
+    return np.linalg.eigh(scatter)[1][:, ::-1] if np.isfinite(scatter).all() else np.eye(dims)
+
+
+def _segments(dims: int) -> list[tuple[int, int]]:
+    """Axes in growing groups: 4, 4, 8, 16, ... of them."""
+    ends, step = [], 4
+    while sum(ends) < dims:
+        ends.append(min(step, dims - sum(ends)))
+        step = sum(ends)
+    edges = np.r_[0, np.cumsum(ends)]
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def close_pairs(q: np.ndarray, p: np.ndarray, bound: np.ndarray, k: int, axes: np.ndarray, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of p, distance) among which are the k nearest of every q within its bound.
+
+    Squared differences along the first axes, and the difference of the lengths along the others, bound a
+    distance from below. The bound grows with each group of axes, and pairs beyond the query's own bound,
+    or beyond the k-th smallest upper bound seen in this block, are dropped. Only what is left is measured.
+    """
+    qr, pr = q @ axes, p @ axes
+    tol = 1e-10 * (np.square(q).sum(axis=1).max(initial=0.0) + np.square(p).sum(axis=1).max(initial=0.0)) + 1e-8
+    most = np.square(bound + 1e-7) + tol
+    low = np.zeros((len(q), len(p)))
+    alive = np.ones(low.shape, dtype=bool) if same is None else ~same
+    i = j = None
+    for begin, end in _segments(q.shape[1]):
+        qs, ps = qr[:, begin:end], pr[:, begin:end]
+        rest_q, rest_p = (np.sqrt(np.square(x[:, end:]).sum(axis=1)) for x in (qr, pr))
+        if i is None:
+            low += np.maximum(np.square(qs).sum(axis=1)[:, None] + np.square(ps).sum(axis=1)[None, :] - 2.0 * (qs @ ps.T), 0.0)
+            if len(p) > k:
+                high = np.where(alive, low + np.square(rest_q[:, None] + rest_p[None, :]), np.inf)
+                most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1] + 2 * tol)
+            alive &= low + np.square(rest_q[:, None] - rest_p[None, :]) <= most[:, None] + tol
+            if alive.mean() < 0.1:
+                i, j = np.nonzero(alive)
+                left = low[i, j]
+        else:
+            left = left + np.square(qs[i] - ps[j]).sum(axis=1)
+            ok = left + np.square(rest_q[i] - rest_p[j]) <= most[i] + tol
+            i, j, left = i[ok], j[ok], left[ok]
+    if i is None:
+        i, j = np.nonzero(alive)
+    total = np.zeros(len(i))
+    for d in range(q.shape[1]):
+        gap = q[i, d] - p[j, d]
+        total += gap * gap
+    return i, j, np.round(np.sqrt(total), DIGITS)
+
+
+def _compare(k: int, skip_self: bool, axes: np.ndarray):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         columns = ["category", "qid", "id", "dist"]
         if queries.empty or rows.empty:
             return pd.DataFrame({c: [] for c in columns})
         q, p = np.array(queries["vec"].tolist()), np.array(rows["vec"].tolist())
-        ids = rows["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        p, ids = p[order], ids[order]
+        qids, ids, bound = queries["qid"].to_numpy(), rows["id"].to_numpy(), queries["bound"].fillna(np.inf).to_numpy()
         out = []
-        for start in range(0, len(q), 256):
-            part = q[start:start + 256]
-            diff = np.zeros((len(part), len(p)))
-            for d in range(q.shape[1]):
-                gap = part[:, d][:, None] - p[:, d][None, :]
-                diff += gap * gap
-            dist = np.round(np.sqrt(diff), DIGITS)
-            qids = queries["qid"].to_numpy()[start:start + 256]
-            if skip_self:
-                dist[qids[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(dist, best, axis=1)
-            ok = np.isfinite(near)
-            out.append(pd.DataFrame({
-                "qid": np.repeat(qids, best.shape[1])[ok.ravel()], "id": ids[best].ravel()[ok.ravel()], "dist": near.ravel()[ok.ravel()]}))
+        for at in range(0, len(q), 256):
+            part = slice(at, at + 256)
+            same = qids[part, None] == ids[None, :] if skip_self else None
+            i, j, dist = close_pairs(q[part], p, bound[part], k, axes, same)
+            order = np.lexsort((ids[j], dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            ok = place < k
+            out.append(pd.DataFrame({"qid": qids[part][i[ok]], "id": ids[j[ok]], "dist": dist[ok]}))
         result = pd.concat(out, ignore_index=True)
         result.insert(0, "category", queries["category"].iloc[0])
         return result[columns]
@@ -70,16 +132,26 @@ def _compare(k: int, skip_self: bool):
 
 
 def nearest(
-    queries: DataFrame, pool: DataFrame, k: int, *, skip_self: bool = False, pivots: int = 64, block: int = 2048
+    queries: DataFrame, pool: DataFrame, k: int, *, skip_self: bool = False, pivots: int = 64, block: int = 4096, cell: int = 512
 ) -> DataFrame:
     """The k nearest pool rows of the same category per query: (category, qid, id, dist, pos).
 
     Inputs carry id, category and vec (equal-length array). Distances are rounded to 9 digits and
-    ties go to the smaller id. ``skip_self`` leaves out the pool row with the query's own id.
+    ties go to the smaller id. ``skip_self`` leaves out the pool row with the query's own id. A category
+    has a pivot for every ``cell`` rows, at most ``pivots``.
     """
     pool = cut_lineage(pool.select("category", "id", "vec"))
+    queries = queries.select("category", F.col("id").alias("qid"), "vec")
+    kind = pool.schema["category"].dataType.simpleString()
+    shape = f"category {kind}, qid {queries.schema['qid'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, dist double"
+    dims = pool.agg(F.max(F.size("vec")).alias("d")).first()["d"]
+    if dims is None:
+        return pool.sparkSession.createDataFrame([], f"{shape}, pos int")
+    axes = principal_axes(pool, dims)
     need = k + (1 if skip_self else 0)
+    sizes = pool.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / cell).alias("_most"))
     chosen = top_n_any_size(pool.withColumn("_h", F.xxhash64("id")), ["category"], [F.col("_h").asc(), F.col("id").asc()], "id", pivots)
+    chosen = chosen.join(sizes, "category").where(F.col("pos") <= F.col("_most"))
     per_category = cut_lineage(chosen.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("pivots")))
 
     def with_pivots(df: DataFrame) -> DataFrame:
@@ -99,28 +171,39 @@ def nearest(
     cells = cut_lineage(cells)
     directory = cells.groupBy("category").agg(F.collect_list(F.struct("cell", "radius", "blocks", "near")).alias("cells"))
 
-    q = with_pivots(queries.select("category", F.col("id").alias("qid"), "vec")).join(directory, "category")
-    def to_pivot(c: Column) -> Column:
-        return F.element_at("pd", c["cell"])
-    bound = F.array_min(F.transform("cells", lambda c: to_pivot(c) + c["near"]))
-    q = q.withColumn("bound", bound)
-    visits = F.filter("cells", lambda c: F.col("bound").isNull() | (to_pivot(c) - c["radius"] <= F.col("bound") + _SLACK))
-    visiting = cut_lineage(q.select("category", "qid", "vec", F.explode(visits).alias("c")).select(
-        "category", "qid", "vec", "c.cell", "c.blocks"))
-    crowd = visiting.groupBy("category", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qblocks"))
-    keys = ["category", "cell", "pblock", "qblock"]
-    left = visiting.join(crowd, ["category", "cell"]).withColumns({
-        "pblock": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
-        "qblock": F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int")}).select(*[F.col(c).alias(c) for c in (*keys, "qid", "vec")])
-    right = placed.join(cells.select("category", "cell", "blocks"), ["category", "cell"]).join(crowd, ["category", "cell"]).withColumns({
-        "pblock": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"),
-        "qblock": F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))}).select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")])
-    kind = pool.schema["category"].dataType.simpleString()
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _compare(k, skip_self), f"category {kind}, qid {queries.schema['id'].dataType.simpleString()}, "
-                                f"id {pool.schema['id'].dataType.simpleString()}, dist double")
+    q = with_pivots(queries).join(directory, "category")
+    to_cells = F.array_sort(F.transform("cells", lambda c: F.struct(F.element_at("pd", c["cell"]).alias("d"), c["cell"].alias("cell"), c["radius"].alias("radius"), c["blocks"].alias("blocks"), c["near"].alias("near"))))
+    q = q.withColumn("cells", to_cells).withColumn("bound", F.array_min(F.transform("cells", lambda c: c["d"] + c["near"])))
+    q = cut_lineage(q.select("category", "qid", "vec", "cells", "bound"))
+
+    def compared(asking: DataFrame, cells_of: Column) -> DataFrame:
+        """Up to k candidates per query and block of the given cells."""
+        visiting = cut_lineage(asking.select("category", "qid", "vec", "bound", F.explode(cells_of).alias("c")).select(
+            "category", "qid", "vec", "bound", "c.cell", "c.blocks"))
+        crowd = visiting.groupBy("category", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qblocks"))
+        keys = ["category", "cell", "pblock", "qblock"]
+        left = visiting.join(crowd, ["category", "cell"]).withColumns({
+            "pblock": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+            "qblock": F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int")}).select(*[F.col(c).alias(c) for c in (*keys, "qid", "vec", "bound")])
+        right = placed.join(cells.select("category", "cell", "blocks"), ["category", "cell"]).join(crowd, ["category", "cell"]).withColumns({
+            "pblock": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"),
+            "qblock": F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))}).select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")])
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(k, skip_self, axes), shape)
+
     best = Window.partitionBy("category", "qid").orderBy("dist", "id")
-    return found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+
+    def first_k(found: DataFrame) -> DataFrame:
+        return found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+
+    # the cell of the nearest pivot first: what it holds bounds the visits to all others
+    near = first_k(compared(q, F.slice("cells", 1, 1)))
+    if cells.where(F.col("cell") > 1).isEmpty():
+        return near
+    near = cut_lineage(near)
+    kth = near.where(F.col("pos") == k).select("category", "qid", F.col("dist").alias("kth"))
+    again = q.join(kth, ["category", "qid"], "left").withColumn("bound", F.least("bound", "kth"))
+    within = F.filter(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: F.col("bound").isNull() | (c["d"] - c["radius"] <= F.col("bound") + _SLACK))
+    return first_k(near.drop("pos").unionByName(compared(again, within)))
 
 
 def within_cutoff(neighbours: DataFrame, cutoffs: DataFrame) -> DataFrame:
