@@ -135,6 +135,8 @@ YARD_BRACKETS = {
 # Items backed by one column (the first one listed is kept), items always zero.
 SAME_COLUMN = ("KRTD", "PRTD")
 ALWAYS_ZERO = ("2PRET", "1PSF")
+# Items without any of which kickers do not score.
+KICKING = ("FG0", "FG40", "FG50", "FG60", "FG", "PAT")
 
 
 def _total(parts: dict[str, float]) -> Column:
@@ -269,8 +271,31 @@ def default_rules(reception_points: float = 0.5, overrides: dict[str, float] | N
     return [(k, v) for k, v in base.items() if v]
 
 
-def describe_rules(rules: Iterable[tuple[str, float]]) -> str:
-    return ", ".join(f"{item} {points:+g}" for item, points in rules)
+def rules_by_source(template: Iterable[tuple[str, float]], overrides: DataFrame) -> DataFrame:
+    """(source, item, points): the template for every source of ``overrides`` (source, item, points), its own
+    points where it has any (a row without an item only names the source). Zero removes an item."""
+    base = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(float(p)).alias("points")) for i, p in template])
+    rows = overrides.select("source").distinct().select("source", F.explode(base).alias("r")).select("source", "r.*", F.lit(0).alias("own"))
+    own = overrides.where(F.col("item").isNotNull()).select("source", "item", F.col("points").cast("double").alias("points"), F.lit(1).alias("own"))
+    both = rows.unionByName(own)
+    # a source has at most a catalogue of items
+    return both.groupBy("source", "item").agg(F.max_by("points", "own").alias("points")).where(F.col("points") != 0)
+
+
+def rules_in_words(rules: DataFrame) -> DataFrame:
+    """Per source: its rules as one sentence in order of item, how many can be computed, the items that
+    cannot, and the categories the rules score: kickers need a kicking item, units one of theirs, all
+    others an item of theirs."""
+    players, units = known_items(False), known_items(True)
+    usable = F.col("item").isin(*sorted(players | units)) & ~F.col("item").isin(*sorted(ALWAYS_ZERO))
+    said = F.concat(F.col("item"), F.lit(": "), F.format_string("%.3f", "points"))
+    def scored(items: set[str]) -> Column:
+        return F.max(F.col("item").isin(*sorted(items)) & usable)
+    rows = rules.groupBy("source").agg(
+        F.array_sort(F.collect_list(F.when(usable, said))).alias("said"), F.array_sort(F.collect_list(F.when(~usable, F.col("item")))).alias("left"),
+        scored(set(KICKING)).alias("K"), scored(units).alias("DST"), scored({i for i in players if i[:2] != "FG" and i[:3] != "PAT"}).alias("players"))
+    categories = F.array_compact(F.array(F.when(F.col("players"), "players"), F.when(F.col("K"), "K"), F.when(F.col("DST"), "DST")))
+    return rows.select("source", F.size("said").alias("n_items"), F.array_join("said", "; ").alias("words"), F.array_join("left", ",").alias("unused"), F.array_join(categories, ",").alias("categories"))
 
 
 def scored_categories(points: DataFrame, category: str = "category", pts: str = "pts") -> DataFrame:

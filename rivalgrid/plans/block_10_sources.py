@@ -210,14 +210,16 @@ def actual_starters(spark, sf):
     return row_numbers_any_size(rows, ["team", "slot"], [F.col("projected").desc(), F.col("entity").asc()], "pos")
 
 
-@query("s19_past_lineups", "period:i team:i entity:i pts:d",
-       "SELECT CAST(l_linenumber AS INT) AS period, l_suppkey AS team, l_partkey AS entity, sum(l_quantity) AS pts FROM lineitem GROUP BY 1, 2, 3")
+@query("s19_past_lineups", "period:i team:i place:i entity:i slot:s pts:d",
+       """SELECT *, row_number() OVER (PARTITION BY period, team ORDER BY pts DESC, entity) AS place, CASE entity % 3 WHEN 0 THEN 'FLEX' ELSE 'RB' END AS slot FROM (
+            SELECT CAST(l_linenumber AS INT) AS period, l_suppkey AS team, l_partkey AS entity, sum(l_quantity) AS pts FROM lineitem WHERE l_linenumber < 6 GROUP BY 1, 2, 3)""")
 def past_lineups(spark, sf):
-    """Match documents with two line-up arrays to keyed rows."""
-    items = b.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("period"), F.col("l_suppkey").alias("team"), F.col("l_partkey").alias("entity")).agg(F.sum("l_quantity").alias("pts"))
-    docs = items.groupBy("period", F.floor(F.col("team") / 2).alias("match")).agg(
-        F.collect_list(F.when(F.col("team") % 2 == 0, F.struct("team", "entity", "pts"))).alias("home"), F.collect_list(F.when(F.col("team") % 2 == 1, F.struct("team", "entity", "pts"))).alias("away"))
-    return docs.select("period", F.explode(F.concat("home", "away")).alias("e")).select("period", "e.*")
+    """Match documents with nested line-ups, read back to keyed rows by position."""
+    items = b.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("period"), F.col("l_suppkey").alias("team"), F.col("l_partkey").alias("entity")).agg(F.sum("l_quantity").alias("pts"))
+    placed = row_numbers_any_size(items, ["period", "team"], [F.col("pts").desc(), F.col("entity").asc()], "place")
+    slot = F.when(F.col("entity") % 3 == 0, "FLEX").otherwise("RB")
+    bodies = dc.lineup_documents(placed.withColumns({"match": F.floor(F.col("team") / 2), "slot": slot}))
+    return dc.lineup_rows(bodies, 6)
 
 
 @query("s32_match_documents", "period:i home:i away:i home_score:d away_score:d",

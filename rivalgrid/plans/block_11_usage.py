@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivalgrid.functions import stats as fs
 from rivalgrid.functions.numeric import clamp
-from rivalgrid.functions.scoring import compile_rules, default_rules, needed_columns, with_stat_columns
+from rivalgrid.functions.scoring import compile_rules, default_rules, known_items, needed_columns, rules_by_source, rules_in_words, scored_categories, with_stat_columns
 from rivalgrid.operators import usage as us
 from rivalgrid.operators.ranking import top_n_any_size
 from rivalgrid.plans import bindings as b
@@ -230,14 +230,47 @@ def usable_seasons(spark, sf):
     return rows.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("season")).cast("array<string>"), ",").alias("seasons"))
 
 
-@query("p17_rule_templates", "season:i week:i entity:i pts:d half:d",
-       """SELECT season, week, entity, 0.1 * rushing_yards + 1.0 * receptions + 0.1 * receiving_yards AS pts, 0.1 * rushing_yards + 0.5 * receptions + floor(receiving_yards / 25) AS half FROM v_perf""")
+@query("p17_rule_templates", "season:i week:i entity:i category:s pts:d half:d",
+       """WITH r AS (SELECT season, week, entity, category, CASE WHEN category = 'K' THEN 0 ELSE 0.1 * rushing_yards + 1.0 * receptions + 0.1 * receiving_yards END AS pts,
+            CASE WHEN category = 'K' THEN 0 ELSE 0.1 * rushing_yards + 0.5 * receptions + floor(receiving_yards / 25) END AS half FROM v_perf)
+          SELECT * FROM r WHERE category IN (SELECT category FROM r GROUP BY category HAVING max(abs(pts)) > 0)""")
 def rule_templates(spark, sf):
-    """Two rule sets from the default template, compiled over the same rows."""
+    """Two rule sets from the default template, compiled over the same rows. Kickers' rows hold
+    kicking stats only, of which there are none, so their category is not scored and is left out."""
     full = default_rules(1.0)
     half = default_rules(0.5, {"REY": 0.0, "REY25": 1.0})
-    rows = with_stat_columns(b.perf(spark, sf), needed_columns([r[0] for r in full + half]))
-    return rows.withColumn("pts", compile_rules(full)).withColumn("half", compile_rules(half))
+    stats = ("rushing_yards", "receptions", "receiving_yards")
+    rows = b.perf(spark, sf).withColumns({c: F.when(F.col("category") != "K", F.col(c)).otherwise(0.0) for c in stats})
+    rows = with_stat_columns(rows, needed_columns([r[0] for r in full + half]))
+    scored = rows.withColumn("pts", compile_rules(full)).withColumn("half", compile_rules(half))
+    return scored.join(scored_categories(scored), "category", "left_semi")
+
+
+_TEMPLATE = ", ".join(f"('{i}', {float(p)})" for i, p in default_rules(0.5))
+_UNITS = sorted(known_items(True) & {i for i, _ in default_rules(0.5)})
+
+
+@query("p17_rules_in_words", "source:i n_items:i words:s unused:s categories:s",
+       f"""WITH t(item, points) AS (VALUES {_TEMPLATE}),
+            o AS (SELECT n_nationkey AS source, 'REC' AS item, 1.0 AS points FROM nation WHERE n_nationkey % 3 = 0
+              UNION ALL SELECT n_nationkey, unnest(['FG0', 'FG40', 'FG50', 'FG60', 'PAT']), 0.0 FROM nation WHERE n_nationkey % 4 = 0
+              UNION ALL SELECT n_nationkey, unnest({_UNITS}), 0.0 FROM nation WHERE n_nationkey % 6 = 0
+              UNION ALL SELECT n_nationkey, unnest(['XYZ', '2PRET']), 2.5 FROM nation WHERE n_nationkey % 5 = 0),
+            r AS (SELECT n_nationkey AS source, t.item, coalesce(o.points, t.points) AS points FROM nation CROSS JOIN t LEFT JOIN o ON o.source = n_nationkey AND o.item = t.item
+              UNION ALL SELECT source, item, points FROM o WHERE item NOT IN (SELECT item FROM t)),
+            u AS (SELECT *, item NOT IN ('XYZ', '2PRET') AS usable FROM r WHERE points <> 0)
+          SELECT source, count(*) FILTER (WHERE usable) AS n_items, coalesce(string_agg(item || ': ' || printf('%.3f', CAST(points AS DOUBLE)), '; ' ORDER BY item || ': ') FILTER (WHERE usable), '') AS words,
+            coalesce(string_agg(item, ',' ORDER BY item) FILTER (WHERE NOT usable), '') AS unused,
+            'players' || CASE WHEN source % 4 = 0 THEN '' ELSE ',K' END || CASE WHEN source % 6 = 0 THEN '' ELSE ',DST' END AS categories
+          FROM u GROUP BY source""")
+def rules_of_sources(spark, sf):
+    """Template and own points of each source, in words, and which categories they score."""
+    n = b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("source"))
+    def own(every, items, points):
+        return n.where(F.col("source") % every == 0).select("source", F.explode(F.array(*[F.lit(i) for i in items])).alias("item"), F.lit(points).alias("points"))
+    none = n.select("source", F.lit(None).cast("string").alias("item"), F.lit(0.0).alias("points"))
+    overrides = none.union(own(3, ["REC"], 1.0)).union(own(4, ["FG0", "FG40", "FG50", "FG60", "PAT"], 0.0)).union(own(6, _UNITS, 0.0)).union(own(5, ["XYZ", "2PRET"], 2.5))
+    return rules_in_words(rules_by_source(default_rules(0.5), overrides))
 
 
 @query("p02_season_category_filter", "season:i category:s n:i", "SELECT season, category, count(*) AS n FROM v_perf WHERE season IN (1999, 2000) AND category = 'WR' AND week <= 10 GROUP BY season, category")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivalgrid.operators import events as ev
-from rivalgrid.operators.plays import remaining_fraction
+from rivalgrid.operators.plays import board_fraction, remaining_fraction
 from rivalgrid.plans import bindings as b
 from rivalgrid.plans.registry import query
 from rivalgrid.plans.sql_views import VIEWS
+from rivalgrid.sources import documents as docs
+from rivalgrid.sources.tables import scratch
+from rivalgrid.streaming import landing as ld
 from rivalgrid.streaming import live as lv
 
 NOW = "2024-01-20 12:00:00"
@@ -25,10 +28,13 @@ VIEWS.update({
 })
 
 
+FILES_PER_BATCH = 4
+
+
 def event_stream(spark, sf):
-    """events.parquet as a file stream under the table's own schema."""
+    """events.parquet as a file stream under the table's own schema, a few files a batch."""
     schema = b.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(sf)
 
 
 def status_updates(rows):
@@ -36,13 +42,12 @@ def status_updates(rows):
 
 
 def streamed_status(spark, sf):
-    latest = lv.latest_status(status_updates(event_stream(spark, sf)), "entity", ["ts", "event_id"], ["points", "finished"])
-    return lv.run_upserts(latest, ["entity"], name="status")
+    return ld.land_stream(status_updates(event_stream(spark, sf)), ld.newest(["entity"], ["ts", "event_id"]), "status")
 
 
 @query("k02_status_stream", "entity:i points:d finished:b", "SELECT * FROM v_status")
 def status_stream(spark, sf):
-    """Update-mode stream of the latest status per entity, upserted by batch."""
+    """The latest status per entity, batch by batch."""
     return streamed_status(spark, sf)
 
 
@@ -50,13 +55,45 @@ def fractions_stream(spark, sf):
     rows = event_stream(spark, sf).where(F.col("user_id") % 10 != 3).select(
         (F.col("user_id") % 10).alias("grp"), "ts", "event_id", F.floor(F.hour("ts") / 4).cast("int").alias("period"),
         F.format_string("%d:%02d", F.minute("ts") % 16, F.second("ts")).alias("clock"))
-    latest = lv.latest_status(rows, "grp", ["ts", "event_id"], ["period", "clock"])
-    return lv.run_upserts(latest, ["grp"], name="clock").withColumn("fraction", remaining_fraction())
+    return ld.land_stream(rows, ld.newest(["grp"], ["ts", "event_id"]), "clock").withColumn("fraction", remaining_fraction())
+
+
+def scoreboard_bodies(spark, sf):
+    """Scoreboard documents as they are polled: one JSON body per game and poll. Some are cut short, some name
+    no teams, some have a clock that is none."""
+    e = b.table(spark, sf, "events").where(F.col("event_type").isNotNull())
+    state = F.when(F.col("event_type") == "purchase", "post").when(F.col("event_type") == "signup", "pre").otherwise("in")
+    clock = F.when(F.col("event_id") % 31 == 4, "half").otherwise(F.format_string("%d:%02d", F.minute("ts") % 16, F.second("ts")))
+    teams = [F.when(F.col("event_id") % 23 != 3, (F.col("user_id") % 40 + i * 40).cast("string")).alias(n) for i, n in enumerate(("home", "away"))]
+    body = F.to_json(F.struct(state.alias("state"), F.floor(F.hour("ts") / 4).cast("int").alias("period"), clock.alias("clock"), *teams, F.col("event_id").alias("sent")))
+    return e.select(F.when(F.col("event_id") % 17 == 5, F.substring(body, 1, 30)).otherwise(body).alias("value"))
 
 
-@query("s21_scoreboard_stream", "grp:i fraction:d", "SELECT * FROM v_fraction")
+VIEWS["v_board"] = """SELECT *, CASE state WHEN 'pre' THEN 1.0 WHEN 'post' THEN 0.0 ELSE
+      CASE WHEN p > 4 THEN 0.05 ELSE greatest(0, least(1, 1 - (greatest(0, p - 1) * 900 + 900 - s) / 3600.0)) END END AS fraction FROM (
+    SELECT unnest([user_id % 40, user_id % 40 + 40]) AS grp, event_id, hour(ts) // 4 AS p, CASE WHEN event_id % 31 = 4 THEN 0 ELSE (minute(ts) % 16) * 60 + floor(second(ts)) END AS s,
+           CASE event_type WHEN 'purchase' THEN 'post' WHEN 'signup' THEN 'pre' ELSE 'in' END AS state
+    FROM events WHERE event_type IS NOT NULL AND event_id % 17 <> 5 AND event_id % 23 <> 3)"""
+
+
+@query("s21_scoreboard_stream", "grp:i fraction:d sent:i", "SELECT grp, arg_max(fraction, event_id) AS fraction, max(event_id) AS sent FROM v_board GROUP BY grp")
 def scoreboard_stream(spark, sf):
-    return fractions_stream(spark, sf)
+    """Documents landed as text, read as a stream, parsed with the bad ones set aside, newest per team."""
+    folder = scratch(spark, "scoreboards")
+    scoreboard_bodies(spark, sf).repartition(16).write.text(folder)
+    polled = spark.readStream.option("maxFilesPerTrigger", FILES_PER_BATCH).text(folder).withColumnRenamed("value", "body")
+    boards, _ = docs.scoreboards(polled)
+    newest = ld.land_stream(boards, ld.newest(["grp"], ["sent"]), "boards")
+    return newest.withColumn("fraction", board_fraction())
+
+
+@query("s21_quarantined_scoreboards", "reason:s n:i",
+       """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 17 = 5 THEN 'not a scoreboard' WHEN event_id % 23 = 3 THEN 'no teams' END AS reason FROM events WHERE event_type IS NOT NULL)
+          WHERE reason IS NOT NULL GROUP BY reason""")
+def quarantined(spark, sf):
+    """The documents set aside, by what is wrong with them."""
+    _, bad = docs.scoreboards(scoreboard_bodies(spark, sf).withColumnRenamed("value", "body"))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def blended(spark, sf):
@@ -110,11 +147,11 @@ def overlay(spark, sf):
             SELECT user_id AS entity, event_id, value, epoch_us(ts) AS us, event_type, min(CASE WHEN event_type = 'purchase' AND ts > TIMESTAMP '2024-01-20' THEN epoch_us(ts) END) OVER (PARTITION BY user_id) AS f FROM events)
           WHERE NOT (event_type = 'purchase' AND us > epoch_us(TIMESTAMP '2024-01-20')) AND (f IS NULL OR us < f) GROUP BY entity""")
 def frozen(spark, sf):
-    """Keyed state: estimates rewritten until the processed mark, frozen from then on."""
+    """Estimates rewritten until the processed mark, frozen from then on: landed and folded, no keyed state."""
     mark = (F.col("event_type") == "purchase") & (F.col("ts") > F.lit("2024-01-20").cast("timestamp"))
     rows = event_stream(spark, sf).select(
         F.col("user_id").alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_id").alias("seq"), "value", mark.alias("is_mark"))
-    return lv.run_upserts(lv.freeze_log(rows, "entity"), ["entity"], name="log")
+    return ld.logged(ld.land_stream(rows, ld.log_until_mark("entity"), "log"), "entity")
 
 
 @query("k08_final_games_only", "season:i week:i grp:i pts:d",

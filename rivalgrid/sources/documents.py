@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 RANKINGS = "struct<scoring string, page string, taken string, players array<struct<id bigint, name string, team string, ecr double, avg string>>>"
 BIDS = "struct<week int, transactions array<struct<id bigint, team bigint, type string, status string, bid double, items array<struct<type string, entity bigint>>>>>"
 PROJECTION = "struct<entity bigint, week int, stats map<string,double>>"
-SCOREBOARD = "struct<state string, period int, clock string, start string, home string, away string>"
+SCOREBOARD = "struct<state string, period int, clock string, home string, away string, sent bigint>"
 SETTINGS = "struct<source bigint, roster_size int, slots map<string,int>, scoring array<struct<item string, points double>>>"
 ROSTER = "struct<team bigint, name string, players array<struct<id bigint, name string, position string, status string, slot string>>>"
 OWNERSHIP = "struct<entity bigint, status string, clears bigint, change double>"
+LINEUPS = "struct<period int, match bigint, piece int, sides array<struct<team bigint, lineup array<struct<entity bigint, slot string, pts double>>>>>"
 MATCHES = "struct<period int, matches array<struct<home bigint, away bigint, home_score double, away_score double>>>"
 
 
@@ -54,10 +55,39 @@ def later_source_wins(first: DataFrame, second: DataFrame, keys: list[str], valu
     return both.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, "_p").alias(value))
 
 
-def scoreboard_rows(docs: DataFrame) -> DataFrame:
-    """Scoreboards to one row per side with state, period and clock."""
-    rows = parse(docs, SCOREBOARD)
-    return rows.withColumn("grp", F.explode(F.array("home", "away"))).select("grp", "state", "period", "clock", "start")
+def scoreboards(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scoreboard documents to one row per team (grp, state, period, clock, sent), and the documents that
+    cannot be read, with the reason. Works on batches and streams."""
+    d = F.from_json("body", f"{SCOREBOARD[len('struct<'):-1]}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = docs.select("body", d.alias("d")).withColumn(
+        "reason", F.when(F.col("d").isNull() | F.col("d._bad").isNotNull() | F.col("d.state").isNull(), "not a scoreboard")
+        .when(F.col("d.home").isNull() | F.col("d.away").isNull(), "no teams"))
+    sides = rows.where(F.col("reason").isNull()).select(F.explode(F.array("d.home", "d.away")).alias("grp"), "d.state", "d.period", "d.clock", "d.sent")
+    return sides, rows.where(F.col("reason").isNotNull()).select("body", "reason")
+
+
+PIECE = 64
+
+
+def lineup_documents(rows: DataFrame) -> DataFrame:
+    """Match documents from line-up rows (period, match, team, place from 1, entity, slot, pts): a line-up of
+    any length goes into pieces of ``PIECE`` places, so no document is unbounded."""
+    piece = F.floor((F.col("place") - 1) / PIECE).cast("int").alias("piece")
+    sides = rows.groupBy("period", "match", "team", piece).agg(
+        F.array_sort(F.collect_list(F.struct("place", "entity", "slot", "pts"))).alias("lineup"))
+    sides = sides.withColumn("lineup", F.transform("lineup", lambda p: F.struct(p["entity"].alias("entity"), p["slot"].alias("slot"), p["pts"].alias("pts"))))
+    whole = sides.groupBy("period", "match", "piece").agg(F.array_sort(F.collect_list(F.struct("team", "lineup"))).alias("sides"))
+    return whole.select(F.to_json(F.struct("period", "match", "piece", "sides")).alias("body"))
+
+
+def lineup_rows(docs: DataFrame, current_period: int | None = None) -> DataFrame:
+    """Match documents to (period, team, place, entity, slot, pts): place by position in the line-up, points
+    that are missing as zero, byes (no team) and periods that are not over left out."""
+    rows = parse(docs, LINEUPS)
+    rows = rows if current_period is None else rows.where(F.col("period") < current_period)
+    side = rows.select("period", "piece", F.explode("sides").alias("s")).where(F.col("s.team").isNotNull())
+    return side.select("period", "piece", F.col("s.team").alias("team"), F.posexplode("s.lineup").alias("at", "p")).select(
+        "period", "team", (F.col("piece") * PIECE + F.col("at") + 1).alias("place"), "p.entity", "p.slot", F.coalesce("p.pts", F.lit(0.0)).alias("pts"))
 
 
 def settings_rows(docs: DataFrame, known_slots: dict[str, list[str]]) -> DataFrame:

@@ -1,42 +1,13 @@
-"""The live tier: polled status documents as streams against a static baseline."""
+"""The live tier: what polled status documents, landed by ``landing``, say against a static baseline."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivalgrid.functions.text import in_live_window
-from rivalgrid.sources.tables import scratch
-
-
-def latest_status(updates: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Latest update per entity. Works on batches and, in update mode, on streams."""
-    return updates.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_s")).select(key, "_s.*")
-
-
-def run_upserts(stream: DataFrame, keys: Sequence[str], mode: str = "update", name: str = "live") -> DataFrame:
-    """Run a stream over what is available and return its keyed table.
-
-    Every micro-batch lands in its own folder (a replay overwrites the same folder), and a read takes
-    the newest batch per key: an upsert without a rewrite of the table.
-    """
-    spark = stream.sparkSession
-    out = scratch(spark, name)
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(land)
-        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    landed = spark.read.parquet(f"{out}/rows").drop("batch")
-    columns = [c for c in stream.columns if c not in keys]
-    return landed.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
 def with_fallback_sd(starters: DataFrame, known: DataFrame, category_sd: DataFrame) -> DataFrame:
@@ -94,41 +65,3 @@ def not_yet_landed(wanted: DataFrame, landed: DataFrame, keys: Sequence[str]) ->
 def final_games_only(rows: DataFrame, games: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A running period counts game by game: rows of games that are not final wait."""
     return rows.join(games.where("final").select(*keys), list(keys), "left_semi")
-
-
-def _fold(state, chunks) -> pd.DataFrame | None:
-    frozen_at, ts, order, value = state.get if state.exists else (None, None, None, None)
-    # a key's rows of one micro-batch are bounded by the source's rate limit
-    rows = pd.concat(list(chunks), ignore_index=True)
-    marks = rows.loc[rows["is_mark"], "ts_us"]
-    if len(marks):
-        first = int(marks.min())
-        frozen_at = first if frozen_at is None else min(frozen_at, first)
-    est = rows[~rows["is_mark"]]
-    if frozen_at is not None:
-        est = est[est["ts_us"] < frozen_at]
-    if len(est):
-        top = est.sort_values(["ts_us", "seq"]).iloc[-1]
-        if ts is None or (int(top["ts_us"]), int(top["seq"])) > (ts, order):
-            ts, order, value = int(top["ts_us"]), int(top["seq"]), float(top["value"])
-    state.update((frozen_at, ts, order, value))
-    return None if value is None else pd.DataFrame({"value": [value], "frozen": [frozen_at is not None]})
-
-
-def freeze_log(stream: DataFrame, key: str) -> DataFrame:
-    """Estimates per key, rewritten until the key's period is processed and frozen from then on.
-
-    ``stream``: key, ts_us (microseconds), seq, value, is_mark. Estimates made at or after the mark are
-    dropped however late or early they arrive.
-    """
-    kind = stream.schema[key].dataType.simpleString()
-
-    def fold(keys, chunks: Callable, state):
-        out = _fold(state, chunks)
-        if out is not None:
-            out.insert(0, key, keys[0])
-            yield out
-
-    return stream.groupBy(key).applyInPandasWithState(
-        fold, f"{key} {kind}, value double, frozen boolean", "frozen_at long, ts long, seq long, value double", "update", "NoTimeout")
-
