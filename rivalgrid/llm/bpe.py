@@ -12,7 +12,7 @@ Bytes travel as strings of the characters U+0000 to U+00FF, one per byte; ``bina
 string into bytes. Decoding looks up the piece of each id and joins the pieces.
 
 The literal maps are arrays of small maps, dealt by a hash of the key, since a lookup in a map reads
-it from the front.
+it from the front. Each is bound once round the whole encoder, so a plan holds one copy of it.
 """
 
 from __future__ import annotations
@@ -76,7 +76,12 @@ class LiteralMap:
 
     def get(self, key: Column) -> Column:
         """The value, or NULL; ``key`` is computed twice, so it should be at hand."""
-        return F.element_at(F.element_at(self.literal, _slot(key) + 1), key)
+        return look_up(self.literal, key)
+
+
+def look_up(table: Column, key: Column) -> Column:
+    """The value of ``key`` in a bound literal map."""
+    return F.element_at(F.element_at(table, _slot(key) + 1), key)
 
 
 class Codec:
@@ -94,7 +99,8 @@ class Codec:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _merge(self, state: Column, _: Column) -> Column:
+    @staticmethod
+    def _merge(table: Column, state: Column) -> Column:
         """One merge: of the leftmost pair of the lowest rank. Only its two new pairs are looked up."""
         parts, ranks = state["parts"], state["ranks"]
         none = F.array().cast("array<int>")
@@ -104,8 +110,8 @@ class Codec:
             rest = F.greatest(F.size(parts) - at - 1, F.lit(0))
 
             def joined(new: Column) -> Column:
-                left = F.when(at > 1, F.array(self.ranks.get(F.concat(F.get(parts, at - 2), new)))).otherwise(none)
-                right = F.when(rest > 0, F.array(self.ranks.get(F.concat(new, F.get(parts, at + 1))))).otherwise(none)
+                left = F.when(at > 1, F.array(look_up(table, F.concat(F.get(parts, at - 2), new)))).otherwise(none)
+                right = F.when(rest > 0, F.array(look_up(table, F.concat(new, F.get(parts, at + 1))))).otherwise(none)
                 return F.struct(
                     _chain(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
                     _chain(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"))
@@ -116,20 +122,25 @@ class Codec:
         lowest = F.array_min(F.transform(ranks, lambda rank, i: rank.cast("long") * (1 << 32) + i))
         return let((lowest % (1 << 32)).cast("int") + 1, lambda at: F.when(at.isNotNull(), merged(at)).otherwise(state))
 
-    def fold(self, key: Column) -> Column:
+    def fold(self, key: Column, table: Column) -> Column:
         """Ids of a word that is no token, given as a byte string: the merges over its bytes."""
         bytes_of = F.filter(F.split(key, ""), lambda c: c != "")
 
         def merge_all(chars: Column) -> Column:
             pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda x, y: F.concat(x, y))
-            start = F.struct(chars.alias("parts"), F.transform(pairs, self.ranks.get).alias("ranks"))
-            return F.aggregate(chars, start, self._merge, lambda s: F.transform(s["parts"], self.ranks.get))
+            start = F.struct(chars.alias("parts"), F.transform(pairs, lambda p: look_up(table, p)).alias("ranks"))
+            return F.aggregate(chars, start, lambda state, _: self._merge(table, state), lambda s: F.transform(s["parts"], lambda p: look_up(table, p)))
 
         return let(bytes_of, merge_all)
 
-    def encode_word(self, word: Column) -> Column:
+    def encode_word(self, word: Column, table: Column | None = None) -> Column:
+        """Ids of a word. ``table`` is the ranks, bound once by a ``let`` round all that uses them, so that
+        the plan holds one copy; without it they are bound here."""
+        if table is None:
+            return let(self.ranks.literal, lambda bound: self.encode_word(word, bound))
+
         def one_or_fold(key: Column) -> Column:
-            return let(self.ranks.get(key), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(self.fold(key)))
+            return let(look_up(table, key), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(self.fold(key, table)))
 
         return let(byte_string(word), one_or_fold)
 
@@ -152,11 +163,14 @@ class Codec:
 
     def encode(self, text: Column, known: LiteralMap) -> Column:
         """Ids of a text; NULL is an empty text, which has none."""
-        return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(known.get(w), self.encode_word(w))))
+        def ids(ranks: Column, words: Column) -> Column:
+            return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(look_up(words, w), self.encode_word(w, ranks))))
+
+        return let(self.ranks.literal, lambda ranks: let(known.literal, lambda words: ids(ranks, words)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
-        return binary(F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), ""))
+        return let(self.pieces, lambda pieces: binary(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), "")))
 
 
 def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "token_ids", known_words: int = KNOWN_WORDS) -> tuple[DataFrame, Codec]:
