@@ -8,6 +8,8 @@ Picks of one row per event are aggregates, not windows, so one event may hold an
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,11 +39,13 @@ def collapse_variants(bids: DataFrame) -> DataFrame:
     """One row per team and event: the executed one, else the highest bid; the rest are counted."""
     by = [*EVENT, "team"]
     done = F.col("status") == "EXECUTED"
+    order = [(~done).asc(), F.when(done, 0.0).otherwise(-F.coalesce("bid", F.lit(0.0))).asc(), F.col("tid").asc()]
     rest = [c for c in bids.columns if c not in by and c != "tid"]
-    # order first, then the unique key, then the carried columns: the minimum is the chosen row
-    row = F.struct((~done).alias("_a"), F.when(done, 0.0).otherwise(-F.coalesce("bid", F.lit(0.0))).alias("_b"), "tid", *rest)
-    out = bids.groupBy(*by).agg(F.min(row).alias("_row"), (F.count(F.lit(1)) - 1).alias("variants_dropped"))
-    return out.select(*by, *[F.col(f"_row.{c}").alias(c) for c in (*rest, "tid")], "variants_dropped")
+    dropped = bids.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("variants_dropped"))
+    kept = first_row(bids, by, order, [*rest, "tid"])
+    # an event or team may be NULL, and is then a group of its own
+    return kept.join(dropped.select(*[F.col(c).alias(f"_{c}") for c in by], "variants_dropped"),
+                     reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])).drop(*[f"_{c}" for c in by])
 
 
 def classify(bids: DataFrame, flat_cost: Column | float = 0.0, outbid_statuses: Sequence[str] = ("OUTBID",)) -> DataFrame:
@@ -130,12 +134,11 @@ def event_stats(bids: DataFrame) -> DataFrame:
 
 def promote_best_failed(bids: DataFrame) -> DataFrame:
     """Add a synthetic win where a source's event has only failed bids: its highest bid."""
-    real = F.col("signal").isin("won", "outbid")
-    failed = F.col("signal") == "other_failure"
     names = [c for c in bids.columns if c not in EVENT]
-    best = F.min_by(F.struct(*names), F.when(failed, F.struct((-F.col("bid")).alias("b"), F.col("tid"))))
-    events = bids.groupBy(*EVENT).agg(F.max(real).alias("_real"), F.max(failed).alias("_failed"), best.alias("_row"))
-    synthetic = events.where(~F.col("_real") & F.col("_failed")).select(*EVENT, "_row.*").withColumns(
+    failed = bids.where(F.col("signal") == "other_failure")
+    best = first_row(failed, EVENT, [F.col("bid").desc_nulls_first(), F.col("tid").asc()], names)
+    real = bids.where(F.col("signal").isin("won", "outbid")).select(*EVENT).distinct()
+    synthetic = best.join(real, EVENT, "left_anti").select(*EVENT, *names).withColumns(
         {"signal": F.lit("won"), "cost": F.col("bid").cast("double"), "synthetic": F.lit(True)})
     return bids.withColumn("synthetic", F.lit(False)).unionByName(synthetic)
 
@@ -215,11 +218,10 @@ def availability(rows: DataFrame, rostered: DataFrame, sources: DataFrame) -> Da
 def no_bid_rows(candidates: DataFrame, sources: DataFrame, rostered: DataFrame, bids: DataFrame) -> DataFrame:
     """Entities a source could have bid for and did not.
 
-    ``candidates`` is (season, week, entity, category), already gated for relevance. The sources of
-    a week travel as one array, so the rows made are the answer before two anti joins.
+    ``candidates`` is (season, week, entity, category), already gated for relevance. Each meets every
+    source of its week: the rows made are the answer before two anti joins.
     """
-    weeks = sources.groupBy("season", "week").agg(F.collect_set("source").alias("_sources"))
-    free = candidates.join(weeks, ["season", "week"]).withColumn("source", F.explode("_sources")).drop("_sources")
+    free = candidates.join(sources.select("season", "week", "source").distinct(), ["season", "week"])
     free = free.join(rostered.select(*EVENT).distinct(), EVENT, "left_anti")
     free = free.join(bids.select(*EVENT).distinct(), EVENT, "left_anti")
     return free.withColumns({"signal": F.lit("no_bid"), "bid": F.lit(0.0), "cost": F.lit(0.0)})

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivalgrid.functions.text import merge_name
+from rivalgrid.session import cut_lineage
 
 
 def crosswalk(records: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -22,27 +24,28 @@ def crosswalk(records: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 def resolve(rows: DataFrame, records: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """Attach ``target`` by the first id that matches, then by unambiguous name and category, then a
-    composite of whatever is known."""
-    found = [F.lit(None).cast(records.schema[target].dataType)]
-    out = rows
+    composite of whatever is known.
+
+    One key at a time: only rows that have the id are joined on it, so no run of NULL ids meets in one
+    task, and rows that a key resolves leave before the next.
+    """
+    kind = records.schema[target].dataType
+    waiting, done = rows, []
     for k in keys:
-        side = records.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(target).alias(f"_by_{k}"))
-        out = out.join(side, k, "left")
-        found.append(F.col(f"_by_{k}"))
-    names = crosswalk(records, [target, *[k for k in keys if k != target]]).select(
-        F.col("name_key").alias("_nk"), F.col("category").alias("_cat"), F.col(target).alias("_by_name"))
-    out = out.withColumn("_key", merge_name(F.col("name")))
-    out = out.join(names, (F.col("_key") == F.col("_nk")) & (F.col("category") == F.col("_cat")), "left")
-    hit = F.coalesce(*found, F.col("_by_name"))
-    fallback: Column = F.when(F.col("name").isNotNull(), F.concat(F.lit("unmapped:"), F.col("_key"), F.lit(":"), F.coalesce("category", F.lit(""))))
+        side = records.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(target).alias("_hit"))
+        asked = cut_lineage(waiting.where(F.col(k).isNotNull()).join(side, k, "left").select(*rows.columns, "_hit"))
+        done.append(asked.where(F.col("_hit").isNotNull()).withColumn("resolved_by", F.lit(k)))
+        waiting = waiting.where(F.col(k).isNull()).unionByName(asked.where(F.col("_hit").isNull()).drop("_hit"))
+    names = crosswalk(records, [target, *[k for k in keys if k != target]]).select("name_key", "category", F.col(target).alias("_hit"))
+    waiting = waiting.withColumn("name_key", merge_name(F.col("name")))
+    named = F.col("name_key").isNotNull() & F.col("category").isNotNull()
+    last = waiting.where(named).join(names, ["name_key", "category"], "left").unionByName(waiting.where(~named).withColumn("_hit", F.lit(None).cast(kind)))
+    done.append(last.select(*rows.columns, "_hit").withColumn("resolved_by", F.when(F.col("_hit").isNotNull(), "name").otherwise("unmapped")))
+    out = reduce(DataFrame.unionByName, done)
+    fallback: Column = F.when(F.col("name").isNotNull(), F.concat(F.lit("unmapped:"), merge_name(F.col("name")), F.lit(":"), F.coalesce("category", F.lit(""))))
     for k in reversed(list(keys)):
         fallback = F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))).otherwise(fallback)
-    how = F.lit("unmapped")
-    how = F.when(F.col("_by_name").isNotNull(), "name").otherwise(how)
-    for k in reversed(list(keys)):
-        how = F.when(F.col(f"_by_{k}").isNotNull(), k).otherwise(how)
-    out = out.withColumns({"resolved": F.coalesce(hit.cast("string"), fallback, F.lit("unmapped:unknown")), "resolved_by": how})
-    return out.drop("_key", "_nk", "_cat", "_by_name", *[f"_by_{k}" for k in keys])
+    return out.withColumn("resolved", F.coalesce(F.col("_hit").cast("string"), fallback, F.lit("unmapped:unknown"))).drop("_hit")
 
 
 def ranks_by_id(ranks: DataFrame, order: str) -> DataFrame:

@@ -87,10 +87,9 @@ def fallback_baseline(cells: DataFrame, baselines: DataFrame, min_n: int = POOLE
     cat = level(good.where((F.col("category") != ALL) & (F.col("bucket") == ALL)), ["category"], "category")
     buck = level(good.where((F.col("category") == ALL) & (F.col("bucket") != ALL)), ["bucket"], "bucket")
     cell = level(good.where((F.col("category") != ALL) & (F.col("bucket") != ALL)), ["category", "bucket"], "cell")
-    # the grand total joins through its own label, carried by every row
-    top = level(good.where((F.col("category") == ALL) & (F.col("bucket") == ALL)).withColumnRenamed("bucket", "_lab"), ["_lab"], "all")
-    rows = cells.withColumn("_lab", F.lit(ALL)).join(cell, ["category", "bucket"], "left").join(cat, "category", "left")
-    rows = rows.join(buck, "bucket", "left").join(top, "_lab", "left")
+    # the grand total is one row, so a scalar
+    top = level(good.where((F.col("category") == ALL) & (F.col("bucket") == ALL)), [], "all")
+    rows = cells.join(cell, ["category", "bucket"], "left").join(cat, "category", "left").join(buck, "bucket", "left").withColumn("_all", top.scalar())
     return rows.withColumn("_g", F.coalesce("_cell", "_category", "_bucket", "_all")).select(*cells.columns, "_g.*")
 
 

@@ -51,3 +51,31 @@ def predict(
     scored = model.transform(data).withColumn("p_interest", vector_to_array("_p")[1])
     return scored.withColumn("price", F.greatest(F.expm1("_log_price"), F.lit(0.0))).drop(
         "_x", "_p", "_raw", "_label", "_log_price", *[f"z_{f}" for f in interest_features])
+
+
+def interest_gradient(rows: DataFrame, features: Sequence[str], model: LogisticRegressionModel, stats: dict[str, tuple[float, float]],
+                      label: str = "label", l2: float = 1.0) -> DataFrame:
+    """(feature, gradient, n): derivative of the penalised loss per row at the fitted weights, to three digits."""
+    weights = dict(zip(features, model.coefficients.toArray().tolist(), strict=True))
+    z = standardize(rows, stats)
+    margin = sum((F.col(f"z_{f}") * w for f, w in weights.items()), F.lit(float(model.intercept)))
+    off = 1 / (1 + F.exp(-margin)) - F.col(label)
+    one = z.agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("intercept"), *[F.sum(off * F.col(f"z_{f}")).alias(f) for f in features])
+    parts = [F.struct(F.lit(f).alias("feature"), F.round((F.col(f) + l2 * weights.get(f, 0.0)) / F.col("n"), 3).alias("gradient")) for f in (*features, "intercept")]
+    return one.select("n", F.explode(F.array(*parts)).alias("p")).select("p.feature", "p.gradient", "n")
+
+
+def prediction_residuals(
+    rows: DataFrame, features: Sequence[str], price: LinearRegressionModel, interest_features: Sequence[str],
+    interest: LogisticRegressionModel, stats: dict[str, tuple[float, float]]
+) -> DataFrame:
+    """(feature, residual, n, negative): mean product of the log price residual with each feature, the gap
+    between mean interest and mean label, rows with a price, and predictions below zero."""
+    out = predict(rows, features, price, interest_features, interest, stats)
+    raw = sum((F.col(f) * float(w) for f, w in zip(features, price.coefficients, strict=True)), F.lit(float(price.intercept)))
+    left = F.when(F.col("target").isNotNull(), F.log1p("target") - raw)
+    one = out.agg(
+        F.count("target").alias("n"), F.sum(F.when(F.col("price") < 0, 1).otherwise(0)).alias("negative"), F.avg(left).alias("intercept"),
+        F.avg(F.col("p_interest") - F.col("label")).alias("interest"), *[F.avg(left * F.col(f)).alias(f) for f in features])
+    parts = [F.struct(F.lit(f).alias("feature"), F.round(F.col(f), 3).alias("residual")) for f in (*features, "intercept", "interest")]
+    return one.select("n", "negative", F.explode(F.array(*parts)).alias("p")).select("p.feature", "p.residual", "n", "negative")

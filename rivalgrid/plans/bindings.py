@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +15,7 @@ from rivalgrid.operators.allowed import points_by_group
 from rivalgrid.operators import events as ev
 from rivalgrid.operators.grids import dense_points, with_opponent
 from rivalgrid.session import drops, written
+from rivalgrid.sources.tables import in_years
 
 CATEGORIES = ("QB", "RB", "WR", "TE", "K")
 # Binary fractions, so that sums of points are exact in any order.
@@ -25,12 +26,20 @@ PARTIAL_SEASON, PARTIAL_WEEK, WEEKS, GROUPS = 2001, 6, 12, 25
 _WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """What a folder of tables holds now: name, time, number and length of files of each table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = [(s, fs.getContentSummary(s.getPath())) for s in fs.listStatus(path)]
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime(), c.getFileCount(), c.getLength()) for s, c in tables))
+
+
 def written_once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Write what ``build`` returns once per application and input folder; later queries read that table."""
+    """Write what ``build`` returns once per application and state of the input folder; later queries read that table."""
 
     @wraps(build)
     def rows(spark: SparkSession, sf: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, drops(spark), sf, f"{build.__module__}.{build.__name__}")
+        key = (spark.sparkContext.applicationId, drops(spark), sf, _state(spark, sf), f"{build.__module__}.{build.__name__}")
         if key not in _WRITTEN:
             df = build(spark, sf)
             _WRITTEN[key] = written(df), df.schema
@@ -52,16 +61,22 @@ def season_week(date: str = "o_orderdate") -> list[Column]:
     return [F.year(date).alias("season"), F.month(date).alias("week")]
 
 
-def order_items(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def orders_of(spark: SparkSession, sf: str, seasons: Sequence[int] | None) -> DataFrame:
+    """Orders, of some seasons only: as date ranges, which reach the scan."""
+    rows = table(spark, sf, "orders")
+    return rows.where(in_years("o_orderdate", seasons)) if seasons else rows
+
+
+def order_items(spark: SparkSession, sf: str, *columns: str, seasons: Sequence[int] | None = None) -> DataFrame:
     """lineitem with its order's season and week; only the named columns are scanned."""
-    dates = table(spark, sf, "orders").select("o_orderkey", *season_week(), *[c for c in columns if c.startswith("o_")])
+    dates = orders_of(spark, sf, seasons).select("o_orderkey", *season_week(), *[c for c in columns if c.startswith("o_")])
     items = table(spark, sf, "lineitem").select(*dict.fromkeys(["l_orderkey", *[c for c in columns if c.startswith("l_")]]))
     return items.join(dates, items.l_orderkey == dates.o_orderkey).drop("o_orderkey")
 
 
-def perf(spark: SparkSession, sf: str) -> DataFrame:
+def perf(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None) -> DataFrame:
     """One row per entity and period: group, category, stats and points."""
-    items = order_items(spark, sf, "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    items = order_items(spark, sf, "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice", seasons=seasons)
     stats = items.groupBy("season", "week", F.col("l_suppkey").alias("entity")).agg(
         F.count(F.lit(1)).cast("double").alias("carries"),
         F.sum(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("receptions"),
@@ -131,10 +146,10 @@ def part_entity() -> Column:
     return F.floor(F.col("l_partkey") / PARTS_PER_ENTITY).cast("long")
 
 
-def raw_bids(spark: SparkSession, sf: str) -> DataFrame:
+def raw_bids(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None) -> DataFrame:
     """Bid rows as landed: one per claim, contingent variants included."""
     sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("source"))
-    placed = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", *season_week()).join(sources, "o_custkey")
+    placed = orders_of(spark, sf, seasons).select("o_orderkey", "o_custkey", "o_orderpriority", *season_week()).join(sources, "o_custkey")
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
     rows = items.join(placed, items.l_orderkey == placed.o_orderkey).withColumn("entity", part_entity())

@@ -117,7 +117,7 @@ def two_points(spark, sf):
 @query("p32_next_period", "source:i week:i market_week:i",
        "SELECT source, week, CASE WHEN source % 2 = 0 THEN week + 1 ELSE week END AS market_week FROM (SELECT source, max(week) AS week FROM v_raw_bid WHERE season = 2001 GROUP BY source)")
 def next_period(spark, sf):
-    now = b.raw_bids(spark, sf).where(F.col("season") == b.PARTIAL_SEASON).groupBy("source").agg(F.max("week").alias("week"))
+    now = b.raw_bids(spark, sf, [b.PARTIAL_SEASON]).groupBy("source").agg(F.max("week").alias("week"))
     started = F.when(F.col("source") % 2 == 0, F.col("week")).otherwise(F.col("week") - 1)
     return now.withColumn("market_week", fs.next_period(F.col("week"), started))
 
@@ -275,7 +275,7 @@ def rules_of_sources(spark, sf):
 
 @query("p02_season_category_filter", "season:i category:s n:i", "SELECT season, category, count(*) AS n FROM v_perf WHERE season IN (1999, 2000) AND category = 'WR' AND week <= 10 GROUP BY season, category")
 def season_filter(spark, sf):
-    rows = b.perf(spark, sf).where(F.col("season").isin(1999, 2000) & (F.col("category") == "WR") & (F.col("week") <= 10))
+    rows = b.perf(spark, sf, [1999, 2000]).where((F.col("category") == "WR") & (F.col("week") <= 10))
     return rows.groupBy("season", "category").agg(F.count(F.lit(1)).alias("n"))
 
 

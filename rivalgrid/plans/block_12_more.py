@@ -235,6 +235,31 @@ def interest_regression(spark, sf):
     return spark.createDataFrame([(n, float(w)) for n, w in zip(names, model.coefficients)] + [("intercept", float(model.intercept))], "feature string, weight double")
 
 
+_INTEREST = [*b4.MODEL_FEATURES, "phase_decline", "phase_final"]
+
+
+@query("m10_zero_gradient", "feature:s gradient:d n:i",
+       f"SELECT unnest({[*_INTEREST, 'intercept']}) AS feature, 0.0 AS gradient, (SELECT count(*) FROM v_feat) AS n")
+def interest_certificate(spark, sf):
+    """The fit minimises a convex loss, so it is right if the gradient there is zero (per row, to three digits)."""
+    rows = b4.model_rows(spark, sf)
+    model, st = md.fit_interest(rows, _INTEREST)
+    return md.interest_gradient(rows, _INTEREST, model, st)
+
+
+@query("m11_normal_equations", "feature:s residual:d n:i negative:i",
+       f"""SELECT unnest({[*b4.MODEL_FEATURES, 'intercept', 'interest']}) AS feature, 0.0 AS residual,
+            (SELECT count(*) FROM v_feat JOIN v_prices USING (season, week, entity)) AS n, 0 AS negative""")
+def price_certificate(spark, sf):
+    """Residuals of the predicted log price are orthogonal to every feature, predicted interest has the
+    mean of the labels, and no predicted price is below zero."""
+    rows = b4.model_rows(spark, sf)
+    known = rows.where(F.col("target").isNotNull())
+    price = md.fit_price(known, b4.MODEL_FEATURES)
+    interest, st = md.fit_interest(rows, _INTEREST)
+    return md.prediction_residuals(rows, b4.MODEL_FEATURES, price, _INTEREST, interest, st)
+
+
 @query("m14_group_interest", "category:s level:s handcuffs:i n:i",
        """SELECT category, CASE WHEN p >= 0.85 THEN 'high' WHEN p >= 0.5 THEN 'medium' ELSE 'low' END AS level, count(*) FILTER (WHERE peer_out > 0) AS handcuffs, count(*) AS n FROM (
             SELECT *, cume_dist() OVER (PARTITION BY category ORDER BY prior_points) AS p FROM v_feat) GROUP BY 1, 2""")

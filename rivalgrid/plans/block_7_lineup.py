@@ -118,9 +118,27 @@ def streaming(spark, sf):
     return ln.totals(ln.with_streaming(owned, free, KEYS, b.CATEGORIES), KEYS, SLOTS)
 
 
-@query("w19_bye_fill", "grp:i week:i slot:s entity:i fill:n streamed:b final_value:d")
+def fill_sql() -> str:
+    """The free rows claimed for holes, slot by slot: as many of a slot as it has holes."""
+    sql = """SELECT h.*, f.entity, f.category, f.value, CAST(NULL AS VARCHAR) AS slot, 0 AS turn FROM v_hole h JOIN (
+        SELECT * FROM v_free WHERE value > 0 QUALIFY row_number() OVER (PARTITION BY week, category ORDER BY value DESC, entity) <= 7) f USING (week)"""
+    for s in ln.slot_order(SLOTS):
+        free = "slot IS NULL AND category IN (" + ", ".join(f"'{c}'" for c in s.categories) + ")"
+        rank = f"row_number() OVER (PARTITION BY grp, week, ({free}) ORDER BY value DESC, entity)"
+        sql = f"""SELECT * REPLACE (CASE WHEN {free} AND {rank} <= n_{s.label} THEN {rank} ELSE turn END AS turn,
+            CASE WHEN {free} AND {rank} <= n_{s.label} THEN '{s.label}' ELSE slot END AS slot) FROM ({sql})"""
+    return sql
+
+
+VIEWS["v_hole"] = "SELECT grp, week, " + ", ".join(f"count(*) FILTER (WHERE slot = '{s.label}') AS n_{s.label}" for s in SLOTS) + " FROM v_start WHERE slot IS NOT NULL AND on_bye GROUP BY grp, week"
+
+
+@query("w19_bye_fill", "grp:i week:i slot:s entity:i fill:n streamed:b final_value:d",
+       f"""SELECT l.grp, l.week, l.slot, l.entity, f.entity AS fill, f.entity IS NOT NULL AS streamed, l.value + coalesce(f.value, 0) AS final_value FROM (
+            SELECT *, CASE WHEN on_bye THEN row_number() OVER (PARTITION BY grp, week, slot, on_bye ORDER BY value DESC, entity) END AS turn FROM v_start WHERE slot IS NOT NULL) l
+          LEFT JOIN (SELECT * FROM ({fill_sql()}) WHERE slot IS NOT NULL) f ON f.grp = l.grp AND f.week = l.week AND f.slot = l.slot AND f.turn = l.turn""")
 def bye_fill(spark, sf):
-    """No SQL twin (sequential hole filling); checked against brute force in tests."""
+    """A starter on bye gives its slot to the best free entity not used yet."""
     owned, free = sides(spark, sf)
     return ln.bye_fill(owned, free, KEYS, SLOTS)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rivalgrid.functions.numeric import bracket_byes
 from rivalgrid.operators import scenarios as sc
+from rivalgrid.operators.ranking import top_n_any_size
 from rivalgrid.operators.swaps import odds_score
 from rivalgrid.plans import bindings as b
 from rivalgrid.plans.registry import query
@@ -260,8 +261,9 @@ def odds_change(spark, sf):
     after = s.join(held, "scenario", "left_semi").groupBy("grp").agg(place.alias("after"))
     table = cut_lineage(before.join(after, "grp").withColumn("t", F.lit(0)))
     # the three largest losses of the field are enough to find one outside any pair
-    worst = table.withColumn("d", F.round(F.col("after") - F.col("before"), 9)).groupBy("t").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("d", "grp", (F.col("after") - F.col("before")).alias("delta")))), 1, 3).alias("_w"))
+    losses = table.withColumn("d", F.round(F.col("after") - F.col("before"), 9))
+    few = top_n_any_size(losses, ["t"], [F.col("d").asc(), F.col("grp").asc()], "grp", 3)
+    worst = few.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("d", "grp", (F.col("after") - F.col("before")).alias("delta")))).alias("_w"))
     def side(x):
         return table.select("t", F.col("grp").alias(f"grp_{x}"), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
     pairs = side("a").join(side("b"), "t").where(F.col("grp_a") < F.col("grp_b")).withColumns({

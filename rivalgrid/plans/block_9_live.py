@@ -165,7 +165,7 @@ def final_only(spark, sf):
        """SELECT source, week, count(*) AS n FROM v_raw_bid JOIN (SELECT source, max(week) AS now FROM v_raw_bid WHERE season = 2001 GROUP BY source) USING (source)
           WHERE season = 2001 AND week = now GROUP BY source, week""")
 def stale(spark, sf):
-    rows = b.raw_bids(spark, sf).where(F.col("season") == 2001)
+    rows = b.raw_bids(spark, sf, [2001])
     now = rows.groupBy("source").agg(F.max("week").alias("week"))
     return lv.drop_stale(rows, now, ["source"], "week").groupBy("source", "week").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,7 +179,7 @@ def incremental(spark, sf):
 @query("k11_partial_week_view", "source:i entity:i signal:s n:i cost:d",
        "SELECT source, entity, signal, count(*) AS n, sum(cost) AS cost FROM v_bids WHERE season = 2001 AND week = 6 GROUP BY source, entity, signal")
 def partial_week(spark, sf):
-    rows = b.raw_bids(spark, sf).where((F.col("season") == 2001) & (F.col("week") == 6))
+    rows = b.raw_bids(spark, sf, [2001]).where(F.col("week") == 6)
     flat = F.when(F.col("source") == b.NAMED_SOURCE, b.FLAT_COST).otherwise(0.0)
     bids = ev.classify(ev.collapse_variants(rows), flat)
     return bids.groupBy("source", "entity", "signal").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))

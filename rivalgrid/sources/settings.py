@@ -35,6 +35,7 @@ def apply_settings(settings: DataFrame, defaults: DataFrame) -> tuple[DataFrame,
     flag = F.lower("value").isin(*TRUE_WORDS, *FALSE_WORDS)
     ok = F.when(F.col("kind") == "number", number.isNotNull()).when(F.col("kind") == "flag", flag).otherwise(F.lit(True))
     applied = known.where(F.col("kind").isNotNull() & ok).select("league_slug", "key", "kind", "value")
+    # defaults are a catalogue of a few dozen keys, so every tenant takes each of them
     tenants = settings.select("league_slug").distinct()
     base = tenants.withColumn("_d", F.lit(True)).join(defaults.withColumn("_d", F.lit(True)).withColumnRenamed("value", "_default"), "_d").drop("_d")
     merged = base.join(applied.select("league_slug", "key", "value"), ["league_slug", "key"], "left").select(
