@@ -30,24 +30,26 @@ VIEWS.update({
         FROM (SELECT *, CASE WHEN season_type = 'POST' THEN 900.0 ELSE 600.0 END AS len FROM v_play)""",
     "v_role": """
         SELECT game_id, play_id, elapsed_min, short_yardline, passer_id AS entity, 'pass' AS role, pass_touchdown AS is_td, FALSE AS is_catch,
-          CASE WHEN two THEN '2pt conversion pass' WHEN interception THEN 'Interception thrown'
-               ELSE CAST(CAST(yards AS BIGINT) AS VARCHAR) || ' yd pass to r' || receiver_id || CASE WHEN pass_touchdown THEN ' (TD)' ELSE '' END END AS label,
+          concat_ws(', ', 'pass', CASE WHEN two THEN 'conversion good' END, CASE WHEN interception THEN 'ball lost' END, CASE WHEN NOT two AND NOT interception THEN CAST(yards AS BIGINT) || ' yards' END,
+            'with r' || receiver_id, CASE WHEN pass_touchdown THEN 'touchdown' END) AS label,
           0.0625 * yards + 4.0 * CAST(pass_touchdown AS INT) - 2.0 * CAST(interception AS INT) + 2.0 * CAST(two AS INT) AS pts
         FROM v_elapsed WHERE passer_id IS NOT NULL
         UNION ALL
         SELECT game_id, play_id, elapsed_min, short_yardline, rusher_id, 'rush', rush_touchdown, FALSE,
-          CASE WHEN fumble_lost THEN 'Fumble lost (rush)' WHEN two THEN '2pt conversion rush' ELSE CAST(CAST(rushing_yards AS BIGINT) AS VARCHAR) || ' yd rush' || CASE WHEN rush_touchdown THEN ' (TD)' ELSE '' END END,
+          concat_ws(', ', 'rush', CASE WHEN two THEN 'conversion good' END, CASE WHEN fumble_lost THEN 'ball lost' END, CASE WHEN NOT two AND NOT fumble_lost THEN CAST(rushing_yards AS BIGINT) || ' yards' END,
+            CASE WHEN rush_touchdown THEN 'touchdown' END),
           0.125 * rushing_yards + 6.0 * CAST(rush_touchdown AS INT) - 2.0 * CAST(fumble_lost AS INT) + 2.0 * CAST(two AS INT)
         FROM v_elapsed WHERE rusher_id IS NOT NULL
         UNION ALL
         SELECT game_id, play_id, elapsed_min, short_yardline, receiver_id, 'reception', complete_pass AND pass_touchdown, complete_pass,
-          CASE WHEN complete_pass AND fumble_lost AND fumbled_id = receiver_id THEN 'Fumble lost (reception)' WHEN NOT complete_pass THEN 'Incomplete target from p' || passer_id WHEN two THEN '2pt conversion catch'
-               ELSE CAST(CAST(yards AS BIGINT) AS VARCHAR) || ' yd catch from p' || passer_id || CASE WHEN pass_touchdown THEN ' (TD)' ELSE '' END END,
+          concat_ws(', ', 'reception', CASE WHEN two AND complete_pass THEN 'conversion good' END, CASE WHEN complete_pass AND fumble_lost AND fumbled_id = receiver_id THEN 'ball lost' END,
+            CASE WHEN NOT complete_pass THEN 'not caught' WHEN NOT two AND NOT (fumble_lost AND fumbled_id = receiver_id) THEN CAST(yards AS BIGINT) || ' yards' END, 'with p' || passer_id,
+            CASE WHEN complete_pass AND pass_touchdown THEN 'touchdown' END),
           CASE WHEN complete_pass THEN 0.5 + 0.125 * yards + 6.0 * CAST(pass_touchdown AS INT) + 2.0 * CAST(two AS INT) - 2.0 * CAST(fumble_lost AND fumbled_id = receiver_id AS INT) ELSE 0 END
         FROM v_elapsed WHERE receiver_id IS NOT NULL AND receiver_id <> passer_id
         UNION ALL
         SELECT game_id, play_id, elapsed_min, short_yardline, kicker_id, 'kick', FALSE, FALSE,
-          CASE WHEN goal THEN CAST(CAST(kick_distance AS BIGINT) AS VARCHAR) || ' yd field goal' ELSE 'Extra point' END,
+          concat_ws(', ', 'kick', CASE WHEN goal THEN CAST(kick_distance AS BIGINT) || ' yards' ELSE 'extra point' END),
           CASE WHEN goal THEN CASE WHEN kick_distance < 40 THEN 3.0 WHEN kick_distance < 50 THEN 4.0 ELSE 5.0 END ELSE 1.0 END
         FROM v_elapsed WHERE kicker_id IS NOT NULL AND (goal OR extra)""",
     "v_scored": """
