@@ -10,11 +10,14 @@ SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 ZONES = ("EDT", "EST")
 WEATHER_CLASSES = (("Snow", "snow"), ("Wintry Mix", "sleet|fzra"), ("Thunderstorm", "tsra"), ("Rain", "rain"))
 RESERVE_STATUSES = ("OUT", "INJURY_RESERVE")
+# What a name key leaves out, and the form of a value constraint in a comment.
+NAME_PUNCTUATION = r"[.'`,]"
+CONSTRAINT = r"(?i)leagues with\s+(-?[\d.]+)(?:\s*-\s*(-?[\d.]+))?"
 
 
 def merge_name(name: Column) -> Column:
     """Lower case, no punctuation, single spaces, no suffix: spellings of one name collide."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[.'`,]", ""), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), NAME_PUNCTUATION, ""), r"\s+", " "))
     return F.regexp_replace(plain, r"^(.+) (" + "|".join(SUFFIXES) + r")$", "$1")
 
 
@@ -77,9 +80,9 @@ def reserve_eligible(status: Column) -> Column:
 
 
 def waiver_label(on_waivers: Column, clears: Column) -> Column:
-    """'On Waivers (Thu)': the weekday of clearing in Eastern time."""
+    """'waivers, free Thu': the weekday of clearing in Eastern time where it is known."""
     day = F.date_format(F.from_utc_timestamp(clears, "America/New_York"), "EEE")
-    return F.when(on_waivers, F.when(clears.isNull(), "On Waivers").otherwise(F.concat(F.lit("On Waivers ("), day, F.lit(")"))))
+    return F.when(on_waivers, F.concat_ws(", ", F.lit("waivers"), F.concat(F.lit("free "), day)))
 
 
 def slot_label(slot: Column, names: dict[str, str]) -> Column:
@@ -92,9 +95,8 @@ def slot_label(slot: Column, names: dict[str, str]) -> Column:
 
 def value_constraint(comment: Column) -> dict[str, Column]:
     """'Only include leagues with 4-6' / 'Exclude leagues with -2' -> kind, low, high (NULL: no constraint)."""
-    pattern = r"(?i)leagues with\s+(-?[\d.]+)(?:\s*-\s*(-?[\d.]+))?"
-    low = F.nullif(F.regexp_extract(comment, pattern, 1), F.lit("")).cast("double")
-    high = F.coalesce(F.nullif(F.regexp_extract(comment, pattern, 2), F.lit("")).cast("double"), low)
+    low = F.nullif(F.regexp_extract(comment, CONSTRAINT, 1), F.lit("")).cast("double")
+    high = F.coalesce(F.nullif(F.regexp_extract(comment, CONSTRAINT, 2), F.lit("")).cast("double"), low)
     kind = F.when(low.isNotNull(), F.when(F.lower(F.trim(comment)).startswith("exclude"), "exclude").otherwise("only"))
     return {"constraint_kind": kind, "constraint_low": low, "constraint_high": high}
 

@@ -166,7 +166,7 @@ def ownership_documents(spark, sf):
 
 @query("s30_waiver_documents", "entity:i clears:s label:s",
        """SELECT l_orderkey AS entity, strftime(max(l_shipdate), '%Y-%m-%d %H:%M') AS clears,
-            'On Waivers (' || strftime(timezone('America/New_York', timezone('UTC', max(l_shipdate))), '%a') || ')' AS label FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
+            'waivers, free ' || strftime(timezone('America/New_York', timezone('UTC', max(l_shipdate))), '%a') AS label FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
 def waiver_documents(spark, sf):
     rows = b.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("entity"), (F.col("l_returnflag") == "R").alias("r")).agg(F.max("l_shipdate").alias("d"))
     body = F.to_json(F.struct("entity", F.when(F.col("r"), "WAIVERS").otherwise("FREEAGENT").alias("status"), F.unix_millis(F.col("d").cast("timestamp")).alias("clears"), F.lit(0.5).alias("change")))

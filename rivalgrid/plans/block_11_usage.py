@@ -171,11 +171,11 @@ def row_search(spark, sf):
 
 
 @query("j28_free_status", "entity:i label:s",
-       "SELECT s_suppkey AS entity, CASE WHEN s_nationkey >= 20 AND s_acctbal > 2000 THEN 'On Waivers' END AS label FROM supplier")
+       "SELECT s_suppkey AS entity, CASE WHEN s_nationkey >= 20 AND s_acctbal > 2000 THEN 'waivers' END AS label FROM supplier")
 def free_status(spark, sf):
     """Waiver status attached to entities nobody owns."""
     s = b.table(spark, sf, "supplier")
-    status = s.where(F.col("s_acctbal") > 2000).select("s_suppkey", F.lit("On Waivers").alias("status"))
+    status = s.where(F.col("s_acctbal") > 2000).select("s_suppkey", F.lit("waivers").alias("status"))
     return s.join(status, "s_suppkey", "left").select(
         F.col("s_suppkey").alias("entity"), F.when((F.col("s_nationkey") >= 20) & F.col("status").isNotNull(), F.col("status")).alias("label"))
 
