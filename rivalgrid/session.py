@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,21 +54,39 @@ def written(df: DataFrame) -> str:
     return path
 
 
-def drop_cuts(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables this application wrote, but for the first ``since``; how many went.
+def cuts(spark: SparkSession) -> list[str]:
+    """The tables this application has written so far, oldest first."""
+    return list(_cuts.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> int:
+    """Delete tables this application wrote; how many went.
 
     For callers that are done with every DataFrame built from them: those can no longer be read.
     """
-    cuts = _cuts.get(spark.sparkContext.applicationId, [])
-    gone = cuts[since:]
+    held = _cuts.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in paths if p in held]
     for path in gone:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del cuts[since:]
-    _drops[spark.sparkContext.applicationId] = drops(spark) + 1
+        held.remove(path)
     return len(gone)
 
 
+def drop_cuts(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this application wrote, but for the first ``since``; how many went."""
+    gone = drop_tables(spark, cuts(spark)[since:])
+    _drops[spark.sparkContext.applicationId] = drops(spark) + 1
+    return gone
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries. Executors delete them once the driver has collected
+    what refers to them, which a driver with memory to spare puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drops(spark: SparkSession) -> int:
     """How often this application has deleted its tables."""
     return _drops.get(spark.sparkContext.applicationId, 0)
