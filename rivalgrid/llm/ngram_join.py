@@ -16,11 +16,13 @@ the class of its smaller set. A token that one document has makes no candidate,
 document's prefix: most documents leave the join there. The second pass counts all tokens of those
 that are left and takes their prefixes under the three orders.
 
-No all-pairs. Equal sets are one node. In each round every prefix token names pivots among its
-nodes; nodes are compared with pivots outside their component, links join components, and a token
-is settled when its nodes that were not yet pivots lie in one component. A group of copies takes
-one round; no link between components is missed, as one end of it must become a pivot. Components
-are kept as tables; the driver sees counts alone.
+No all-pairs. Equal sets are one node. In a first round every node meets one pivot, which settles
+tokens that only a group of copies has. The nodes of tokens still open are dealt to finer groups by
+their differences from one of them (``_by_difference``). In each further round every group names
+pivots among its nodes; nodes are compared with pivots outside their component, links join components,
+and a group is settled when its nodes that were not yet pivots lie in one component. No link between
+components is missed, as one end of it must become a pivot. Components are kept as tables; the driver
+sees counts alone.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalgrid.session import cut_lineage
+from rivalgrid.session import cut_lineage, free_shuffles
 
 CLASS_STARTS = (1, 128, 512, 2048)
-PIVOTS = 16
+PIVOTS = 1
+#: Nodes that an open token may have without being dealt out by difference.
+FEW = 64
 #: Rows up to which a table of (id, node) is sent to all executors (about 10 MB); beyond, it is shuffled.
 SMALL_TABLE = 200_000
 _TOP = 1 << 63
@@ -138,12 +142,15 @@ def _alive(sliced: DataFrame, plan: Plan) -> DataFrame:
     each = sliced.select("row", F.explode("slices").alias("s")).select("row", F.col("s.c").alias("c"), F.col("s.tokens").alias("tokens"))
     postings = each.select("row", "c", F.explode("tokens").alias("token"))
     shared = cut_lineage(postings.groupBy("token", "c").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "c"))
+    free_shuffles(sliced.sparkSession)
     met = postings.join(shared, ["token", "c"]).groupBy("row", "c").agg(F.count(F.lit(1)).alias("met"))
     sizes = sliced.select("row", "print", "n", F.explode("slices").alias("s")).select(
         "row", "print", "n", F.col("s.c").alias("c"), F.size("s.tokens").alias("taken"))
     # tokens of this document alone come first in every order and fill the prefix
     rows = met.join(sizes, ["row", "c"]).where(spare(F.col("n"), plan) + 1 > F.col("taken") - F.col("met"))
-    return cut_lineage(rows.groupBy("print").agg(F.min("row").alias("node")))
+    alive = cut_lineage(rows.groupBy("print").agg(F.min("row").alias("node")))
+    free_shuffles(sliced.sparkSession)
+    return alive
 
 
 def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
@@ -160,6 +167,7 @@ def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
     ranked = (
         met.join(sets.select("node", F.size("tokens").cast("long").alias("n")), "node").withColumn("alone", F.col("n") - F.size("met"))
         .withColumn("room", (spare(F.col("n"), plan) + 1 - F.col("alone")).cast("int")).where("room > 0"))
+    free_shuffles(sets.sparkSession)
     power = lambda s: F.floor(F.log2(s["df"].cast("double")))
     return cut_lineage(ranked.select(
         "node", "n", (F.col("alone") * (plan.bottom + plan.top) - F.col("n") * (plan.bottom - plan.top)).alias("over"),
@@ -186,7 +194,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
 
     nodes = wanted.select("print", "node")
     found = texts.mapInArrow(whole, "print binary, tokens array<bigint>").join(_small(nodes, nodes.count()), "print")
-    return cut_lineage(found.groupBy("node").agg(F.first("tokens").alias("tokens")))
+    sets = cut_lineage(found.groupBy("node").agg(F.first("tokens").alias("tokens")))
+    free_shuffles(docs.sparkSession)
+    return sets
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
@@ -222,6 +232,52 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _by_difference(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """The groups of ``members`` (token, node, n, over) cut finer, such that linked nodes of one token still
+    share a group.
+
+    Nodes that differ from one of them in a few tokens each all share its tokens, so a prefix cannot tell
+    them apart. What they differ in can: of two nodes, the tokens in which they differ from each other are
+    those in which exactly one of them differs from a reference set. So per token, nodes are written as
+    their differences from the tokens of one reference node. Two nodes whose differences are ``far`` and
+    ``far'`` long can be linked only if they have so many differences in common that no more than the
+    threshold's D are left: (far + far' - D) / 2. That is an overlap join, and has prefixes again, under
+    the order of the differences by how many nodes of the token have them; nodes of similar length meet, in
+    classes of length, and those that need nothing in common meet in a group of their own.
+    """
+    asked = cut_lineage(members.select("node").distinct())
+    sets = cut_lineage(nodes.select("node", "met", (F.col("n") - F.size("met")).alias("alone")).join(_small(asked, asked.count()), "node", "left_semi"))
+    about = members.join(sets.select("node", "alone"), "node")
+    pivot = about.groupBy("token").agg(F.min(F.struct("alone", "over", "node")).alias("p")).select("token", F.col("p.node").alias("node"))
+    reference = pivot.join(sets.select("node", F.col("met").alias("ref")), "node").select("token", "ref")
+    apart = members.join(sets, "node").join(reference, "token").select(
+        "token", "node", "n", "over", "alone", F.concat(F.array_except("met", "ref"), F.array_except("ref", "met")).alias("e"))
+    apart = cut_lineage(apart.withColumns({
+        "far": F.col("alone") + F.size("e"), "most": F.floor(F.col("n") * (plan.bottom - plan.top) / F.lit(plan.top))}))
+    each = apart.select("token", "node", F.explode("e").alias("e"))
+    common = cut_lineage(each.groupBy("token", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = each.join(common, ["token", "e"]).groupBy("token", "node").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared"))
+    width = apart.groupBy("token").agg(F.greatest(F.lit(1), F.floor(F.max("most") / 2)).cast("long").alias("width"))
+    rows = apart.drop("e").join(shared, ["token", "node"], "left").join(width, "token")
+    rows = rows.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<df:bigint,e:bigint>>")))
+    low, high = F.floor(F.greatest(F.lit(0), F.col("far") - F.col("most")) / F.col("width")), F.floor((F.col("far") + F.col("most")) / F.col("width"))
+    rows = rows.withColumns({"own": F.floor(F.col("far") / F.col("width")), "other": F.explode(F.sequence(low, high))})
+    needed = F.ceil((F.col("far") + F.col("other") * F.col("width") - F.col("most")) / 2)
+    room = F.col("far") - F.greatest(needed, F.lit(1)) + 1 - (F.col("far") - F.size("shared"))
+    first = F.transform(F.slice("shared", F.lit(1), F.greatest(room, F.lit(0)).cast("int")), lambda s: s["e"])
+    keys = F.when(needed <= 0, F.concat(first, F.array(F.lit(-1).cast("long")))).otherwise(first)
+    groups = rows.select("node", "n", "over", "token", "own", "other", F.explode(keys).alias("e")).select(
+        F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"), "e").alias("token"), "node", "n", "over").distinct()
+    many = groups.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
+    return cut_lineage(groups.join(many, "token"))
+
+
+def _unsettled(now: DataFrame) -> DataFrame:
+    """token and its smallest component, for tokens with nodes of several components of which one has not been a pivot."""
+    ends = now.where("not played").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return ends.where("low < high").drop("high")
+
+
 def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Components (node, comp) of the graph of all links between nodes."""
     labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
@@ -235,6 +291,7 @@ def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
         small, large = F.least("n", n), F.greatest("n", n)
         return (small * plan.bottom >= large * plan.top) & (F.col("over") + F.col(over) <= 0)
 
+    free_shuffles(nodes.sparkSession)
     # round one: every node meets the one pivot with which it shares most prefix tokens
     first = members.groupBy("token").agg(F.min("node").alias("pivot"))
     about = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("over").alias("pover"))
@@ -244,13 +301,21 @@ def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
     pairs = cut_lineage(best.select(F.col("node").alias("a"), (-F.col("m.p")).alias("b")))
     labels = joined_components(labels, _verified(pairs, nodes, plan))
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now = members.join(labels, "node").withColumn("played", F.lit(False))
+    still = cut_lineage(now.join(_unsettled(now), "token").select("token", "node", "n", "over"))
+    if still.isEmpty():
+        return labels
+    # tokens of few nodes stay as they are; those of many are dealt out by difference
+    wide = cut_lineage(still.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > FEW).select("token"))
+    members = still.join(wide, "token", "left_anti").withColumn("finer", F.lit(False))
+    if not wide.isEmpty():
+        members = members.unionByName(_by_difference(still.join(wide, "token", "left_semi"), nodes, plan).withColumn("finer", F.lit(True)))
     members = members.withColumn("played", F.lit(False))
     most = PIVOTS
     while True:
         # what is settled stays settled, so each round keeps the nodes of open tokens alone
         now = members.join(labels, "node")
-        unsettled = now.where("not played").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("high")
-        now = cut_lineage(now.join(unsettled, "token"))
+        now = cut_lineage(now.join(_unsettled(now), "token"))
         if now.isEmpty():
             return labels
         full = now.join(prefixes, "node")
@@ -263,17 +328,18 @@ def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
         # all orders at once, and a pair comes from the first token it shares, not from each
         shares = (
             F.arrays_overlap("p2", "pp2") & F.arrays_overlap("p3", "pp3")
-            & (F.array_min(F.array_intersect("p1", "pp1")) == F.col("token")))
+            & (F.col("finer") | (F.array_min(F.array_intersect("p1", "pp1")) == F.col("token"))))
         met = full.join(asked, "token").where((F.col("comp") != F.col("pcomp")) & near("pn", "pover") & shares).select(
             F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = cut_lineage(met.join(tested, ["a", "b"], "left_anti"))
+        free_shuffles(nodes.sparkSession)
         labels = joined_components(labels, _verified(pairs, nodes, plan))
         # what is still open has few links: more pivots at once make the same comparisons in fewer rounds
-        most *= 2
+        most *= 4
         tested = cut_lineage(tested.unionByName(pairs))
         played = turn.select("token", F.col("pivot").alias("node"), F.lit(True).alias("now_played"))
         members = now.join(played, ["token", "node"], "left").select(
-            "token", "node", "n", "over", (F.col("played") | F.coalesce("now_played", F.lit(False))).alias("played"))
+            "token", "node", "n", "over", "finer", (F.col("played") | F.coalesce("now_played", F.lit(False))).alias("played"))
 
 
 def components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,7 +91,7 @@ def test_stages_keep_the_columns(spark, tmp_path):
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.SQL[name]).df()
     columns = sorted(got.columns)

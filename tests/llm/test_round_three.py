@@ -1,6 +1,7 @@
 """Decontamination, whitening and alignment against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 from fractions import Fraction
@@ -12,8 +13,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rivalgrid.llm import alignment, decontaminate, whitening
+from rivalgrid.llm import alignment, decontaminate, ngram_join, whitening
 from tests.llm import cases
+from tests.llm.test_joins_and_models import brute_components
 from tests.llm.test_text_operators import noise
 
 PATH_A, PATH_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -207,3 +209,33 @@ def test_alignment_of_nothing_and_of_each_repeated_row(spark):
     assert out.count() == 0 and pairs.count() == 0
     rows = alignment.align(cases.documents(spark), PATH_A, PATH_B)[0].collect()
     assert len(rows) == len(cases.TEXTS) and sum(r.n_links == 0 and r.groups_sha256 == "" for r in rows) == 3
+
+
+@pytest.mark.parametrize(("words", "percent", "seed"), [(3, 90, 1), (3, 90, 2), (5, 80, 3), (1, 70, 4)])
+def test_families_about_the_threshold(spark, words, percent, seed):
+    """Copies that differ in a few words each: every pair shares its prefixes, some pairs are linked."""
+    r = random.Random(seed)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(r.choice([40, 90]))]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(r.randrange(0, 9)):
+                copy[r.randrange(len(copy))] = r.choice([f"f{family}x{r.randrange(4)}", f"y{r.randrange(10**6)}", f"f{family}w{r.randrange(40)}"])
+            rows.append((len(rows), " ".join(copy[: r.choice([len(copy), len(copy), len(copy) - 3])])))
+    r.shuffle(rows)
+    met = []
+    by_difference = ngram_join._by_difference
+
+    def watched(*args):
+        out = by_difference(*args)
+        met.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "_by_difference", watched)
+        patch.setattr(ngram_join, "FEW", 8)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {x.doc_id: x.component_id for x in ngram_join.components(df, words, percent).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows, words, percent)}
+    assert len(met) == 1
