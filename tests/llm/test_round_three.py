@@ -211,7 +211,7 @@ def test_alignment_of_nothing_and_of_each_repeated_row(spark):
     assert len(rows) == len(cases.TEXTS) and sum(r.n_links == 0 and r.groups_sha256 == "" for r in rows) == 3
 
 
-@pytest.mark.parametrize(("words", "percent", "seed"), [(3, 90, 1), (3, 90, 2), (5, 80, 3), (1, 70, 4)])
+@pytest.mark.parametrize(("words", "percent", "seed"), [(3, 90, 1), (5, 80, 3), (1, 70, 4)])
 def test_families_about_the_threshold(spark, words, percent, seed):
     """Copies that differ in a few words each: every pair shares its prefixes, some pairs are linked."""
     r = random.Random(seed)
