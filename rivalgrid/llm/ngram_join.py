@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalgrid.session import cut_lineage, free_shuffles
+from rivalgrid.session import cut_lineage, cuts, drop_tables, free_shuffles
 
 CLASS_STARTS = (1, 128, 512, 2048)
 PIVOTS = 1
@@ -245,6 +245,7 @@ def _by_difference(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFram
     the order of the differences by how many nodes of the token have them; nodes of similar length meet, in
     classes of length, and those that need nothing in common meet in a group of their own.
     """
+    spark, start = nodes.sparkSession, len(cuts(nodes.sparkSession))
     asked = cut_lineage(members.select("node").distinct())
     sets = cut_lineage(nodes.select("node", "met", (F.col("n") - F.size("met")).alias("alone")).join(_small(asked, asked.count()), "node", "left_semi"))
     about = members.join(sets.select("node", "alone"), "node")
@@ -269,7 +270,9 @@ def _by_difference(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFram
     groups = rows.select("node", "n", "over", "token", "own", "other", F.explode(keys).alias("e")).select(
         F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"), "e").alias("token"), "node", "n", "over").distinct()
     many = groups.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
-    return cut_lineage(groups.join(many, "token"))
+    out = cut_lineage(groups.join(many, "token"))
+    drop_tables(spark, cuts(spark)[start:-1])
+    return out
 
 
 def _unsettled(now: DataFrame) -> DataFrame:
@@ -354,11 +357,17 @@ def components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     """
     plan = Plan.of(words, percent)
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    spark, start = df.sparkSession, len(cuts(df.sparkSession))
     sliced = _slices(docs, plan)
     owner = _alive(sliced, plan)
-    rows = sliced.select("id", "n", "print", "row")
+    before_owner = cuts(spark)[start:-1]
+    rows = cut_lineage(sliced.select("id", "n", "print", "row"))
+    drop_tables(spark, before_owner)  # the slices, and what was counted of them
     wanted = cut_lineage(owner.join(rows.select(F.col("row").alias("node"), "id"), "node"))
-    labels = _linked(_prefixes(_sets(docs, wanted, plan), plan), plan)
+    start = len(cuts(spark))
+    nodes = _prefixes(_sets(docs, wanted, plan), plan)
+    drop_tables(spark, cuts(spark)[start:-1])  # the whole sets: prefixes and common tokens are in the nodes
+    labels = _linked(nodes, plan)
 
     filled = rows.where("n > 0")
     groups = cut_lineage(filled.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many")))

@@ -234,7 +234,7 @@ def test_families_about_the_threshold(spark, words, percent, seed):
 
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(ngram_join, "_by_difference", watched)
-        patch.setattr(ngram_join, "FEW", 8)
+        patch.setattr(ngram_join, "FEW", 1)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = {x.doc_id: x.component_id for x in ngram_join.components(df, words, percent).collect()}
     assert got == {d: c for d, _, c in brute_components(rows, words, percent)}
