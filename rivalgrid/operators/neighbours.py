@@ -1,10 +1,12 @@
 """Exact nearest neighbours within a category.
 
-Rows are assigned to the nearest of a few pivots of their category. A query looks into the cell of its
-nearest pivot first; the k-th distance found there bounds all others, and it visits only cells that can
-hold something closer. Cells and their visitors are cut into blocks of a fixed size; one task compares
-one block of rows with one block of queries and returns k candidates per query, so neither a big
-category, nor a big cell, nor a run of equal vectors lands in one task, and pairs are never written out.
+The space is cut into cells of a few hundred rows by planes across the principal axes, fitted on a
+bounded sample. A query looks into its own cell first; the k-th distance found there bounds all others, and
+it visits only cells whose box around their rows can hold something closer. Where rows lie along few
+axes that is a handful of cells, however many there are. Cells and their visitors are cut into blocks of a fixed
+size; one task compares one block of rows with one block of queries and returns k candidates per query, so
+neither a big category nor a big cell lands in one task, and pairs are never written out. Of
+equal vectors only the smallest ids can be among the nearest, so a run of them is a few rows.
 
 Inside a block most pairs are never measured: along the principal axes, in growing groups, a lower bound
 of the distance rules them out (``close_pairs``). The result is exact.
@@ -19,11 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalgrid.operators.ranking import top_n_any_size
 from rivalgrid.session import cut_lineage
 
 DIGITS = 9
 _SLACK = 1e-6
+# Boxes bound distances along this many axes; beyond that many axes of spread they rule out little.
+_BOX_AXES, _FEW_AXES = 16, 16.0
+# Sampled rows a cell is fitted on, and in all.
+_ROWS_A_CELL, _SAMPLE = 16, 1 << 17
 
 
 def feature_stats(pool: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -36,12 +41,9 @@ def standardized(stats: dict[str, tuple[float, float]]) -> Column:
     return F.array(*[(F.col(f) - F.lit(m)) / F.lit(s) for f, (m, s) in stats.items()])
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-def principal_axes(pool: DataFrame, dims: int) -> np.ndarray:
-    """Orthonormal axes of the vectors' scatter, the widest first: sums of dims x dims numbers per task."""
+def principal_axes(pool: DataFrame, dims: int) -> tuple[np.ndarray, float, int]:
+    """Orthonormal axes of the vectors' scatter, the widest first, over how many axes it is spread, and the number
+    of rows: sums of dims x dims numbers per task."""
     def sums(parts):
         total = np.zeros((dims + 1, dims + 1))
         for part in parts:
@@ -56,7 +58,56 @@ def principal_axes(pool: DataFrame, dims: int) -> np.ndarray:
     total = total.reshape(dims + 1, dims + 1)
     n, mean = total[-1, -1], total[-1, :-1] / max(total[-1, -1], 1.0)
     scatter = total[:-1, :-1] / max(n, 1.0) - np.outer(mean, mean)
-    return np.linalg.eigh(scatter)[1][:, ::-1] if np.isfinite(scatter).all() else np.eye(dims)
+    if not np.isfinite(scatter).all():
+        return np.eye(dims), float(dims), int(n)
+    wide, axes = np.linalg.eigh(scatter)
+    wide = np.maximum(wide, 0.0)
+    return axes[:, ::-1], float(wide.sum() ** 2 / max(np.square(wide).sum(), 1e-300)), int(n)
+
+
+def cut_space(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Planes that cut rows into cells of at most ``most``: axis (-1: a cell), cut and first child of each node.
+    The second child follows the first; rows up to the cut go to the first."""
+    axis, cut, child, todo = [-1], [0.0], [0], [(0, rows)]
+    while todo:
+        node, part = todo.pop()
+        if len(part) <= most:
+            continue
+        spread = part.max(axis=0) - part.min(axis=0)
+        a = int(spread.argmax())
+        if not spread[a] > 0:
+            continue
+        at = float(np.median(part[:, a]))
+        if at >= part[:, a].max():
+            at = float(part[part[:, a] < at, a].max())
+        low = part[:, a] <= at
+        axis[node], cut[node], child[node] = a, at, len(axis)
+        axis += [-1, -1]
+        cut += [0.0, 0.0]
+        child += [0, 0]
+        todo += [(len(axis) - 2, part[low]), (len(axis) - 1, part[~low])]
+    return np.array(axis), np.array(cut), np.array(child)
+
+
+def cell_of(tree: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    axis, cut, child = tree
+    node = np.zeros(len(rows), dtype=np.int64)
+    while True:
+        at = np.flatnonzero(axis[node] >= 0)
+        if not len(at):
+            return node
+        here = node[at]
+        node[at] = child[here] + (rows[at, axis[here]] > cut[here])
+
+
+def cells_within(rows: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box) pairs whose box may hold something within the row's bound."""
+    gap = np.zeros((len(rows), len(low)))
+    for d in range(low.shape[1]):
+        x = rows[:, d, None]
+        gap += np.square(np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0.0))
+    slack = _SLACK + 1e-9 * np.abs(rows).max(initial=0.0)
+    return np.nonzero(~(gap > np.square(bound + slack)[:, None]))
 
 
 def _segments(dims: int) -> list[tuple[int, int]]:
@@ -131,79 +182,101 @@ def _compare(k: int, skip_self: bool, axes: np.ndarray):
     return run
 
 
+def _vectors(part: pd.DataFrame) -> np.ndarray:
+    return np.array(part["vec"].tolist(), dtype=float)
+
+
 def nearest(
     queries: DataFrame, pool: DataFrame, k: int, *, skip_self: bool = False, pivots: int = 64, block: int = 4096, cell: int = 512
 ) -> DataFrame:
     """The k nearest pool rows of the same category per query: (category, qid, id, dist, pos).
 
     Inputs carry id, category and vec (equal-length array). Distances are rounded to 9 digits and
-    ties go to the smaller id. ``skip_self`` leaves out the pool row with the query's own id. A category
-    has a pivot for every ``cell`` rows, at most ``pivots``.
+    ties go to the smaller id. ``skip_self`` leaves out the pool row with the query's own id. The pool is
+    cut into cells of about ``cell`` rows. Where it is spread over many axes boxes rule out little, so there are
+    about ``pivots`` cells at most: every query travels to nearly all of them.
     """
-    pool = cut_lineage(pool.select("category", "id", "vec"))
-    queries = queries.select("category", F.col("id").alias("qid"), "vec")
-    kind = pool.schema["category"].dataType.simpleString()
-    shape = f"category {kind}, qid {queries.schema['qid'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, dist double"
+    need = k + (1 if skip_self else 0)
+    alike = Window.partitionBy("category", "vec").orderBy("id")
+    pool = pool.where(F.col("category").isNotNull()).select("category", "id", "vec")
+    pool = cut_lineage(pool.withColumn("_copy", F.row_number().over(alike)).where(F.col("_copy") <= need).drop("_copy"))
+    queries = queries.where(F.col("category").isNotNull()).select("category", F.col("id").alias("qid"), "vec")
+    kinds = {"category": pool.schema["category"].dataType.simpleString(), "qid": queries.schema["qid"].dataType.simpleString(),
+             "id": pool.schema["id"].dataType.simpleString(), "vec": "array<double>"}
+    shape = f"category {kinds['category']}, qid {kinds['qid']}, id {kinds['id']}, dist double"
     dims = pool.agg(F.max(F.size("vec")).alias("d")).first()["d"]
     if dims is None:
         return pool.sparkSession.createDataFrame([], f"{shape}, pos int")
-    axes = principal_axes(pool, dims)
-    need = k + (1 if skip_self else 0)
-    sizes = pool.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / cell).alias("_most"))
-    chosen = top_n_any_size(pool.withColumn("_h", F.xxhash64("id")), ["category"], [F.col("_h").asc(), F.col("id").asc()], "id", pivots)
-    chosen = chosen.join(sizes, "category").where(F.col("pos") <= F.col("_most"))
-    per_category = cut_lineage(chosen.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("pivots")))
-
-    def with_pivots(df: DataFrame) -> DataFrame:
-        return df.join(per_category, "category").withColumn(
-            "pd", F.transform("pivots", lambda p: _distance(p["vec"], F.col("vec")))).drop("pivots")
-
-    placed = with_pivots(pool).withColumn("r", F.array_min("pd")).withColumn(
-        "cell", F.array_position("pd", F.col("r")).cast("int")).drop("pd")
-    placed = cut_lineage(placed)
-    # the need-th smallest distance to the pivot bounds every query's k-th neighbour
-    close = top_n_any_size(placed, ["category", "cell"], [F.col("r").asc(), F.col("id").asc()], "id", need)
-    reach = close.groupBy("category", "cell").agg(F.count(F.lit(1)).alias("_got"), F.max("r").alias("_near"))
-    cells = placed.groupBy("category", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius")).join(
-        reach, ["category", "cell"]).select(
-        "category", "cell", "radius", F.ceil(F.col("n") / block).cast("int").alias("blocks"),
-        F.when(F.col("_got") >= need, F.col("_near")).alias("near"))
-    cells = cut_lineage(cells)
-    directory = cells.groupBy("category").agg(F.collect_list(F.struct("cell", "radius", "blocks", "near")).alias("cells"))
-
-    q = with_pivots(queries).join(directory, "category")
-    to_cells = F.array_sort(F.transform("cells", lambda c: F.struct(F.element_at("pd", c["cell"]).alias("d"), c["cell"].alias("cell"), c["radius"].alias("radius"), c["blocks"].alias("blocks"), c["near"].alias("near"))))
-    q = q.withColumn("cells", to_cells).withColumn("bound", F.array_min(F.transform("cells", lambda c: c["d"] + c["near"])))
-    q = cut_lineage(q.select("category", "qid", "vec", "cells", "bound"))
-
-    def compared(asking: DataFrame, cells_of: Column) -> DataFrame:
-        """Up to k candidates per query and block of the given cells."""
-        visiting = cut_lineage(asking.select("category", "qid", "vec", "bound", F.explode(cells_of).alias("c")).select(
-            "category", "qid", "vec", "bound", "c.cell", "c.blocks"))
+    axes, spread, n = principal_axes(pool, dims)
+    size = cell if spread <= _FEW_AXES else max(cell, n // pivots)
+    # the planes come from a sample of a few rows a cell, by the hash of their ids
+    share = min(_ROWS_A_CELL / size, _SAMPLE / max(n, 1))
+    per_cell = max(int(size * share), 2)
+    sample = pool.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()
+    trees = {c: cut_space(_vectors(part) @ axes, per_cell) for c, part in sample.groupby("category")}
+    one_cell = cut_space(np.zeros((0, dims)), 1)
+
+    def place(parts):
+        for part in parts:
+            if len(part):
+                rows, cells = _vectors(part) @ axes, np.zeros(len(part), dtype=np.int64)
+                for c, at in part.groupby("category").indices.items():
+                    cells[at] = cell_of(trees.get(c, one_cell), rows[at])
+                yield part.assign(cell=cells, rot=list(rows[:, :_BOX_AXES]))
+
+    def placed_as(df: DataFrame, key: str) -> DataFrame:
+        return df.mapInPandas(place, f"category {kinds['category']}, {key} {kinds[key]}, vec array<double>, cell long, rot array<double>")
+
+    placed = cut_lineage(placed_as(pool, "id"))
+    box = range(min(dims, _BOX_AXES))
+    found = placed.groupBy("category", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"),
+        F.array(*[F.min(F.col("rot")[d]) for d in box]).alias("low"), F.array(*[F.max(F.col("rot")[d]) for d in box]).alias("high"))
+    found = cut_lineage(found)
+    cells = found.select("category", "cell", "blocks")
+    boxes = {c: (part["cell"].to_numpy(), np.array(part["low"].tolist()), np.array(part["high"].tolist()))
+             for c, part in found.select("category", "cell", "low", "high").toPandas().groupby("category")}
+    asked = cut_lineage(placed_as(queries, "qid").drop("rot"))
+
+    def compared(visiting: DataFrame) -> DataFrame:
+        """Up to k candidates per query and block of the cells it visits."""
         crowd = visiting.groupBy("category", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qblocks"))
+        crowd = cut_lineage(cells.join(crowd, ["category", "cell"]))
         keys = ["category", "cell", "pblock", "qblock"]
         left = visiting.join(crowd, ["category", "cell"]).withColumns({
             "pblock": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
             "qblock": F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int")}).select(*[F.col(c).alias(c) for c in (*keys, "qid", "vec", "bound")])
-        right = placed.join(cells.select("category", "cell", "blocks"), ["category", "cell"]).join(crowd, ["category", "cell"]).withColumns({
+        right = placed.join(crowd, ["category", "cell"]).withColumns({
             "pblock": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"),
             "qblock": F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))}).select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")])
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(k, skip_self, axes), shape)
 
     best = Window.partitionBy("category", "qid").orderBy("dist", "id")
 
-    def first_k(found: DataFrame) -> DataFrame:
-        return found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+    def first_k(candidates: DataFrame) -> DataFrame:
+        return candidates.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
 
-    # the cell of the nearest pivot first: what it holds bounds the visits to all others
-    near = first_k(compared(q, F.slice("cells", 1, 1)))
-    if cells.where(F.col("cell") > 1).isEmpty():
+    # a query's own cell first: what it holds bounds the visits to all others
+    near = first_k(compared(asked.withColumn("bound", F.lit(None).cast("double"))))
+    if all(len(ids) == 1 for ids, _, _ in boxes.values()):
         return near
     near = cut_lineage(near)
-    kth = near.where(F.col("pos") == k).select("category", "qid", F.col("dist").alias("kth"))
-    again = q.join(kth, ["category", "qid"], "left").withColumn("bound", F.least("bound", "kth"))
-    within = F.filter(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: F.col("bound").isNull() | (c["d"] - c["radius"] <= F.col("bound") + _SLACK))
-    return first_k(near.drop("pos").unionByName(compared(again, within)))
+    kth = near.where(F.col("pos") == k).select("category", "qid", F.col("dist").alias("bound"))
+
+    def visit(parts):
+        for part in parts:
+            for c, at in part.groupby("category").indices.items():
+                ids, low, high = boxes.get(c, (np.zeros(0, dtype=np.int64),) * 3)
+                for begin in range(0, len(at) if len(ids) > 1 else 0, 256):
+                    asking = part.iloc[at[begin:begin + 256]]
+                    bound = asking["bound"].fillna(np.inf).to_numpy()
+                    i, b = cells_within((_vectors(asking) @ axes)[:, :_BOX_AXES], bound, low, high)
+                    other = ids[b] != asking["cell"].to_numpy()[i]
+                    yield asking.iloc[i[other]].assign(cell=ids[b[other]])
+
+    again = asked.join(kth, ["category", "qid"], "left").select("category", "qid", "vec", "cell", "bound")
+    visits = again.mapInPandas(visit, f"category {kinds['category']}, qid {kinds['qid']}, vec array<double>, cell long, bound double")
+    return first_k(near.drop("pos").unionByName(compared(cut_lineage(visits))))
 
 
 def within_cutoff(neighbours: DataFrame, cutoffs: DataFrame) -> DataFrame:

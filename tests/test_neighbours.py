@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rivalgrid.operators.models import fit_interest, fit_price
+from rivalgrid.operators import neighbours as nb
 from rivalgrid.operators.neighbours import nearest, within_cutoff
 
 
@@ -65,3 +66,37 @@ def test_interest_fit_has_zero_gradient(spark):
     assert np.allclose(z.T @ (p - y) + w, 0, atol=1e-2)
     assert abs((p - y).sum()) < 1e-2
     assert df.select(F.count("*")).first()[0] == 300
+
+
+def test_cells_of_few_rows_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        x = rng.normal(size=2)
+        vec = [0.5] * 4 if i % 7 == 0 else [float(np.round(x[0], 1)), float(x[1]), float(x[0] + x[1]), float(i % 3)]
+        rows.append((i, "big" if i % 10 else "small", vec))
+    df = spark.createDataFrame(rows, "id long, category string, vec array<double>")
+    got = nearest(df, df, 4, skip_self=True, block=32, cell=16).toPandas()
+    want = brute(rows, 4)
+    assert got["qid"].nunique() == 600
+    for qid, part in got.groupby("qid"):
+        part = part.sort_values("pos")
+        assert list(zip(part["dist"], part["id"])) == want[qid]
+
+
+def test_cells_a_query_visits_do_not_grow_with_the_pool():
+    """With four times the rows and cells of one size, a query's k-th distance still reaches a few boxes only."""
+    visits = {}
+    for n in (4000, 16000):
+        rows = np.random.default_rng(6).normal(size=(n, 3))
+        tree = nb.cut_space(rows, 64)
+        cells = nb.cell_of(tree, rows)
+        ids = np.unique(cells)
+        assert np.bincount(cells).max() <= 64
+        low, high = (np.array([f(rows[cells == c], axis=0) for c in ids]) for f in (np.min, np.max))
+        asking = rows[::200]
+        bound = np.sort(np.sqrt(np.square(asking[:, None] - rows[None]).sum(axis=2)), axis=1)[:, 5]
+        i, box = nb.cells_within(asking, bound, low, high)
+        assert all((cells[np.sqrt(np.square(rows - q).sum(axis=1)) <= b][:, None] == ids[box[i == at]]).any(axis=1).all() for at, (q, b) in enumerate(zip(asking, bound)))
+        visits[n] = len(i) / len(asking)
+    assert visits[16000] < 1.5 * visits[4000] < 20
