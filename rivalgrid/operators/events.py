@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivalgrid.functions.numeric import clamp, count_if
-from rivalgrid.operators.ranking import first_row, percentiles_any_size
+from rivalgrid.operators.ranking import first_row, summaries_any_size
 from rivalgrid.session import cut_lineage
 
 EVENT = ["source", "season", "week", "entity"]
@@ -36,16 +36,18 @@ def signal_priority() -> Column:
 
 
 def collapse_variants(bids: DataFrame) -> DataFrame:
-    """One row per team and event: the executed one, else the highest bid; the rest are counted."""
+    """One row per team and event: the executed one, else the highest bid; the rest are counted.
+
+    One aggregate finds both: a group is cut to one row per task before the shuffle, and an event or
+    team that is NULL is a group of its own.
+    """
     by = [*EVENT, "team"]
     done = F.col("status") == "EXECUTED"
-    order = [(~done).asc(), F.when(done, 0.0).otherwise(-F.coalesce("bid", F.lit(0.0))).asc(), F.col("tid").asc()]
     rest = [c for c in bids.columns if c not in by and c != "tid"]
-    dropped = bids.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("variants_dropped"))
-    kept = first_row(bids, by, order, [*rest, "tid"])
-    # an event or team may be NULL, and is then a group of its own
-    return kept.join(dropped.select(*[F.col(c).alias(f"_{c}") for c in by], "variants_dropped"),
-                     reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])).drop(*[f"_{c}" for c in by])
+    # tid is unique, so what follows it never decides
+    first = F.struct((~done).alias("_open"), F.when(done, 0.0).otherwise(-F.coalesce("bid", F.lit(0.0))).alias("_value"), "tid", *rest)
+    kept = bids.groupBy(*by).agg(F.min(first).alias("_first"), (F.count(F.lit(1)) - 1).alias("variants_dropped"))
+    return kept.select(*by, *[F.col(f"_first.{c}").alias(c) for c in (*rest, "tid")], "variants_dropped")
 
 
 def classify(bids: DataFrame, flat_cost: Column | float = 0.0, outbid_statuses: Sequence[str] = ("OUTBID",)) -> DataFrame:
@@ -61,12 +63,16 @@ def recode_signal(signal: str = "signal") -> Column:
     return F.when(F.col(signal).isin("won", "outbid"), F.col(signal)).otherwise("failed")
 
 
-def trainable(bids: DataFrame, categories: Sequence[str], bad_ids: Sequence[str] = ()) -> DataFrame:
-    """Rows a model may learn from. The id exclusion is null-safe: a row without id stays."""
+def learnable(categories: Sequence[str], bad_ids: Sequence[str] = ()) -> Column:
+    """May a model learn from the row? The id exclusion is null-safe: a row without id stays."""
     keep = F.col("signal").isin(*SIGNAL_PRIORITY) & F.col("category").isin(*categories) & (F.col("kind") != "FREEAGENT")
     if bad_ids:
         keep = keep & ~F.coalesce(F.col("txn").isin(*bad_ids), F.lit(False))
-    return bids.where(keep)
+    return keep
+
+
+def trainable(bids: DataFrame, categories: Sequence[str], bad_ids: Sequence[str] = ()) -> DataFrame:
+    return bids.where(learnable(categories, bad_ids))
 
 
 def relevant(prior: Column, snap: Column, rank: Column, category: Column) -> Column:
@@ -133,12 +139,18 @@ def event_stats(bids: DataFrame) -> DataFrame:
 
 
 def promote_best_failed(bids: DataFrame) -> DataFrame:
-    """Add a synthetic win where a source's event has only failed bids: its highest bid."""
-    names = [c for c in bids.columns if c not in EVENT]
-    failed = bids.where(F.col("signal") == "other_failure")
-    best = first_row(failed, EVENT, [F.col("bid").desc_nulls_first(), F.col("tid").asc()], names)
-    real = bids.where(F.col("signal").isin("won", "outbid")).select(*EVENT).distinct()
-    synthetic = best.join(real, EVENT, "left_anti").select(*EVENT, *names).withColumns(
+    """Add a synthetic win where a source's event has only failed bids: its highest bid.
+
+    One aggregate holds the best failed bid and whether there is a real one. As in a join, an event
+    that is not fully known has no real bid.
+    """
+    names = [c for c in bids.columns if c not in EVENT and c != "tid"]
+    real = F.col("signal").isin("won", "outbid") & reduce(and_, [F.col(c).isNotNull() for c in EVENT])
+    # ascending puts a NULL bid first; tid is unique, so what follows it never decides
+    best = F.min(F.when(F.col("signal") == "other_failure", F.struct((-F.col("bid")).alias("_value"), "tid", *names)))
+    events = bids.groupBy(*EVENT).agg(best.alias("_best"), F.max(real).alias("_real"))
+    synthetic = events.where(F.col("_best").isNotNull() & ~F.coalesce("_real", F.lit(False))).select(
+        *EVENT, *[F.col(f"_best.{c}").alias(c) for c in (*names, "tid")]).withColumns(
         {"signal": F.lit("won"), "cost": F.col("bid").cast("double"), "synthetic": F.lit(True)})
     return bids.withColumn("synthetic", F.lit(False)).unionByName(synthetic)
 
@@ -175,10 +187,8 @@ def target_share(cost: str = "cost", budget: str = "budget", consolidated: str |
 def consolidate_prices(won: DataFrame) -> DataFrame:
     """One price per pooled event: the median of the sources' price shares, and who backs it."""
     rows = cut_lineage(won.select(*POOLED, "source", "category", target_share().alias("target")))
-    facts = rows.groupBy(*POOLED).agg(
-        F.min("category").alias("category"), F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("source").alias("n_sources"), F.avg("target").alias("mean_target"))
-    return facts.join(percentiles_any_size(rows, POOLED, "target", {"target": 0.5}), POOLED)
+    return summaries_any_size(rows, POOLED, "target", {"target": 0.5}, {
+        "category": F.min("category"), "n_rows": F.count(F.lit(1)), "n_sources": F.count_distinct("source"), "mean_target": F.avg("target")})
 
 
 def win_distribution(won: DataFrame) -> DataFrame:
@@ -188,10 +198,9 @@ def win_distribution(won: DataFrame) -> DataFrame:
 
 def same_week_signal(rows: DataFrame) -> DataFrame:
     """Running period: median and mean of winners and the number of active sources."""
-    rows = rows.withColumn("price", F.when(F.col("signal") == "won", target_share()))
-    facts = rows.groupBy(*POOLED).agg(
-        F.avg("price").alias("mean_price"), F.count_distinct("source").alias("sources_active"), F.count("price").alias("n_won"))
-    return facts.join(percentiles_any_size(rows, POOLED, "price", {"median_price": 0.5}), POOLED, "left")
+    rows = rows.select(*POOLED, "source", F.when(F.col("signal") == "won", target_share()).alias("price"))
+    return summaries_any_size(rows, POOLED, "price", {"median_price": 0.5}, {
+        "mean_price": F.avg("price"), "sources_active": F.count_distinct("source"), "n_won": F.count("price")})
 
 
 def availability(rows: DataFrame, rostered: DataFrame, sources: DataFrame) -> DataFrame:
@@ -215,16 +224,50 @@ def availability(rows: DataFrame, rostered: DataFrame, sources: DataFrame) -> Da
         (F.coalesce("_all", F.lit(0)) - F.col("_out") + F.col("_extra")).alias("sources_eligible"))
 
 
+def busy_sources(bids: DataFrame, rostered: DataFrame, **flags: Column) -> DataFrame:
+    """(source, season, week, entity) of every source that bid for an entity or owns it, once each, with flags
+    (true if true of any of its bids)."""
+    acts = bids.select(*EVENT, *[c.alias(n) for n, c in flags.items()])
+    owns = rostered.select(*EVENT, *[F.lit(False).alias(n) for n in flags])
+    rows = acts.unionByName(owns)
+    return rows.groupBy(*EVENT).agg(*[F.max(n).alias(n) for n in flags]) if flags else rows.distinct()
+
+
 def no_bid_rows(candidates: DataFrame, sources: DataFrame, rostered: DataFrame, bids: DataFrame) -> DataFrame:
     """Entities a source could have bid for and did not.
 
-    ``candidates`` is (season, week, entity, category), already gated for relevance. Each meets every
-    source of its week: the rows made are the answer before two anti joins.
+    ``candidates`` is (season, week, entity, category), already gated for relevance. Each takes the sources of
+    its week but those that bid for it or own it; both lists are bounded by the number of sources, so
+    only rows of the answer are made.
+    """
+    reporting = sources.select("season", "week", "source").distinct().groupBy("season", "week").agg(F.collect_list(F.struct("source")).alias("_all"))
+    busy = busy_sources(bids, rostered).groupBy(*POOLED).agg(F.collect_list("source").alias("_busy"))
+    free = candidates.join(reporting, ["season", "week"]).join(busy, POOLED, "left")
+    left = F.when(F.col("_busy").isNull(), F.col("_all")).otherwise(F.filter(
+        "_all", lambda s: F.coalesce(~F.array_contains("_busy", s["source"]), F.lit(True))))
+    return free.select(F.explode(left).alias("_free"), *candidates.columns).select("_free.source", *candidates.columns).withColumns(
+        {"signal": F.lit("no_bid"), "bid": F.lit(0.0), "cost": F.lit(0.0)})
+
+
+def pool_counts(bids: DataFrame, learnable: Column, candidates: DataFrame, rostered: DataFrame) -> DataFrame:
+    """Pooled events with the sources eligible (those with a learnable bid and those free to bid and silent) and acting.
+
+    Free sources are counted as in ``availability``: all of the week, minus those that bid or own.
     """
-    free = candidates.join(sources.select("season", "week", "source").distinct(), ["season", "week"])
-    free = free.join(rostered.select(*EVENT).distinct(), EVENT, "left_anti")
-    free = free.join(bids.select(*EVENT).distinct(), EVENT, "left_anti")
-    return free.withColumns({"signal": F.lit("no_bid"), "bid": F.lit(0.0), "cost": F.lit(0.0)})
+    reporting = bids.select("season", "week", "source").distinct().withColumn("_reports", F.lit(1))
+    totals = reporting.groupBy("season", "week").agg(F.count("source").alias("_all"))
+    busy = busy_sources(bids, rostered, _learns=learnable, _acts=learnable & (F.col("signal") != "no_bid"))
+    per = busy.join(reporting, ["season", "week", "source"], "left").groupBy(*POOLED).agg(
+        F.max("_learns").alias("_any"), count_if(F.col("_learns") & F.col("source").isNotNull()).alias("_learned"),
+        count_if(F.col("_acts") & F.col("source").isNotNull()).alias("_acting"), F.count("_reports").alias("_taken"))
+    known = candidates.join(totals, ["season", "week"]).select(*POOLED, "_all")
+    # a union, not a join: an entity that is NULL is one event as well
+    rows = per.unionByName(known, allowMissingColumns=True).groupBy(*POOLED).agg(
+        F.max("_any").alias("_any"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("_learned", "_acting", "_taken", "_all")])
+    # nobody is known to have bid for or to own an unknown entity, so all sources are free
+    free = F.greatest(F.col("_all") - F.when(F.col("entity").isNull(), F.col("_learned")).otherwise(F.col("_taken")), F.lit(0))
+    return rows.where(F.coalesce("_any", F.lit(False)) | (free > 0)).select(
+        *POOLED, (F.col("_learned") + free).alias("eligible"), F.col("_acting").alias("acting"))
 
 
 def source_of_record(existing: DataFrame, incoming: DataFrame, by: Sequence[str], force: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ per-block table turns block positions into group positions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,6 +163,38 @@ def percentiles_any_size(df: DataFrame, by: Sequence[str], value: str, probs: di
     return cum.groupBy(*by).agg(*aggs)
 
 
+def summaries_any_size(
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], facts: dict[str, Column], most: int = 1 << 17
+) -> DataFrame:
+    """Exact percentiles (as in ``percentiles_any_size``) beside other aggregates, for many groups of which most are small.
+
+    Groups of up to ``most`` rows are sorted inside one task: one shuffle gives everything. Only groups
+    beyond that, counted first, go through the range sort.
+    """
+    sized = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    large = cut_lineage(sized.where(F.col("_rows") > most).select(*[F.col(c).alias(f"_{c}") for c in by]))
+    names = [*by, *facts, *probs]
+
+    def sorted_inside(rows: DataFrame) -> DataFrame:
+        group = Window.partitionBy(*by)
+        placed = rows.withColumns({
+            "_at": F.row_number().over(group.orderBy(F.col(value).asc_nulls_last())) - 1, "_n": F.count(value).over(group)})
+        aggs = []
+        for name, p in probs.items():
+            pos = (F.col("_n") - 1) * F.lit(float(p))
+            low, high = (F.max(F.when(F.col("_at") == edge, F.col(value))) for edge in (F.floor(pos), F.ceil(pos)))
+            aggs.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
+        return placed.groupBy(*by).agg(*[c.alias(n) for n, c in facts.items()], *aggs).select(*names)
+
+    if large.isEmpty():
+        return sorted_inside(df)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    hot = cut_lineage(df.join(large, same, "left_semi"))
+    shares = percentiles_any_size(hot, by, value, probs).select(*[F.col(c).alias(f"_{c}") for c in by], *probs)
+    spread = hot.groupBy(*by).agg(*[c.alias(n) for n, c in facts.items()]).join(shares, same, "left").select(*names)
+    return sorted_inside(df.join(large, same, "left_anti")).unionByName(spread)
+
+
 def weighted_percentiles_any_size(
     df: DataFrame, by: Sequence[str], value: str, weight: str, probs: dict[str, float]
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from rivalgrid.functions.scoring import score
 from rivalgrid.operators.allowed import points_by_group
 from rivalgrid.operators import events as ev
 from rivalgrid.operators.grids import dense_points, with_opponent
-from rivalgrid.session import drops, written
+from rivalgrid.session import drops, partitions_for, written
 from rivalgrid.sources.tables import in_years
 
 CATEGORIES = ("QB", "RB", "WR", "TE", "K")
@@ -23,6 +23,8 @@ RULES = [("RECS", 0.5), ("REY", 0.0625), ("RY10", 1.0), ("RA", 0.25)]
 PARTIAL_SEASON, PARTIAL_WEEK, WEEKS, GROUPS = 2001, 6, 12, 25
 
 
+# The tables that shared tables are built from.
+FACTS = ("customer.parquet", "orders.parquet", "lineitem.parquet")
 _WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
 
 
@@ -39,10 +41,12 @@ def written_once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 
     @wraps(build)
     def rows(spark: SparkSession, sf: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, drops(spark), sf, _state(spark, sf), f"{build.__module__}.{build.__name__}")
+        state = _state(spark, sf)
+        key = (spark.sparkContext.applicationId, drops(spark), sf, state, f"{build.__module__}.{build.__name__}")
         if key not in _WRITTEN:
-            df = build(spark, sf)
-            _WRITTEN[key] = written(df), df.schema
+            with partitions_for(spark, sum(length for name, _, _, length in state if name in FACTS)):
+                df = build(spark, sf)
+                _WRITTEN[key] = written(df), df.schema
         path, schema = _WRITTEN[key]
         return spark.read.schema(schema).parquet(path)
 
@@ -146,8 +150,8 @@ def part_entity() -> Column:
     return F.floor(F.col("l_partkey") / PARTS_PER_ENTITY).cast("long")
 
 
-def raw_bids(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None) -> DataFrame:
-    """Bid rows as landed: one per claim, contingent variants included."""
+def claims(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None) -> DataFrame:
+    """Bid rows as landed: one per claim, contingent variants included, without what ``described`` derives."""
     sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("source"))
     placed = orders_of(spark, sf, seasons).select("o_orderkey", "o_custkey", "o_orderpriority", *season_week()).join(sources, "o_custkey")
     items = table(spark, sf, "lineitem").select(
@@ -155,13 +159,23 @@ def raw_bids(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None)
     rows = items.join(placed, items.l_orderkey == placed.o_orderkey).withColumn("entity", part_entity())
     status = F.when(F.col("l_returnflag") == "R", "EXECUTED").when(F.col("l_returnflag") == "A", "OUTBID").otherwise("INVALID")
     return rows.select(
-        "source", "season", "week", "entity", F.col("l_suppkey").alias("team"), category_of(F.col("entity")).alias("category"),
+        "source", "season", "week", "entity", F.col("l_suppkey").alias("team"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "FREEAGENT").otherwise("WAIVER").alias("kind"), status.alias("status"),
         (F.floor(F.col("l_extendedprice") / 250.0) / 4.0).alias("bid"),
-        F.when(F.col("l_linenumber") != 7, F.col("l_orderkey").cast("string")).alias("txn"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("tid"))
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """Claims with their entity's category and their id, which other columns give: no shuffle need carry them."""
+    return rows.withColumns({
+        "category": category_of(F.col("entity")),
+        "txn": F.when(F.col("tid.l_linenumber") != 7, F.col("tid.l_orderkey").cast("string"))})
+
+
+def raw_bids(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None) -> DataFrame:
+    return described(claims(spark, sf, seasons))
+
+
 @written_once
 def bids(spark: SparkSession, sf: str) -> DataFrame:
     """Collapsed and classified bids.
@@ -170,7 +184,7 @@ def bids(spark: SparkSession, sf: str) -> DataFrame:
     are written once instead of joining and collapsing the raw rows for every reader.
     """
     flat = F.when(F.col("source") == NAMED_SOURCE, FLAT_COST).otherwise(0.0)
-    return ev.classify(ev.collapse_variants(raw_bids(spark, sf)), flat)
+    return ev.classify(described(ev.collapse_variants(claims(spark, sf))), flat)
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,8 +215,8 @@ def priced_bids(spark: SparkSession, sf: str) -> DataFrame:
 
 @written_once
 def budgeted_bids(spark: SparkSession, sf: str) -> DataFrame:
-    """Priced bids with their auction's facts."""
-    return ev.event_stats(priced_bids(spark, sf))
+    """Priced bids with their auction's facts, without the keys that no statistic reads."""
+    return ev.event_stats(priced_bids(spark, sf).drop("tid", "txn", "status", "variants_dropped"))
 
 
 def rostered(rows: DataFrame) -> DataFrame:
@@ -210,6 +224,7 @@ def rostered(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("signal") == "won").select("source", "season", (F.col("week") + 1).alias("week"), "entity").distinct()
 
 
+@written_once
 def part_perf(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly stats of the auctioned entities."""
     items = order_items(spark, sf, "l_partkey", "l_quantity", "l_returnflag")

@@ -338,7 +338,7 @@ def registry(spark, sf):
 @query("z02_groups_without_callbacks", "season:i week:i entity:i n_sources:i target:d", "SELECT season, week, entity, n_sources, target FROM v_prices WHERE n_sources > 1")
 def no_callbacks(spark, sf):
     """Groups of varying shape through one native aggregate; an absent field is a NULL."""
-    return ev.consolidate_prices(b2.promoted(spark, sf).where(F.col("signal") == "won")).where(F.col("n_sources") > 1)
+    return b2.prices(spark, sf).where(F.col("n_sources") > 1)
 
 
 @query("z04_basis_parameter", "basis:s season:i grp:i category:s allowed_avg:d",

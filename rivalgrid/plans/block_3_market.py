@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivalgrid.operators import events as ev
 from rivalgrid.operators import market as mk
 from rivalgrid.operators.ranking import percentiles_any_size, weighted_percentiles_any_size
 from rivalgrid.plans import bindings as b
@@ -29,8 +30,14 @@ VIEWS.update({
 })
 
 
-def wins(spark, sf):
-    return b.budgeted_bids(spark, sf).where(mk.contested_win()).withColumn("bucket", mk.week_bucket())
+def wins(spark, sf, rows=None):
+    rows = b.budgeted_bids(spark, sf) if rows is None else rows
+    return rows.where(mk.contested_win()).withColumn("bucket", mk.week_bucket())
+
+
+def keyed_wins(spark, sf):
+    """Contested wins with their own key."""
+    return wins(spark, sf, ev.event_stats(b.priced_bids(spark, sf)))
 
 
 def baselines(spark, sf):
@@ -41,7 +48,7 @@ def baselines(spark, sf):
        f"SELECT source, season, week, entity, bucket, pct, {TID} FROM v_wins")
 def contested(spark, sf):
     """Contested wins with their week bucket."""
-    return with_tid(wins(spark, sf))
+    return with_tid(keyed_wins(spark, sf))
 
 
 @query("a40_baseline_grouping_sets", "category:s bucket:s n:i mean:d p25:d p50:d p75:d p90:d", "SELECT * FROM v_base")
@@ -141,7 +148,7 @@ def lens(spark, sf):
 @query("a46_latest_comparables", f"source:i category:s bucket:s pos:i season:i week:i pct:d {TID_SPEC}",
        f"""SELECT *, {TID} FROM (SELECT *, row_number() OVER (PARTITION BY source, category, bucket ORDER BY season DESC, week DESC, tid) AS pos FROM v_wins) WHERE pos <= 6""")
 def comparables(spark, sf):
-    return with_tid(mk.latest(wins(spark, sf), ["source", "category", "bucket"], 6))
+    return with_tid(mk.latest(keyed_wins(spark, sf), ["source", "category", "bucket"], 6))
 
 
 VIEWS["v_pairs"] = """
@@ -149,6 +156,7 @@ VIEWS["v_pairs"] = """
       SELECT season, week, entity, avg(pct) AS target FROM v_full WHERE kind = 'WAIVER' GROUP BY season, week, entity) m USING (season, week, entity)"""
 
 
+@b.written_once
 def pairs(spark, sf):
     rows = b.budgeted_bids(spark, sf)
     pred = rows.where(F.col("kind") == "WAIVER").groupBy("season", "week", "entity").agg(F.avg("pct").alias("pred"))

@@ -108,3 +108,47 @@ def test_immovable_sides_do_not_count(spark):
     a, b = odds_score(df).collect()
     assert a["mutual"] and a["score"] == pytest.approx(0.1)
     assert not b["mutual"] and b["score"] == pytest.approx(-0.1)
+
+
+def test_a_price_that_is_null_keeps_its_event(spark):
+    rows = [(1, 2024, 2, 7, "RB", 10.0, 100.0), (2, 2024, 2, 7, "RB", 30.0, 100.0), (3, 2024, 2, 8, "RB", None, 100.0), (1, 2024, 2, None, "RB", 5.0, 100.0)]
+    won = spark.createDataFrame(rows, "source int, season int, week int, entity int, category string, cost double, budget double")
+    got = {r["entity"]: (r["n_rows"], r["n_sources"], r["target"]) for r in ev.consolidate_prices(won).collect()}
+    assert got == {7: (2, 2, pytest.approx(0.2)), 8: (1, 1, None), None: (1, 1, 0.05)}
+
+
+def exchanges(df):
+    """Shuffles of the plan as first made, without broadcasts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_collapsing_and_promoting_shuffle_once(spark):
+    schema = "source int, season int, week int, entity int, team int, status string, bid double, tid int"
+    raw = spark.createDataFrame([(1, 1, 1, 1, 1, "FAILED", 9.0, 1), (1, 1, 1, None, 1, "FAILED", 9.0, 2), (1, 1, 1, None, 1, "FAILED", None, 3)], schema)
+    out = ev.collapse_variants(raw)
+    assert exchanges(out) == 1
+    assert {(r["entity"], r["tid"], r["variants_dropped"]) for r in out.collect()} == {(1, 1, 0), (None, 2, 1)}
+    bids = spark.createDataFrame([bid(1, "other_failure", 5.0), bid(2, "outbid", 9.0, team=2)], SCHEMA)
+    assert exchanges(ev.promote_best_failed(bids)) == 1
+
+
+def test_promotion_of_an_unknown_entity_sees_no_real_bid(spark):
+    rows = [(1, 2024, 2, None, 1, "RB", "WAIVER", s, 4.0, 0.0, "x", t) for t, s in ((1, "other_failure"), (2, "outbid"))]
+    out = ev.promote_best_failed(spark.createDataFrame(rows, SCHEMA)).where("synthetic").collect()
+    assert [(r["tid"], r["cost"]) for r in out] == [(1, 4.0)]
+
+
+def test_free_sources_are_listed_and_counted_alike(spark):
+    acts = spark.createDataFrame([bid(1, "won", source=1), bid(2, "outbid", source=2), bid(3, "outbid", source=3, kind="FREEAGENT"),
+                                  (4, 2024, 2, 9, 1, "RB", "WAIVER", "won", 1.0, 1.0, "x", 4), (5, 2024, 2, 9, 1, "RB", "WAIVER", "won", 1.0, 1.0, "x", 5)], SCHEMA)
+    owned = spark.createDataFrame([(1, 2024, 2, 7), (4, 2024, 2, 7), (6, 2024, 2, 7)], "source int, season int, week int, entity int")
+    wanted = spark.createDataFrame([(2024, 2, 7, "RB"), (2024, 2, 8, "RB"), (2024, 2, None, None), (2024, 3, 7, "RB")], "season int, week int, entity int, category string")
+    free = ev.no_bid_rows(wanted, acts, owned, acts)
+    assert sorted((r["entity"] or 0, r["source"]) for r in free.collect()) == [*((0, s) for s in range(1, 6)), (7, 5), *((8, s) for s in range(1, 6))]
+    plan = free._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
+    counts = ev.pool_counts(acts, ev.learnable(["RB"]), wanted, owned)
+    got = {r["entity"]: (r["eligible"], r["acting"]) for r in counts.collect()}
+    # entity 7: sources 1 and 2 bid (3 is no learnable bid), 5 is free; 9 is no candidate
+    assert got == {7: (3, 2), 8: (5, 0), 9: (2, 2), None: (5, 0)}

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivalgrid.operators import ranking as rk
+from rivalgrid.session import PARTITION_BYTES, partitions_for
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,22 @@ def test_leave_one_out_conventions(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 7.0)], "g string, v double")
     rows = {(r["g"], r["v"]): (r["x"], r["y"]) for r in rk.leave_one_out(rk.leave_one_out(df, ["g"], "v", "x"), ["g"], "v", "y", alone=0.0).collect()}
     assert rows == {("a", 1.0): (3.0, 3.0), ("a", 3.0): (1.0, 1.0), ("b", 7.0): (None, 0.0)}
+
+
+def test_summaries_of_small_and_large_groups(spark):
+    """Two groups sort inside a task, one is beyond the limit; a group of NULLs and a NULL group stay."""
+    rows = [("a", 1.0), ("a", 4.0), ("b", None), (None, 2.0), (None, 3.0), *[("hot", float(i % 7)) for i in range(50)]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["mid"], r["p90"]) for r in rk.summaries_any_size(
+        df, ["g"], "v", {"mid": 0.5, "p90": 0.9}, {"n": F.count(F.lit(1))}, most=10).collect()}
+    hot = np.quantile([i % 7 for i in range(50)], [0.5, 0.9])
+    assert got == {"a": (2, 2.5, pytest.approx(3.7)), "b": (1, None, None), None: (2, 2.5, pytest.approx(2.9)), "hot": (50, hot[0], pytest.approx(hot[1]))}
+
+
+def test_partitions_grow_with_the_input_and_come_back(spark):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    with partitions_for(spark, 100 * PARTITION_BYTES) as n:
+        assert n == 100 and spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    with partitions_for(spark, 1) as n:
+        assert n == int(own)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
