@@ -19,10 +19,14 @@ that are left and takes their prefixes under the three orders.
 No all-pairs. Equal sets are one node. In a first round every node meets one pivot, which settles
 tokens that only a group of copies has. The nodes of tokens still open are dealt to finer groups by
 their differences from one of them (``_by_difference``). In each further round every group names
-pivots among its nodes; nodes are compared with pivots outside their component, links join components,
-and a group is settled when its nodes that were not yet pivots lie in one component. No link between
-components is missed, as one end of it must become a pivot. Components are kept as tables; the driver
-sees counts alone.
+pivots among its nodes and the others meet them as one list; nodes are compared with pivots outside
+their component, links join components, and pivots leave the group, which is settled when the nodes
+left lie in one component. No link between components is missed, as one end of it must become a pivot.
+
+Groups overlap, and near copies share many, so what meets is first held against a sketch: the parity
+of the number of tokens in each of some hundred slots. A token in which two sets differ turns one
+parity, so sets differ in at least as many tokens as their sketches in parities; a node lists only the
+pivots that this leaves, each once. Components are kept as tables; the driver sees counts alone.
 """
 
 from __future__ import annotations
@@ -41,6 +45,10 @@ from rivalgrid.session import cut_lineage, cuts, drop_tables, free_shuffles
 
 CLASS_STARTS = (1, 128, 512, 2048)
 PIVOTS = 1
+#: Pivots that a group names in one round at most; the others wait for the next.
+MOST_PIVOTS = 1024
+#: Slots of a sketch for each token in which linked sets may differ.
+SLOTS = 12
 #: Nodes that an open token may have without being dealt out by difference.
 FEW = 64
 #: Rows up to which a table of (id, node) is sent to all executors (about 10 MB); beyond, it is shuffled.
@@ -96,6 +104,13 @@ class Plan:
         """Tokens that a set of n may have alone in a linked pair."""
         return n - -(-n * self.top // self.bottom)
 
+    def sketch(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether the number of tokens is odd, for each of a power of two of slots, 64 to a number."""
+        most = len(tokens) * (self.bottom - self.top) // self.top
+        slots = 64 << max(0, SLOTS * most // 64).bit_length()
+        odd = np.bincount(tokens & (slots - 1), minlength=slots).astype(np.uint8) & 1
+        return np.packbits(odd, bitorder="little").view("<i8")
+
     def slices(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         n = len(tokens)
         for c, (low, high, limit) in enumerate(self.classes):
@@ -154,8 +169,8 @@ def _alive(sliced: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
-    """node, n, over, met (tokens that other nodes have too) and the prefixes p1, p2, p3 under the three
-    orders, for nodes whose prefix over the whole set holds a token of another node.
+    """node, n, over, sketch, met (tokens that other nodes have too) and the prefixes p1, p2, p3 under the
+    three orders, for nodes whose prefix over the whole set holds a token of another node.
 
     ``over`` says by how much the tokens that a node has alone exceed its share of what two linked
     sets may differ in: linked sets have D (bottom + top) <= (n + n') (bottom - top) for a difference
@@ -165,12 +180,12 @@ def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
     shared = cut_lineage(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     met = postings.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("met"))
     ranked = (
-        met.join(sets.select("node", F.size("tokens").cast("long").alias("n")), "node").withColumn("alone", F.col("n") - F.size("met"))
+        met.join(sets.select("node", F.size("tokens").cast("long").alias("n"), "sketch"), "node").withColumn("alone", F.col("n") - F.size("met"))
         .withColumn("room", (spare(F.col("n"), plan) + 1 - F.col("alone")).cast("int")).where("room > 0"))
     free_shuffles(sets.sparkSession)
     power = lambda s: F.floor(F.log2(s["df"].cast("double")))
     return cut_lineage(ranked.select(
-        "node", "n", (F.col("alone") * (plan.bottom + plan.top) - F.col("n") * (plan.bottom - plan.top)).alias("over"),
+        "node", "n", "sketch", (F.col("alone") * (plan.bottom + plan.top) - F.col("n") * (plan.bottom - plan.top)).alias("over"),
         F.transform("met", lambda s: s["token"]).alias("met"),
         _first("met", "room", lambda s: (s["df"], s["token"])).alias("p1"),
         _first("met", "room", lambda s: (s["df"], -s["token"])).alias("p2"),
@@ -182,7 +197,7 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """node and its whole set, for the nodes of ``wanted`` (id, print, node)."""
+    """node, its whole set and its sketch, for the nodes of ``wanted`` (id, print, node)."""
     ids = cut_lineage(wanted.select("id").distinct())
     texts = docs.join(_small(ids, ids.count()), "id", "left_semi").unionByName(docs.where(F.col("id").isNull()))
 
@@ -190,15 +205,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, plan.words) for t in batch.column(1).to_pylist()]
             marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["print", "tokens"])
+            sketches = [plan.sketch(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(marks, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["print", "tokens", "sketch"])
 
     nodes = wanted.select("print", "node")
-    found = texts.mapInArrow(whole, "print binary, tokens array<bigint>").join(_small(nodes, nodes.count()), "print")
-    sets = cut_lineage(found.groupBy("node").agg(F.first("tokens").alias("tokens")))
+    found = texts.mapInArrow(whole, "print binary, tokens array<bigint>, sketch array<bigint>").join(_small(nodes, nodes.count()), "print")
+    sets = cut_lineage(found.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
     free_shuffles(docs.sparkSession)
     return sets
 
 
+def parities_apart(a: Column, b: Column) -> Column:
+    """In how many slots two sketches differ; a sketch of twice the slots is folded in two first. 0, which
+    rules nothing out, where one has more than that."""
+    odd = lambda x, y: x.bitwiseXOR(y)
+    halves = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), odd)
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, odd), F.lit(0), lambda n, bits: n + F.bit_count(bits))
+    return (
+        F.when(F.size(a) == F.size(b), count(a, b)).when(F.size(a) == F.size(b) * 2, count(halves(a), b))
+        .when(F.size(a) * 2 == F.size(b), count(a, halves(b))).otherwise(0))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) that share prefixes under the other two orders and are similar enough. What two
     nodes have in common is among the tokens that other nodes have too, so those are compared."""
@@ -276,73 +305,74 @@ def _by_difference(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFram
 
 
 def _unsettled(now: DataFrame) -> DataFrame:
-    """token and its smallest component, for tokens with nodes of several components of which one has not been a pivot."""
-    ends = now.where("not played").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    """token and its smallest component, for tokens with nodes of several components."""
+    ends = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     return ends.where("low < high").drop("high")
 
 
 def _linked(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Components (node, comp) of the graph of all links between nodes."""
     labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
-    prefixes = nodes.select("node", "p1", "p2", "p3")
+    sketches = nodes.select("node", "sketch")
     listed = nodes.select("n", "over", "node", F.explode("p1").alias("token"))
     # under a token, a node that differs too much from even the best of the others has no partner
     least = listed.groupBy("token").agg(F.min("over").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     members = cut_lineage(listed.join(least, "token").where("over + least <= 0").drop("least"))
 
-    def near(n: str, over: str) -> Column:
+    def near(n: Column, over: Column) -> Column:
         small, large = F.least("n", n), F.greatest("n", n)
-        return (small * plan.bottom >= large * plan.top) & (F.col("over") + F.col(over) <= 0)
+        return (small * plan.bottom >= large * plan.top) & (F.col("over") + over <= 0)
+
+    def may_link(p: Column) -> Column:
+        """Whether a node may have a link to a pivot of another component."""
+        apart = parities_apart(F.col("sketch"), p["sketch"])
+        return (F.col("comp") != p["comp"]) & near(p["n"], p["over"]) & (
+            apart * (plan.bottom + plan.top) <= (F.col("n") + p["n"]) * (plan.bottom - plan.top))
 
     free_shuffles(nodes.sparkSession)
     # round one: every node meets the one pivot with which it shares most prefix tokens
     first = members.groupBy("token").agg(F.min("node").alias("pivot"))
     about = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("over").alias("pover"))
     met = members.join(first, "token").where("node <> pivot").groupBy("node", "pivot", "n", "over").agg(F.count(F.lit(1)).alias("common"))
-    met = met.join(about, "pivot").where(near("pn", "pover"))
+    met = met.join(about, "pivot").where(near(F.col("pn"), F.col("pover")))
     best = met.groupBy("node").agg(F.max(F.struct("common", (-F.col("pivot")).alias("p"))).alias("m"))
     pairs = cut_lineage(best.select(F.col("node").alias("a"), (-F.col("m.p")).alias("b")))
     labels = joined_components(labels, _verified(pairs, nodes, plan))
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now = members.join(labels, "node").withColumn("played", F.lit(False))
+    now = members.join(labels, "node")
     still = cut_lineage(now.join(_unsettled(now), "token").select("token", "node", "n", "over"))
     if still.isEmpty():
         return labels
     # tokens of few nodes stay as they are; those of many are dealt out by difference
     wide = cut_lineage(still.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > FEW).select("token"))
-    members = still.join(wide, "token", "left_anti").withColumn("finer", F.lit(False))
+    members = still.join(wide, "token", "left_anti")
     if not wide.isEmpty():
-        members = members.unionByName(_by_difference(still.join(wide, "token", "left_semi"), nodes, plan).withColumn("finer", F.lit(True)))
-    members = members.withColumn("played", F.lit(False))
+        members = members.unionByName(_by_difference(still.join(wide, "token", "left_semi"), nodes, plan))
     most = PIVOTS
+    # a node that has little alone comes first, as it is near to many; the smallest component, often the
+    # group of copies, waits
+    order = Window.partitionBy("token").orderBy(F.col("comp") == F.col("low"), "over", "node")
     while True:
         # what is settled stays settled, so each round keeps the nodes of open tokens alone
         now = members.join(labels, "node")
-        now = cut_lineage(now.join(_unsettled(now), "token"))
+        now = now.join(_unsettled(now), "token").withColumn("turn", (F.row_number().over(order) <= most) & (F.col("comp") != F.col("low")))
+        now = cut_lineage(now)
         if now.isEmpty():
             return labels
-        full = now.join(prefixes, "node")
-        # the nodes of the smallest component number wait longest: they are often the group of copies
-        order = Window.partitionBy("token").orderBy(F.col("comp").desc(), "node")
-        turn = cut_lineage(
-            now.where("not played and comp <> low").withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
-            .select("token", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("over").alias("pover")))
-        asked = turn.join(prefixes.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in ("p1", "p2", "p3")]), "pivot")
-        # all orders at once, and a pair comes from the first token it shares, not from each
-        shares = (
-            F.arrays_overlap("p2", "pp2") & F.arrays_overlap("p3", "pp3")
-            & (F.col("finer") | (F.array_min(F.array_intersect("p1", "pp1")) == F.col("token"))))
-        met = full.join(asked, "token").where((F.col("comp") != F.col("pcomp")) & near("pn", "pover") & shares).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        known = now.join(sketches, "node")
+        pivots = known.where("turn").groupBy("token").agg(F.collect_list(F.struct("node", "comp", "n", "over", "sketch")).alias("pivots"))
+        # the list is cut down where it is met, so that no pair is a row before it may be a link
+        met = known.join(pivots, "token").select("node", F.transform(F.filter("pivots", may_link), lambda p: p["node"]).alias("pivots"))
+        met = met.where(F.size("pivots") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
+        met = met.select("node", F.explode("pivots").alias("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = cut_lineage(met.join(tested, ["a", "b"], "left_anti"))
         free_shuffles(nodes.sparkSession)
         labels = joined_components(labels, _verified(pairs, nodes, plan))
         # what is still open has few links: more pivots at once make the same comparisons in fewer rounds
-        most *= 4
+        most = min(most * 4, MOST_PIVOTS)
         tested = cut_lineage(tested.unionByName(pairs))
-        played = turn.select("token", F.col("pivot").alias("node"), F.lit(True).alias("now_played"))
-        members = now.join(played, ["token", "node"], "left").select(
-            "token", "node", "n", "over", "finer", (F.col("played") | F.coalesce("now_played", F.lit(False))).alias("played"))
+        # a pivot has met all nodes of its token
+        members = now.where("not turn").select("token", "node", "n", "over")
 
 
 def components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
