@@ -1,18 +1,21 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is cut into words by the pattern of the vocabulary. A word is an array of its bytes, and a fold
-merges the neighbours of lowest rank, leftmost first, until no pair has a rank; ranks come from a
-literal map. A word that is itself in the vocabulary is one token.
+A text is cut into words by the pattern of the vocabulary. A word that is itself in the vocabulary is
+one token. Any other is an array of the ids of its bytes, and a fold merges the neighbours of lowest
+rank, leftmost first, until no pair has a rank. Two ids that may merge are one number, and what they
+become is looked up in a table of merges.
 
 Words repeat, so the most frequent distinct words of the corpus are folded once, and what they became
-goes into the encoding of texts as another literal map, of at most ``KNOWN_WORDS`` words of at most
-``KNOWN_BYTES`` bytes each, so its size is bounded whatever the texts are. It saves work only: a word outside it is folded where it stands. Nothing is shuffled but counts of words.
+goes into a table with the vocabulary, of at most ``KNOWN_WORDS`` words of at most ``KNOWN_BYTES``
+bytes each, so its size is bounded whatever the texts are. It saves work only: a word outside it is
+folded where it stands. Nothing is shuffled but counts of words and those tables.
+
+A table is one row: an array of small maps, dealt by a hash of the key, since a lookup in a map reads
+it from the front. It is written once, and a scalar subquery brings it to the query that looks things
+up in it. So it stays in Spark's compact format, and no plan spells it out.
 
 Bytes travel as strings of the characters U+0000 to U+00FF, one per byte; ``binary`` turns such a
 string into bytes. Decoding looks up the piece of each id and joins the pieces.
-
-The literal maps are arrays of small maps, dealt by a hash of the key, since a lookup in a map reads
-it from the front. Each is bound once round the whole encoder, so a plan holds one copy of it.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalgrid.session import cut_lineage
+from rivalgrid.llm.common import fresh
+from rivalgrid.session import cut_lineage, cuts, drop_tables
 
-KNOWN_WORDS, KNOWN_BYTES, SLOTS = 65_536, 64, 16_384
+KNOWN_WORDS, KNOWN_BYTES, SLOTS = 1_048_576, 64, 131_072
+_LAST = (1 << 31) - 1
 # Fixed value: characters that count as white space, as the vocabulary's pattern sees them.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -48,11 +53,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _chain(*arrays: Column) -> Column:
-    """Arrays one after the other; inside a fold, flatten is much cheaper than concat."""
-    return F.flatten(F.array(*arrays))
-
-
 def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
@@ -62,35 +62,69 @@ def binary(byte_text: Column) -> Column:
 
 
 def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    return F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
 
+class SlotTable:
+    """A map as a written table of one row; ``table`` has the columns key, value and turn, each key once, and
+    is of bounded size. Of the keys of a slot, those of the lowest turn are tried first."""
 
-class LiteralMap:
-    """A map of strings as a literal; ``table`` has the columns key, value and is of bounded size."""
+    def __init__(self, table: DataFrame):
+        entries = table.select(_slot(F.col("key")).alias("slot"), F.struct("turn", "key", "value").alias("entry"))
+        every = table.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
+        slots = entries.unionByName(every).groupBy("slot").agg(F.collect_list("entry").alias("entries"))
+        in_order = F.sort_array(F.collect_list(F.struct("slot", "entries")))
+        self.row = cut_lineage(slots.agg(F.transform(in_order, lambda s: F.map_from_entries(F.transform(F.sort_array(s["entries"]), lambda e: F.struct(e["key"], e["value"])))).alias("slots")))
 
-    def __init__(self, table: DataFrame, kind: str):
-        slots: list[dict] = [{} for _ in range(SLOTS)]
-        for row in table.select("key", "value", _slot(F.col("key")).alias("slot")).collect():
-            slots[row["slot"]][row["key"]] = row["value"]
-        self.literal = F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{kind}>>")
+    def bound(self) -> Column:
+        """The table as a column; Spark lets it stand outside of higher-order functions only."""
+        return self.row.scalar()
 
     def get(self, key: Column) -> Column:
         """The value, or NULL; ``key`` is computed twice, so it should be at hand."""
-        return look_up(self.literal, key)
+        return look_up(self.bound(), key)
 
 
 def look_up(table: Column, key: Column) -> Column:
-    """The value of ``key`` in a bound literal map."""
+    """The value of ``key`` in a bound table."""
     return F.element_at(F.element_at(table, _slot(key) + 1), key)
 
 
+def _pair(left: Column, right: Column) -> Column:
+    """Two ids as one number."""
+    return F.shiftleft(left, 32) + right
+
+
+def _part(rank: Column, id_: Column) -> Column:
+    """A part of a word as one number: the rank of its merge with the next part above its id. Where there
+    is none, the rank is beyond all others."""
+    return F.shiftleft(F.coalesce(rank, F.lit(_LAST + 1).cast("long")), 31) + id_
+
+
+def _rank(part: Column) -> Column:
+    return F.shiftright(part, 31)
+
+
+def _id(part: Column) -> Column:
+    return part.bitwiseAND(F.lit(_LAST))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary of ranks, as Column functions."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.pattern = java_pattern(pattern)
         rows = [(token.decode("latin-1"), rank) for token, rank in ranks.items()]
-        self.ranks = LiteralMap(spark.createDataFrame(rows, "key string, value int"), "int")
+        vocabulary = cut_lineage(spark.createDataFrame(rows, "piece string, id long"))
+        # the tokens that can be words: those that are whole characters
+        word = F.try_validate_utf8(binary(F.col("piece")).cast("string"))
+        self.tokens = vocabulary.select(word.alias("key"), F.array(F.col("id").cast("int")).alias("value"), F.lit(-1 << 62).alias("turn")).where("key IS NOT NULL")
+        cut = vocabulary.where(F.length("piece") > 1).select("piece", "id", F.explode(F.sequence(F.lit(1), F.length("piece") - 1)).alias("at"))
+        cut = cut.select("id", F.substr("piece", F.lit(1), F.col("at")).alias("l"), F.substr("piece", F.col("at") + 1).alias("r"))
+        left, right = (vocabulary.select(F.col("piece").alias(x), F.col("id").alias(f"{x}_id")) for x in "lr")
+        merges = cut.join(left, "l").join(right, "r").select(_pair(F.col("l_id"), F.col("r_id")).alias("key"), F.col("id").alias("value"), F.col("id").alias("turn"))
+        self.merges = SlotTable(merges)
+        self.bytes = [ranks.get(bytes([b])) for b in range(256)]
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.decode("latin-1")
@@ -100,55 +134,42 @@ class Codec:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     @staticmethod
-    def _merge(table: Column, state: Column) -> Column:
+    def _merge(merges: Column, state: Column) -> Column:
         """One merge: of the leftmost pair of the lowest rank. Only its two new pairs are looked up."""
-        parts, ranks = state["parts"], state["ranks"]
-        none = F.array().cast("array<int>")
 
-        def merged(at: Column) -> Column:
-            """``at`` counts from one: parts at and at + 1 become one."""
-            rest = F.greatest(F.size(parts) - at - 1, F.lit(0))
+        def merged(low: Column) -> Column:
+            """The parts at and at + 1, counted from nought, become one, whose id is the rank."""
+            at, new = _id(low).cast("int"), _rank(low)
+            right = _part(look_up(merges, _pair(new, _id(F.get(state, at + 2)))), new)
 
-            def joined(new: Column) -> Column:
-                left = F.when(at > 1, F.array(look_up(table, F.concat(F.get(parts, at - 2), new)))).otherwise(none)
-                right = F.when(rest > 0, F.array(look_up(table, F.concat(new, F.get(parts, at + 1))))).otherwise(none)
-                return F.struct(
-                    _chain(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, rest)).alias("parts"),
-                    _chain(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, rest)).alias("ranks"))
+            def both(before: Column) -> Column:
+                return F.array(_part(look_up(merges, _pair(before, new)), before), right)
 
-            return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
+            middle = F.when(at > 0, both(_id(F.get(state, at - 1)))).otherwise(F.array(right))
+            return F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), middle, F.slice(state, at + 3, F.size(state))))
 
         # rank and place in one number; array_position would find the place, but leaves its loop by an exception
-        lowest = F.array_min(F.transform(ranks, lambda rank, i: rank.cast("long") * (1 << 32) + i))
-        return let((lowest % (1 << 32)).cast("int") + 1, lambda at: F.when(at.isNotNull(), merged(at)).otherwise(state))
+        lowest = F.array_min(F.transform(state, lambda part, i: part.bitwiseAND(F.lit(-1 - _LAST)).bitwiseOR(i.cast("long"))))
+        return let(lowest, lambda low: F.when(_rank(low) <= _LAST, merged(low)).otherwise(state))
 
-    def fold(self, key: Column, table: Column) -> Column:
-        """Ids of a word that is no token, given as a byte string: the merges over its bytes."""
-        bytes_of = F.filter(F.split(key, ""), lambda c: c != "")
+    def fold(self, word: Column, merges: Column) -> Column:
+        """Ids of a word that is no token: the merges over its bytes. ``merges`` is bound."""
+        one = F.lit(self.bytes).cast("array<bigint>")
+        ids = F.transform(F.filter(F.split(byte_string(word), ""), lambda c: c != ""), lambda c: F.element_at(one, F.ascii(c) + 1))
 
-        def merge_all(chars: Column) -> Column:
-            pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda x, y: F.concat(x, y))
-            start = F.struct(chars.alias("parts"), F.transform(pairs, lambda p: look_up(table, p)).alias("ranks"))
-            return F.aggregate(chars, start, lambda state, _: self._merge(table, state), lambda s: F.transform(s["parts"], lambda p: look_up(table, p)))
+        def merge_all(start: Column) -> Column:
+            state = F.transform(start, lambda id_, i: _part(look_up(merges, _pair(id_, F.get(start, i + 1))), id_))
+            return F.aggregate(F.slice(start, F.lit(2), F.size(start)), state, lambda s, _: self._merge(merges, s), lambda s: F.transform(s, lambda x: _id(x).cast("int")))
 
-        return let(bytes_of, merge_all)
+        return let(ids, merge_all)
 
-    def encode_word(self, word: Column, table: Column | None = None) -> Column:
-        """Ids of a word. ``table`` is the ranks, bound once by a ``let`` round all that uses them, so that
-        the plan holds one copy; without it they are bound here."""
-        if table is None:
-            return let(self.ranks.literal, lambda bound: self.encode_word(word, bound))
-
-        def one_or_fold(key: Column) -> Column:
-            return let(look_up(table, key), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(self.fold(key, table)))
-
-        return let(byte_string(word), one_or_fold)
-
-    def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> LiteralMap:
-        """The most frequent words of all texts of at most KNOWN_BYTES bytes, at most ``most``, with their ids."""
+    def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> SlotTable:
+        """The vocabulary and the most frequent words of all texts of at most KNOWN_BYTES bytes, at most
+        ``most``, with their ids."""
+        spark, start = df.sparkSession, len(cuts(df.sparkSession))
         short = df.select(F.explode(self.words(F.col(text))).alias("key")).where(F.octet_length("key") <= KNOWN_BYTES)
         counts = short.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        counts = cut_lineage(counts.where("n > 1"))
+        counts = cut_lineage(counts.where("n > 1").join(self.tokens.select("key"), "key", "left_anti"))
         power = F.floor(F.log2(F.col("n").cast("double")) * 4)
         held, least = 0, None
         for row in counts.groupBy(power.alias("power")).count().orderBy(F.col("power").desc()).collect():
@@ -157,16 +178,22 @@ class Codec:
                 break
             least = row["power"]
         frequent = counts.where(power >= least) if least is not None else counts.limit(0)
-        # a small table of short words: dealt out anew, since folding is the work here
-        ready = frequent.select("key").repartition("key").select("key", self.encode_word(F.col("key")).alias("value"))
-        return LiteralMap(ready, "array<int>")
+        # a table of short words: dealt out anew, since folding is the work here
+        asked = frequent.select("key", (-F.col("n")).alias("turn")).repartition("key").withColumn("merges", self.merges.bound())
+        ready = asked.select("key", let(F.col("merges"), lambda merges: self.fold(F.col("key"), merges)).alias("value"), "turn")
+        known = SlotTable(ready.unionByName(self.tokens))
+        drop_tables(spark, cuts(spark)[start:-1])  # the counts
+        return known
+
+    def encode(self, df: DataFrame, text: str, ids: str, known: SlotTable) -> DataFrame:
+        """``df`` with the ids of a text column; a NULL is an empty text, which has none."""
+        merges_at, known_at = fresh(df.drop(ids), "merges", "known")
 
-    def encode(self, text: Column, known: LiteralMap) -> Column:
-        """Ids of a text; NULL is an empty text, which has none."""
-        def ids(ranks: Column, words: Column) -> Column:
-            return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(look_up(words, w), self.encode_word(w, ranks))))
+        def all_ids(merges: Column, words: Column) -> Column:
+            return F.flatten(F.transform(self.words(F.col(text)), lambda w: F.coalesce(look_up(words, w), self.fold(w, merges))))
 
-        return let(self.ranks.literal, lambda ranks: let(known.literal, lambda words: ids(ranks, words)))
+        bound = df.withColumns({merges_at: self.merges.bound(), known_at: known.bound()})
+        return bound.withColumn(ids, let(F.col(merges_at), lambda merges: let(F.col(known_at), lambda words: all_ids(merges, words)))).drop(merges_at, known_at)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
@@ -182,4 +209,4 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text", id
     """
     codec = Codec(df.sparkSession, read_ranks(ranks), pattern)
     known = codec.known_words(df, text, known_words)
-    return df.withColumn(ids, codec.encode(F.col(text), known)), codec
+    return codec.encode(df, text, ids, known), codec
