@@ -31,6 +31,8 @@ from rivalgrid.llm.common import fresh
 from rivalgrid.session import cut_lineage, cuts, drop_tables
 
 KNOWN_WORDS, KNOWN_BYTES, SLOTS = 1_048_576, 64, 131_072
+# Of all known words together.
+ALL_BYTES = 16 << 20
 _LAST = (1 << 31) - 1
 # Fixed value: characters that count as white space, as the vocabulary's pattern sees them.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -165,16 +167,17 @@ class Codec:
 
     def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> SlotTable:
         """The vocabulary and the most frequent words of all texts of at most KNOWN_BYTES bytes, at most
-        ``most``, with their ids."""
+        ``most`` and ALL_BYTES together, with their ids."""
         spark, start = df.sparkSession, len(cuts(df.sparkSession))
         short = df.select(F.explode(self.words(F.col(text))).alias("key")).where(F.octet_length("key") <= KNOWN_BYTES)
         counts = short.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         counts = cut_lineage(counts.where("n > 1").join(self.tokens.select("key"), "key", "left_anti"))
         power = F.floor(F.log2(F.col("n").cast("double")) * 4)
-        held, least = 0, None
-        for row in counts.groupBy(power.alias("power")).count().orderBy(F.col("power").desc()).collect():
-            held += row["count"]
-            if held > most:
+        held, size, least = 0, 0, None
+        sizes = counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("key")).alias("bytes"))
+        for row in sizes.orderBy(F.col("power").desc()).collect():
+            held, size = held + row["words"], size + row["bytes"]
+            if held > most or size > ALL_BYTES:
                 break
             least = row["power"]
         frequent = counts.where(power >= least) if least is not None else counts.limit(0)

@@ -33,3 +33,13 @@ def test_bpe_knows_tokens_and_words_that_repeat(spark):
     assert single
     for w, ids in zip(words, row, strict=True):
         assert ids == library.encode_ordinary(w) if w in single or w == " zzqxj" else ids is None
+
+
+def test_bpe_known_words_are_bounded_in_bytes(spark, monkeypatch):
+    """Only their number was bounded, so long words could make the table six times as large."""
+    docs = spark.createDataFrame([(i, "qzxqzxqz " * 3 + "wjvwjvwj") for i in range(2)], "doc_id long, text string")
+    codec = bpe.Codec(spark, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "ALL_BYTES", 10)
+    known = codec.known_words(docs, "text")
+    row = spark.range(1).select(known.get(F.lit(" qzxqzxqz")).alias("often"), known.get(F.lit(" wjvwjvwj")).alias("twice")).first()
+    assert row.often is not None and row.twice is None
