@@ -12,7 +12,10 @@ folded where it stands. Nothing is shuffled but counts of words and those tables
 
 A table is one row: an array of small maps, dealt by a hash of the key, since a lookup in a map reads
 it from the front. It is written once, and a scalar subquery brings it to the query that looks things
-up in it. So it stays in Spark's compact format, and no plan spells it out.
+up in it. So it stays in Spark's compact format, and no plan spells it out. A subquery's row passes the
+driver, more than once while a task is made of it, so its size counts: only the vocabulary and the
+``FREQUENT`` most frequent words are in maps, which take some 64 bytes a word. The others are in an array
+of strings, where a word takes its own bytes and the digits of its ids.
 
 Bytes travel as strings of the characters U+0000 to U+00FF, one per byte; ``binary`` turns such a
 string into bytes. Decoding looks up the piece of each id and joins the pieces.
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 from rivalgrid.llm.common import fresh
 from rivalgrid.session import cut_lineage, cuts, drop_tables
 
-KNOWN_WORDS, KNOWN_BYTES, SLOTS = 1_048_576, 64, 131_072
+KNOWN_WORDS, KNOWN_BYTES = 1_048_576, 64
+# Of the known words, those in maps.
+FREQUENT = 262_144
+SLOTS, STRING_SLOTS = 65_536, 262_144
 # Of all known words together.
 ALL_BYTES = 16 << 20
 _LAST = (1 << 31) - 1
@@ -63,8 +69,13 @@ def binary(byte_text: Column) -> Column:
     return F.encode(byte_text, "ISO-8859-1")
 
 
-def _slot(key: Column) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+def _slot(key: Column, slots: int = SLOTS) -> Column:
+    return F.hash(key).bitwiseAND(F.lit(slots - 1))
+
+
+def _mark(byte: str) -> Column:
+    """A byte that no UTF-8 has, so no word holds it: a pattern gives whole characters only."""
+    return F.unhex(F.lit(byte)).cast("string")
 
 
 class SlotTable:
@@ -89,7 +100,53 @@ class SlotTable:
 
 def look_up(table: Column, key: Column) -> Column:
     """The value of ``key`` in a bound table."""
-    return F.element_at(F.element_at(table, _slot(key) + 1), key)
+    return F.element_at(F.get(table, _slot(key)), key)
+
+
+class StringTable:
+    """The ids of words as a written table of one row, an array of strings; ``table`` has the columns key and
+    value, each key once, and is of bounded size. A string holds for each of its words a mark, the word,
+    another mark and the ids, comma-joined, and ends with the first mark."""
+
+    def __init__(self, table: DataFrame):
+        digits = F.array_join(F.col("value").cast("array<string>"), ",")
+        entries = table.select(_slot(F.col("key"), STRING_SLOTS).alias("slot"), F.concat(_mark("FF"), "key", _mark("FE"), digits).alias("entry"))
+        every = table.sparkSession.range(STRING_SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast("string").alias("entry"))
+        joined = F.concat(F.array_join(F.sort_array(F.collect_list("entry")), ""), _mark("FF"))
+        slots = entries.unionByName(every).groupBy("slot").agg(joined.alias("words"))
+        in_order = F.sort_array(F.collect_list(F.struct("slot", "words")))
+        self.row = cut_lineage(slots.agg(F.transform(in_order, lambda s: s["words"]).alias("slots")))
+
+    def bound(self) -> Column:
+        """The table as a column; Spark lets it stand outside of higher-order functions only."""
+        return self.row.scalar()
+
+    def get(self, word: Column) -> Column:
+        """The ids, or NULL; ``word`` is computed more than once, so it should be at hand."""
+        return _ids(look_up_string(self.bound(), word))
+
+
+def look_up_string(table: Column, word: Column) -> Column:
+    """The ids of ``word`` in a bound table of strings, comma-joined. Where the word is not found all of its
+    string is left, which begins with a mark, so that nothing stands before the first one."""
+    entry = F.concat(_mark("FF"), word, _mark("FE"))
+    after = F.call_function("substring_index", F.get(table, _slot(word, STRING_SLOTS)), entry, F.lit(-1))
+    return F.call_function("substring_index", after, _mark("FF"), F.lit(1))
+
+
+def _ids(digits: Column) -> Column:
+    return F.when(digits != "", F.split(digits, ",").cast("array<int>"))
+
+
+class KnownWords:
+    """The known words: the vocabulary and the most frequent in maps, the others in strings."""
+
+    def __init__(self, frequent: SlotTable, others: StringTable):
+        self.frequent, self.others = frequent, others
+
+    def get(self, word: Column) -> Column:
+        """The ids, or NULL; ``word`` is computed more than once, so it should be at hand."""
+        return F.coalesce(self.frequent.get(word), self.others.get(word))
 
 
 def _pair(left: Column, right: Column) -> Column:
@@ -165,7 +222,7 @@ class Codec:
 
         return let(ids, merge_all)
 
-    def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> SlotTable:
+    def known_words(self, df: DataFrame, text: str, most: int = KNOWN_WORDS) -> KnownWords:
         """The vocabulary and the most frequent words of all texts of at most KNOWN_BYTES bytes, at most
         ``most`` and ALL_BYTES together, with their ids."""
         spark, start = df.sparkSession, len(cuts(df.sparkSession))
@@ -173,34 +230,41 @@ class Codec:
         counts = short.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         counts = cut_lineage(counts.where("n > 1").join(self.tokens.select("key"), "key", "left_anti"))
         power = F.floor(F.log2(F.col("n").cast("double")) * 4)
-        held, size, least = 0, 0, None
+        held, size, least, often = 0, 0, None, None
         sizes = counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("key")).alias("bytes"))
         for row in sizes.orderBy(F.col("power").desc()).collect():
             held, size = held + row["words"], size + row["bytes"]
             if held > most or size > ALL_BYTES:
                 break
             least = row["power"]
-        frequent = counts.where(power >= least) if least is not None else counts.limit(0)
+            often = least if held <= FREQUENT else often
+        chosen = counts.where(power >= least) if least is not None else counts.limit(0)
         # a table of short words: dealt out anew, since folding is the work here
-        asked = frequent.select("key", (-F.col("n")).alias("turn")).repartition("key").withColumn("merges", self.merges.bound())
-        ready = asked.select("key", let(F.col("merges"), lambda merges: self.fold(F.col("key"), merges)).alias("value"), "turn")
-        known = SlotTable(ready.unionByName(self.tokens))
-        drop_tables(spark, cuts(spark)[start:-1])  # the counts
-        return known
-
-    def encode(self, df: DataFrame, text: str, ids: str, known: SlotTable) -> DataFrame:
+        in_maps = power >= often if often is not None else F.lit(False)
+        asked = chosen.select("key", (-F.col("n")).alias("turn"), in_maps.alias("in_maps")).repartition("key").withColumn("merges", self.merges.bound())
+        ready = cut_lineage(asked.select("key", let(F.col("merges"), lambda merges: self.fold(F.col("key"), merges)).alias("value"), "turn", "in_maps"))
+        frequent = SlotTable(ready.where("in_maps").drop("in_maps").unionByName(self.tokens))
+        others = StringTable(ready.where("NOT in_maps"))
+        drop_tables(spark, cuts(spark)[start:-2])  # the counts and the folded words
+        return KnownWords(frequent, others)
+
+    def encode(self, df: DataFrame, text: str, ids: str, known: KnownWords) -> DataFrame:
         """``df`` with the ids of a text column; a NULL is an empty text, which has none."""
-        merges_at, known_at = fresh(df.drop(ids), "merges", "known")
+        merges_at, frequent_at, others_at = fresh(df.drop(ids), "merges", "frequent", "others")
+
+        def ids_of(word: Column, merges: Column, frequent: Column, others: Column) -> Column:
+            return F.coalesce(look_up(frequent, word), let(look_up_string(others, word), _ids), self.fold(word, merges))
 
-        def all_ids(merges: Column, words: Column) -> Column:
-            return F.flatten(F.transform(self.words(F.col(text)), lambda w: F.coalesce(look_up(words, w), self.fold(w, merges))))
+        def all_ids(merges: Column, frequent: Column, others: Column) -> Column:
+            return F.flatten(F.transform(self.words(F.col(text)), lambda w: ids_of(w, merges, frequent, others)))
 
-        bound = df.withColumns({merges_at: self.merges.bound(), known_at: known.bound()})
-        return bound.withColumn(ids, let(F.col(merges_at), lambda merges: let(F.col(known_at), lambda words: all_ids(merges, words)))).drop(merges_at, known_at)
+        bound = df.withColumns({merges_at: self.merges.bound(), frequent_at: known.frequent.bound(), others_at: known.others.bound()})
+        found = let(F.col(merges_at), lambda m: let(F.col(frequent_at), lambda f: let(F.col(others_at), lambda o: all_ids(m, f, o))))
+        return bound.withColumn(ids, found).drop(merges_at, frequent_at, others_at)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
-        return let(self.pieces, lambda pieces: binary(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), "")))
+        return let(self.pieces, lambda pieces: binary(F.array_join(F.transform(ids, lambda i: pieces[i]), "")))
 
 
 def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "token_ids", known_words: int = KNOWN_WORDS) -> tuple[DataFrame, Codec]:

@@ -43,3 +43,27 @@ def test_bpe_known_words_are_bounded_in_bytes(spark, monkeypatch):
     known = codec.known_words(docs, "text")
     row = spark.range(1).select(known.get(F.lit(" qzxqzxqz")).alias("often"), known.get(F.lit(" wjvwjvwj")).alias("twice")).first()
     assert row.often is not None and row.twice is None
+
+
+def table_bytes(known):
+    """Of the rows that scalar subqueries bring to the driver."""
+    tables = [t for t in (known, *vars(known).values()) if hasattr(t, "row")]
+    return sum(t.row._jdf.queryExecution().executedPlan().executeCollect()[0].getSizeInBytes() for t in tables)
+
+
+def test_bpe_known_words_are_small(spark, monkeypatch):
+    """Each known word took 64 bytes of the table that passes the driver, several times; rare ones are in strings."""
+    words = [f"z{a}q{b}x{c}w" for a in "abcdefghijklmnopqrst" for b in "bcdfghjklmnpqrstvwxz" for c in "bcdfghjkmn"]
+    odd = [" éあ𝄞\ufeff", " zbqcxd", " zbqcxdwzbqcxdw", "\n", ".\x00\x01", "\ufffd\ufffe\uffff"]
+    texts = ["".join(f" {w}" for w in words)] * 2 + ["".join(odd)] * 2 + [" zbqcxdw" + odd[-1] + " once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    codec = bpe.Codec(spark, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "FREQUENT", 4, raising=False)
+    full, none = codec.known_words(docs, "text"), codec.known_words(docs, "text", 0)
+    assert table_bytes(full) - table_bytes(none) < 45 * len(words)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    assert all(list(r.token_ids) == library.encode_ordinary(r.text) for r in codec.encode(docs, "text", "token_ids", full).collect())
+    some = [f" {w}" for w in words[::400]] + [" zbqcxd", " zbqcxdwzbqcxdw"]
+    asked = [*some, "zaqbxbw", " zaqbxb", ""]
+    ids = spark.range(1).select(*[full.get(F.lit(w)).alias(f"w{i}") for i, w in enumerate(asked)]).first()
+    assert [*ids] == [library.encode_ordinary(w) for w in some] + [None] * 3
