@@ -165,9 +165,10 @@ def calibration(points: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(y).alias("actual"))
 
 
-def local_lens(wins: DataFrame, baselines: DataFrame, last: int = 6) -> tuple[DataFrame, DataFrame]:
+def local_lens(wins: DataFrame, baselines: DataFrame, last: int = 6, own: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Per (source, category, bucket): ratio from the cell when it has enough wins, else from the category;
-    and the latest comparable wins of the cell in use."""
+    and the latest comparable wins of the cell in use. ``own`` are the same wins with their tid, where
+    ``wins`` come without it."""
     cell = summarize(wins, ["source", "category", "bucket"], "pct", {"p50": 0.5})
     whole = summarize(wins, ["source", "category"], "pct", {"p50": 0.5})
     both = cell.select("source", "category", "bucket", F.col("n").alias("cell_n"), F.col("p50").alias("cell_p50")).join(
@@ -179,7 +180,7 @@ def local_lens(wins: DataFrame, baselines: DataFrame, last: int = 6) -> tuple[Da
         F.when(thick, F.col("cell_p50")).otherwise(F.col("p50")).alias("p50"))
     keyed = chosen.withColumnRenamed("bucket", "_b").withColumn("bucket", F.when(F.col("basis") == "bucket", F.col("_b")).otherwise(ALL))
     lens = ratio_stats(fallback_baseline(keyed, baselines)).drop("bucket").withColumnRenamed("_b", "bucket")
-    return lens, latest(wins, ["source", "category", "bucket"], last)
+    return lens, latest(wins if own is None else own, ["source", "category", "bucket"], last)
 
 
 def latest(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:

@@ -142,7 +142,7 @@ def median_by_week(spark, sf):
             LEFT JOIN (SELECT * FROM v_base WHERE n >= 30 AND category <> 'All' AND bucket = 'All') k ON k.category = c.category
             LEFT JOIN (SELECT * FROM v_base WHERE n >= 30 AND category = 'All' AND bucket = 'All') a ON TRUE)""")
 def lens(spark, sf):
-    return mk.local_lens(wins(spark, sf), baselines(spark, sf))[0]
+    return mk.local_lens(wins(spark, sf), baselines(spark, sf), own=keyed_wins(spark, sf))[0]
 
 
 @query("a46_latest_comparables", f"source:i category:s bucket:s pos:i season:i week:i pct:d {TID_SPEC}",
