@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivalgrid.functions.numeric import credibility
 from rivalgrid.operators.neighbours import nearest
 from rivalgrid.operators.ranking import band_sums, cumulative_share, percentiles_any_size, row_numbers_any_size
+from rivalgrid.session import cut_lineage
 
 SHRINK_K = 15.0
 CAP_RATIO = 5.0
 NEAR_OFFSET = 0.05
+# Values of an event's wins that travel as one list.
+PACK = 256
 
 
 def distance_cutoffs(pool: DataFrame, k: int, share: float = 0.85) -> DataFrame:
@@ -53,20 +58,37 @@ def price_weights(comps: DataFrame) -> DataFrame:
     return rows.withColumn("w_share", share)
 
 
-def weighted_median(rows: DataFrame, value: str, weight: str, name: str, by: list[str]) -> DataFrame:
+def weighted_median(rows: DataFrame, value: str, weight: str, name: str, by: list[str], tie: Sequence[str] = ("id",)) -> DataFrame:
     """First value at which half of the weight is reached (neighbour sets are small)."""
     w = Window.partitionBy(*by)
-    run = w.orderBy(value, "id").rowsBetween(Window.unboundedPreceding, 0)
+    run = w.orderBy(value, *tie).rowsBetween(Window.unboundedPreceding, 0)
     cum = rows.withColumn("_cum", F.sum(weight).over(run)).withColumn("_all", F.sum(weight).over(w))
     return cum.groupBy(*by).agg(
         F.min(F.when(F.col("_cum") >= F.col("_all") * 0.5 * (1 - 1e-12), F.col(value))).alias(name))
 
 
+def packed_wins(wins: DataFrame, most: int = PACK) -> DataFrame:
+    """The values of each event's wins as lists of at most ``most``: (id, _wins, _values), where _wins counts
+    all wins of the event. An event of any size is many short lists, never one long one."""
+    event = Window.partitionBy("id")
+    placed = wins.where(F.col("id").isNotNull()).select("id", "value").withColumns({
+        "_wins": F.count(F.lit(1)).over(event), "_pack": F.floor((F.row_number().over(event.orderBy("value")) - 1) / most)})
+    unknown = F.count(F.lit(1)) - F.count("value")
+    # a list leaves NULLs out, but a win of unknown value takes its share of the weight
+    values = F.concat(F.collect_list("value"), F.array_repeat(F.lit(None).cast("double"), unknown.cast("int")))
+    return placed.groupBy("id", "_pack").agg(F.max("_wins").alias("_wins"), values.alias("_values")).drop("_pack")
+
+
 def confidence_samples(comps: DataFrame, wins: DataFrame) -> DataFrame:
-    """Each neighbour's weight split evenly over its event's real wins: (qid, value, weight)."""
-    counts = wins.groupBy("id").agg(F.count(F.lit(1)).alias("_wins"))
-    return comps.join(counts, "id").join(wins.select("id", "value", "tid"), "id").withColumn(
-        "weight", F.col("w_capped") / F.col("_wins"))
+    """Each neighbour's weight split evenly over its event's real wins: (category, qid, value, weight).
+
+    Lists of values travel to the events' neighbours and on to their queries; only there, where all samples
+    of a query are together, do they become rows.
+    """
+    packs = cut_lineage(packed_wins(wins))
+    met = comps.select("category", "qid", "id", "w_capped").join(packs, "id").select(
+        "category", "qid", (F.col("w_capped") / F.col("_wins")).alias("weight"), "_values")
+    return met.repartition("qid").select("category", "qid", F.explode("_values").alias("value"), "weight")
 
 
 def price_estimate(comps: DataFrame, wins: DataFrame | None = None) -> DataFrame:
@@ -77,10 +99,9 @@ def price_estimate(comps: DataFrame, wins: DataFrame | None = None) -> DataFrame
         (F.sum(F.col("w") * F.col("target")) / F.sum("w")).alias("price_mean"), F.count(F.lit(1)).alias("n_comps"))
     out = out.join(weighted_median(rows, "target", "w_capped", "price_median", by), by)
     if wins is not None:
-        samples = confidence_samples(rows, wins).drop("id").withColumnRenamed("tid", "id")
-        # equal values pool their weight first, so the order among them cannot matter
-        pooled = samples.groupBy(*by, "value").agg(F.sum("weight").alias("weight"), F.min("id").alias("id"))
-        out = out.join(weighted_median(pooled, "value", "weight", "price_flattened", by), by, "left")
+        # equal values pool their weight first, so no order among them is needed
+        pooled = confidence_samples(rows, wins).groupBy(*by, "value").agg(F.sum("weight").alias("weight"))
+        out = out.join(weighted_median(pooled, "value", "weight", "price_flattened", by, tie=()), by, "left")
     return out
 
 

@@ -142,15 +142,17 @@ def promote_best_failed(bids: DataFrame) -> DataFrame:
     """Add a synthetic win where a source's event has only failed bids: its highest bid.
 
     One aggregate holds the best failed bid and whether there is a real one. As in a join, an event
-    that is not fully known has no real bid.
+    that is not fully known has no real bid. ``bids`` without tid must not differ in their other columns
+    where an event's bids are equal, signal and cost aside, which a promoted bid gets anew.
     """
-    names = [c for c in bids.columns if c not in EVENT and c != "tid"]
+    names = [c for c in bids.columns if c not in (*EVENT, "tid", "signal", "cost")]
+    key = [c for c in ("tid",) if c in bids.columns]
     real = F.col("signal").isin("won", "outbid") & reduce(and_, [F.col(c).isNotNull() for c in EVENT])
     # ascending puts a NULL bid first; tid is unique, so what follows it never decides
-    best = F.min(F.when(F.col("signal") == "other_failure", F.struct((-F.col("bid")).alias("_value"), "tid", *names)))
+    best = F.min(F.when(F.col("signal") == "other_failure", F.struct((-F.col("bid")).alias("_value"), *key, *names)))
     events = bids.groupBy(*EVENT).agg(best.alias("_best"), F.max(real).alias("_real"))
     synthetic = events.where(F.col("_best").isNotNull() & ~F.coalesce("_real", F.lit(False))).select(
-        *EVENT, *[F.col(f"_best.{c}").alias(c) for c in (*names, "tid")]).withColumns(
+        *EVENT, *[F.col(f"_best.{c}").alias(c) for c in (*names, *key)]).withColumns(
         {"signal": F.lit("won"), "cost": F.col("bid").cast("double"), "synthetic": F.lit(True)})
     return bids.withColumn("synthetic", F.lit(False)).unionByName(synthetic)
 
@@ -192,8 +194,9 @@ def consolidate_prices(won: DataFrame) -> DataFrame:
 
 
 def win_distribution(won: DataFrame) -> DataFrame:
-    """Every source's winning price share per pooled event, in long form."""
-    return won.where(F.col("budget") > 0).select(*POOLED, "source", "tid", (F.col("cost") / F.col("budget")).alias("value"))
+    """Every source's winning price share per pooled event, in long form; with the bid's key where ``won`` has it."""
+    key = [c for c in ("tid",) if c in won.columns]
+    return won.where(F.col("budget") > 0).select(*POOLED, "source", *key, (F.col("cost") / F.col("budget")).alias("value"))
 
 
 def same_week_signal(rows: DataFrame) -> DataFrame:

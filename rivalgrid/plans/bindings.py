@@ -14,7 +14,7 @@ from rivalgrid.functions.scoring import score
 from rivalgrid.operators.allowed import points_by_group
 from rivalgrid.operators import events as ev
 from rivalgrid.operators.grids import dense_points, with_opponent
-from rivalgrid.session import drops, partitions_for, written
+from rivalgrid.session import cuts, drop_tables, drops, free_shuffles, partitions_for, written
 from rivalgrid.sources.tables import in_years
 
 CATEGORIES = ("QB", "RB", "WR", "TE", "K")
@@ -37,16 +37,25 @@ def _state(spark: SparkSession, folder: str) -> tuple:
 
 
 def written_once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Write what ``build`` returns once per application and state of the input folder; later queries read that table."""
+    """Write what ``build`` returns once per application and state of the input folder; later queries read that table.
+
+    Once it is written, tables that ``build`` wrote on its way and the shuffles behind them are let go, so the disk holds
+    those of one build at a time.
+    """
 
     @wraps(build)
     def rows(spark: SparkSession, sf: str) -> DataFrame:
         state = _state(spark, sf)
         key = (spark.sparkContext.applicationId, drops(spark), sf, state, f"{build.__module__}.{build.__name__}")
         if key not in _WRITTEN:
+            before = set(cuts(spark))
             with partitions_for(spark, sum(length for name, _, _, length in state if name in FACTS)):
                 df = build(spark, sf)
                 _WRITTEN[key] = written(df), df.schema
+            del df
+            shared = {path for path, _ in _WRITTEN.values()}
+            drop_tables(spark, [path for path in cuts(spark) if path not in before and path not in shared])
+            free_shuffles(spark)
         path, schema = _WRITTEN[key]
         return spark.read.schema(schema).parquet(path)
 

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
+from rivalgrid.operators import comps  # noqa: E402
+from rivalgrid.operators import events as ev  # noqa: E402
 from rivalgrid.operators import market as mk  # noqa: E402
+from rivalgrid.plans import bindings  # noqa: E402
+from rivalgrid.plans import block_2_events as b2  # noqa: E402
+from rivalgrid.session import cuts  # noqa: E402
 
 TABLES = ("nation", "customer", "orders", "lineitem")
 
@@ -69,3 +74,45 @@ def test_local_lens_takes_the_keys_of_wins_from_their_twins(spark):
     assert [(r["basis"], r["n"]) for r in lens.collect()] == [("bucket", 9)]
     assert [r["week"] for r in last.orderBy("pos").collect()] == [3, 3]
     assert lens.where(F.col("ratio").isNotNull()).isEmpty()  # no pool of 30 rows to hold it against
+
+
+@pytest.mark.parametrize("name", ["m07_price_estimate", "m08_confidence_samples", "a36_consolidate_prices", "a49_three_way_error"])
+def test_price_queries_equal_sql(spark, sf, name):
+    same_as_sql(spark, sf, name)
+
+
+def test_shared_tables_leave_no_scratch_tables_behind(spark, tmp_path):
+    folder = auction_tables(tmp_path, seed=8, orders=200)
+    before = set(cuts(spark))
+    b2.prices(spark, folder)
+    shared = {path for path, _ in bindings._WRITTEN.values()}
+    assert set(cuts(spark)) - before <= shared  # not the rows that prices are summed up from
+
+
+def test_wins_travel_as_short_lists_and_none_is_lost(spark):
+    rows = [(1, 0.5)] * 7 + [(1, 0.25), (1, None), (1, None), (2, 0.125), (None, 0.75)]
+    wins = spark.createDataFrame(rows, "id long, value double")
+    packs = comps.packed_wins(wins, 3).collect()
+    assert {len(r["_values"]) for r in packs if r["id"] == 1} <= {1, 2, 3}
+    assert {(r["id"], r["_wins"]) for r in packs} == {(1, 10), (2, 1)}
+    near = spark.createDataFrame([("QB", 9, 1, 5.0), ("QB", 9, 2, 1.0), ("QB", 8, 3, 1.0)], "category string, qid long, id long, w_capped double")
+    got = sorted(((r["qid"], r["value"] or 0.0, r["weight"]) for r in comps.confidence_samples(near, wins).collect()))
+    assert got == [(9, 0.0, 0.5)] * 2 + [(9, 0.125, 1.0), (9, 0.25, 0.5)] + [(9, 0.5, 0.5)] * 7
+
+
+def test_samples_reach_their_query_in_one_shuffle_without_keys(spark):
+    near = spark.createDataFrame([("QB", q, i, 0.1 * i, 0.2, 3) for q in (1, 2) for i in (3, 4)], "category string, qid long, id long, dist double, target double, backing int")
+    wins = spark.createDataFrame([(3, 0.1), (3, 0.3), (4, 0.2)], "id long, value double")
+    got = {r["qid"]: (r["n_comps"], r["price_flattened"]) for r in comps.price_estimate(near, wins).collect()}
+    assert got == {1: (2, 0.2), 2: (2, 0.2)}
+    samples = comps.confidence_samples(comps.price_weights(near), wins).groupBy("category", "qid", "value").agg(F.sum("weight"))
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(qid" in line for line in plan.splitlines()) == 1
+
+
+def test_wins_are_promoted_without_keys(spark):
+    schema = "source int, season int, week int, entity int, signal string, bid double, cost double"
+    rows = [(1, 2024, 2, 7, "other_failure", 5.0, 0.0), (1, 2024, 2, 7, "other_failure", 9.0, 0.0), (1, 2024, 2, 7, "other_failure", 9.0, 0.0),
+            (2, 2024, 2, 7, "won", 2.0, 2.0), (2, 2024, 2, 7, "other_failure", 50.0, 0.0), (3, 2024, 2, 7, "other_failure", None, 0.0)]
+    won = ev.promote_best_failed(spark.createDataFrame(rows, schema)).where(F.col("signal") == "won")
+    assert sorted((r["source"], r["cost"], r["synthetic"]) for r in won.collect()) == [(1, 9.0, True), (2, 2.0, False), (3, None, True)]
