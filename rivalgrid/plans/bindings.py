@@ -186,14 +186,19 @@ def raw_bids(spark: SparkSession, sf: str, seasons: Sequence[int] | None = None)
 
 
 @written_once
+def collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.collapse_variants(claims(spark, sf))
+
+
 def bids(spark: SparkSession, sf: str) -> DataFrame:
     """Collapsed and classified bids.
 
     Everything downstream reads them several times (budgets, auction facts, free candidates), so they
-    are written once instead of joining and collapsing the raw rows for every reader.
+    are written once collapsed instead of joining and collapsing the raw rows for every reader. What other columns
+    give is worked out on reading and takes no disk.
     """
     flat = F.when(F.col("source") == NAMED_SOURCE, FLAT_COST).otherwise(0.0)
-    return ev.classify(described(ev.collapse_variants(claims(spark, sf))), flat)
+    return ev.classify(described(collapsed(spark, sf)), flat)
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:

@@ -116,3 +116,9 @@ def test_wins_are_promoted_without_keys(spark):
             (2, 2024, 2, 7, "won", 2.0, 2.0), (2, 2024, 2, 7, "other_failure", 50.0, 0.0), (3, 2024, 2, 7, "other_failure", None, 0.0)]
     won = ev.promote_best_failed(spark.createDataFrame(rows, schema)).where(F.col("signal") == "won")
     assert sorted((r["source"], r["cost"], r["synthetic"]) for r in won.collect()) == [(1, 9.0, True), (2, 2.0, False), (3, None, True)]
+
+
+def test_written_bids_hold_no_column_that_others_give(spark, sf):
+    written, read = bindings.collapsed(spark, sf), bindings.bids(spark, sf)
+    assert not {"category", "txn", "signal", "cost"} & set(written.columns)
+    assert read.columns == [*written.columns, "category", "txn", "signal", "cost"] and read.count() == written.count()
